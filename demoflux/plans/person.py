@@ -79,12 +79,12 @@ def roles() -> dict[str, tuple[tuple[str, ...], Column]]:
         "EDUC": ((), F.round(F.col("l_tax") * 100).cast("int") + 3),
         "SCHOOL": ((), F.when(F.col("l_linenumber") == 1, 2).otherwise(1)),
         "CLASSWKRD": ((), 20 + F.col("l_linenumber")),
-        "NCHILD": ((), F.col("l_linenumber") - 1),
         "MARST": ((), F.col("l_linenumber")),
         "YEAR": (("orders",), F.year("o_orderdate")),
         "PRIORITY": (("orders",), F.col("o_orderpriority")),
         "HISPAN": (("orders",), F.when(F.col("o_orderpriority") == HISPANIC_PRIORITY, 1).otherwise(0)),
         "RACE": (("orders",), _lookup("o_orderpriority", RACE_OF_PRIORITY)),
+        "NCHILD": (("orders",), F.when(F.col("o_totalprice") < 150000, 0).when(F.col("o_totalprice") < 300000, 1).otherwise(2)),
         "CITIZEN": (("orders",), _lookup("o_orderstatus", CITIZEN_OF_STATUS)),
         "STATEFIP": (("orders", "customer"), F.col("c_nationkey")),
         "PUMA": (("orders", "customer"), F.col("c_custkey")),
@@ -167,7 +167,8 @@ person AS (
       CASE WHEN l_discount < 0.015 THEN 0 WHEN l_discount < 0.075 THEN 1 ELSE 2 END AS FERTYR,
       CAST(round(l_tax * 100) AS INTEGER) + 3 AS EDUC,
       CASE WHEN l_linenumber = 1 THEN 2 ELSE 1 END AS SCHOOL,
-      20 + l_linenumber AS CLASSWKRD, l_linenumber - 1 AS NCHILD, l_linenumber AS MARST,
+      20 + l_linenumber AS CLASSWKRD, l_linenumber AS MARST,
+      CASE WHEN o_totalprice < 150000 THEN 0 WHEN o_totalprice < 300000 THEN 1 ELSE 2 END AS NCHILD,
       b.BPL,
       CASE WHEN b.BPL < 100 THEN 0 ELSE 1980 + 3 * l_linenumber END AS YRIMMIG,
       CAST(year(o_orderdate) AS INTEGER) AS YEAR, o_orderpriority AS PRIORITY,
