@@ -82,7 +82,9 @@ def safe_div(numerator: ColumnLike, denominator: ColumnLike) -> Column:
 def pad_code(code: ColumnLike, digits: int) -> Column:
     """Zero-padded text of an integer code; longer codes are kept whole, NULL stays NULL."""
     code = _column(code)
-    return F.when(code.isNotNull(), F.format_string(f"%0{digits}d", code))
+    text = code.cast("string")
+    padded = F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text)
+    return F.when(code >= 0, padded).when(code < 0, F.format_string(f"%0{digits}d", code))
 
 
 def paste(separator: str, *parts: ColumnLike) -> Column:

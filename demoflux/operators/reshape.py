@@ -43,9 +43,20 @@ def count_chunks(df: DataFrame, count: str) -> DataFrame:
     return chunked.drop("_block").withColumn("chunk_rows", rows)
 
 
+def spread_chunks(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distribute chunks over a set number of tasks.
+
+    The number is given, as chunk rows are tiny before they unfold and would otherwise be
+    merged into few tasks.
+    """
+    spark = chunks.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return chunks.repartition(tasks, *[F.col(k) for k in keys], F.col("chunk"))
+
+
 def uncount(df: DataFrame, keys: Sequence[str], count: str, index: str = "i") -> DataFrame:
     """N copies of each row, numbered from 1."""
-    chunks = count_chunks(df, count).repartition(*[F.col(k) for k in keys], F.col("chunk"))
+    chunks = spread_chunks(count_chunks(df, count), keys)
     start = F.col("chunk") * UNCOUNT_CHUNK
     unfolded = chunks.withColumn(index, F.explode(F.sequence(start + 1, start + F.col("chunk_rows"))))
     return unfolded.drop("chunk", "chunk_rows")

@@ -33,33 +33,41 @@ def area_crosswalk(spark, folder) -> DataFrame:
         F.explode(areas).alias("MIGPUMA"))
 
 
-def moves(spark, folder) -> DataFrame:
-    """Weight per place now, area one year ago, year and origin, with clusters at both ends.
+def area_moves(spark, folder) -> DataFrame:
+    """Weight per area now, area one year ago, year, origin and whether moved.
 
-    Persons are summed on the keys of the crosswalk before any of the lookups is joined; sums
-    pass through the joins unchanged, and the joined table is as small as the keys allow.
+    Persons are summed on the crosswalk's key before it is joined, and the result is summed
+    to areas before anything else is: sums pass through the joins unchanged, and every later
+    join works on area pairs instead of persons.
     """
     rows = eligible(person(
         spark, folder, "YEAR", "STATEFIP", "PUMA", "MIGRATE1D", "MIGPLAC1", "MIGPUMA1", "BPL", "HISPAN", "RACE", "PERWT"))
     grouped = rows.withColumns({"BPLCR": recode.origin_collapsed(), "hasMigrated": recode.moved_area()}).filter(
         F.col("BPLCR").isin(recode.ANALYSIS_GROUPS))
-    cells = grouped.groupBy("YEAR", "STATEFIP", "PUMA", "MIGPLAC1", "MIGPUMA1", "BPLCR", "hasMigrated").agg(
-        F.sum("PERWT").alias("PERWT"))
+    keys = ["YEAR", "BPLCR", "hasMigrated", "STATEFIP", "MIGPLAC1", "MIGPUMA1"]
+    cells = grouped.groupBy(*keys, "PUMA").agg(F.sum("PERWT").alias("PERWT"))
+    placed = join_nullsafe(
+        cells.withColumn("PUMA", F.concat(pad_code("STATEFIP", 2), pad_code("PUMA", 5))),
+        area_crosswalk(spark, folder).select(
+            F.concat("STATEFIP", "PUMA").alias("PUMA"), F.concat("STATEFIP", "MIGPUMA").alias("MIGPUMA")),
+        ["PUMA"], "left")
+    pairs = placed.groupBy(*keys, "MIGPUMA").agg(F.sum("PERWT").alias("PERWT"))
     prior = pad_code("MIGPUMA1", 5)
-    coded = cells.withColumns({
-        "STATEFIP": pad_code("STATEFIP", 2),
-        "MIGPLAC1": pad_code("MIGPLAC1", 2),
-        "PUMA": F.concat(pad_code("STATEFIP", 2), pad_code("PUMA", 5)),
-    }).withColumn("MIGPUMA1", F.concat("MIGPLAC1", if_else_na(prior == "00000", F.lit(None).cast("string"), prior)))
-    crosswalk = area_crosswalk(spark, folder)
-    now = crosswalk.select(F.concat("STATEFIP", "PUMA").alias("PUMA"), F.concat("STATEFIP", "MIGPUMA").alias("MIGPUMA"))
-    before = crosswalk.select(
+    coded = pairs.withColumns({"STATEFIP": pad_code("STATEFIP", 2), "MIGPLAC1": pad_code("MIGPLAC1", 2)})
+    known = if_else_na(prior == "00000", F.lit(None).cast("string"), prior)
+    return coded.withColumn("MIGPUMA1", F.concat("MIGPLAC1", known)).withColumn("MEX1", recode.arrived_from_mexico())
+
+
+def moves(spark, folder) -> DataFrame:
+    """Weight per cluster now, cluster one year ago, year, origin and kind of move."""
+    pairs = area_moves(spark, folder)
+    before = area_crosswalk(spark, folder).select(
         F.concat("STATEFIP", "MIGPUMA").alias("MIGPUMA1"), F.col("STATEFIP").alias("STATEFIP1")).distinct()
+    keys = ["YEAR", "BPLCR", "hasMigrated", "MEX1", "STATEFIP", "STATEFIP1"]
+    states = join_nullsafe(pairs, before, ["MIGPUMA1"], "left").groupBy(*keys).agg(F.sum("PERWT").alias("PERWT"))
     clusters = state_clusters(spark, folder).select(pad_code("STATEFIP", 2).alias("STATEFIP"), "Cluster")
-    placed = join_nullsafe(join_nullsafe(coded, now, ["PUMA"], "left"), before, ["MIGPUMA1"], "left")
     return join_nullsafe(
-        join_nullsafe(placed, clusters, ["STATEFIP"], "left"), role_lookup(clusters, "1"), ["STATEFIP1"], "left"
-    ).withColumn("MEX1", recode.arrived_from_mexico())
+        join_nullsafe(states, clusters, ["STATEFIP"], "left"), role_lookup(clusters, "1"), ["STATEFIP1"], "left")
 
 
 MOVES_SQL = """
@@ -133,7 +141,7 @@ GROUP BY ALL ORDER BY n DESC, migpuma, migpuma1, origin LIMIT 30
 """, ELIGIBLE_SQL, MOVES_SQL))
 def top_area_flows(spark, folder):
     """The 30 largest flows between different areas in one year."""
-    named = moves(spark, folder).withColumnsRenamed({"MIGPUMA": "migpuma", "MIGPUMA1": "migpuma1", "BPLCR": "origin"})
+    named = area_moves(spark, folder).withColumnsRenamed({"MIGPUMA": "migpuma", "MIGPUMA1": "migpuma1", "BPLCR": "origin"})
     moved = named.filter((F.col("migpuma") != F.col("migpuma1")) & (F.col("YEAR") == 2000))
     flows = flow_matrix(moved, "migpuma", "migpuma1", ["origin"], name="n")
     return flows.select("migpuma", "migpuma1", "origin", "n").orderBy(
@@ -145,7 +153,7 @@ SELECT year, migpuma, migpuma1, sum(PERWT) AS n FROM moves
 WHERE migpuma IS NOT NULL AND migpuma1 IS NOT NULL GROUP BY ALL
 """, ELIGIBLE_SQL, MOVES_SQL))
 def area_flows(spark, folder):
-    named = moves(spark, folder).withColumnsRenamed({"MIGPUMA": "migpuma", "MIGPUMA1": "migpuma1", "YEAR": "year"})
+    named = area_moves(spark, folder).withColumnsRenamed({"MIGPUMA": "migpuma", "MIGPUMA1": "migpuma1", "YEAR": "year"})
     return flow_matrix(named, "migpuma", "migpuma1", ["year"], name="n").select("year", "migpuma", "migpuma1", "n")
 
 

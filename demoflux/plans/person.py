@@ -7,16 +7,21 @@ the article table. Lookup sizes decide the join method; nothing is forced to bro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demoflux.sources.tables import load
 
-# Which survey code each category of the stored tables stands for.
-HISPANIC_PRIORITY = "1-URGENT"
-RACE_OF_PRIORITY = {"1-URGENT": 1, "2-HIGH": 1, "3-MEDIUM": 2, "4-NOT SPECIFIED": 4, "5-LOW": 7}
-BIRTHPLACE_OF_FLAGS = {("A", "F"): 200, ("N", "F"): 210, ("R", "F"): 300, ("R", "O"): 500}
+# Which survey codes the categories of the stored tables stand for.
 NATIVE_BIRTHPLACE = 6
+BIRTHPLACES = """
+    SELECT * FROM VALUES ('A', 'F', 200), ('N', 'F', 210), ('R', 'F', 300), ('R', 'O', 500), ('A', 'O', 6), ('N', 'O', 6)
+    AS birthplaces(flag, status, birthplace)"""
+ETHNICITIES = """
+    SELECT * FROM VALUES ('1-URGENT', 1, 1), ('2-HIGH', 0, 1), ('3-MEDIUM', 0, 2), ('4-NOT SPECIFIED', 0, 4), ('5-LOW', 0, 7)
+    AS ethnicities(priority, hispanic, race)"""
 CITIZEN_OF_STATUS = {"F": 0, "O": 2, "P": 3}
 REGION_WITHOUT_CLUSTER = "MIDDLE EAST"
 PRIOR_NATION_MEXICO = 24
@@ -32,11 +37,7 @@ def _lookup(column: str, table: dict) -> Column:
 
 
 def _birthplace_code() -> Column:
-    chain = None
-    for (flag, status), code in BIRTHPLACE_OF_FLAGS.items():
-        hit = (F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status)
-        chain = F.when(hit, code) if chain is None else chain.when(hit, code)
-    return chain.otherwise(NATIVE_BIRTHPLACE)
+    return F.coalesce("birthplace", F.lit(NATIVE_BIRTHPLACE))
 
 
 def _cluster(region: str) -> Column:
@@ -65,49 +66,55 @@ def _prior_area() -> Column:
     )
 
 
-def roles() -> dict[str, tuple[tuple[str, ...], Column]]:
-    """Survey column -> (tables it needs besides lineitem, expression)."""
-    return {
-        "PERWT": ((), F.col("l_quantity")),
-        "CPUMA0010": ((), F.col("l_partkey")),
-        "CLUSTER": ((), F.col("l_orderkey")),
-        "LINE": ((), F.col("l_linenumber")),
-        "BPL": ((), _birthplace_code()),
-        "YRIMMIG": ((), F.when(_birthplace_code() < 100, 0).otherwise(1980 + 3 * F.col("l_linenumber"))),
-        "SEX": ((), F.when(F.col("l_linenumber") <= 3, 1).otherwise(2)),
-        "FERTYR": ((), F.when(F.col("l_discount") < 0.015, 0).when(F.col("l_discount") < 0.075, 1).otherwise(2)),
-        "EDUC": ((), F.round(F.col("l_tax") * 100).cast("int") + 3),
-        "SCHOOL": ((), F.when(F.col("l_linenumber") == 1, 2).otherwise(1)),
-        "CLASSWKRD": ((), 20 + F.col("l_linenumber")),
-        "MARST": ((), F.col("l_linenumber")),
-        "YEAR": (("orders",), F.year("o_orderdate")),
-        "PRIORITY": (("orders",), F.col("o_orderpriority")),
-        "HISPAN": (("orders",), F.when(F.col("o_orderpriority") == HISPANIC_PRIORITY, 1).otherwise(0)),
-        "RACE": (("orders",), _lookup("o_orderpriority", RACE_OF_PRIORITY)),
-        "NCHILD": (("orders",), F.when(F.col("o_totalprice") < 150000, 0).when(F.col("o_totalprice") < 300000, 1).otherwise(2)),
-        "CITIZEN": (("orders",), _lookup("o_orderstatus", CITIZEN_OF_STATUS)),
-        "STATEFIP": (("orders", "customer"), F.col("c_nationkey")),
-        "PUMA": (("orders", "customer"), F.col("c_custkey")),
-        "STRATA": (("orders", "customer"), F.col("c_mktsegment")),
-        "REGION": (("orders", "customer", "now"), F.col("now_region")),
-        "Cluster": (("orders", "customer", "now"), _cluster("now_region")),
-        "MIGPLAC1": (("supplier",), _prior_place()),
-        "MIGPUMA1": (("supplier",), _prior_area()),
-        "MIGRATE1D": (("orders", "customer", "supplier", "now", "before"), _move_code()),
-        "MIGCOUNTY1": (("orders", "customer", "supplier", "now", "before"),
-                       F.when(F.col("now_regionkey") == F.col("before_regionkey"), 0).otherwise(1 + F.col("s_nationkey"))),
-        "AGE": (("part",), F.col("p_size")),
-        "AREASTATE": (("part",), F.substring(F.col("p_brand"), 7, 3).cast("int")),
-    }
+# Survey column -> (tables it needs besides lineitem, expression).
+ROLES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+    "PERWT": ((), lambda: F.col("l_quantity")),
+    "CPUMA0010": ((), lambda: F.col("l_partkey")),
+    "CLUSTER": ((), lambda: F.col("l_orderkey")),
+    "LINE": ((), lambda: F.col("l_linenumber")),
+    "BPL": (("birthplaces",), _birthplace_code),
+    "YRIMMIG": (("birthplaces",), lambda: F.when(_birthplace_code() < 100, 0).otherwise(1980 + 3 * F.col("l_linenumber"))),
+    "SEX": ((), lambda: F.when(F.col("l_linenumber") <= 3, 1).otherwise(2)),
+    "FERTYR": ((), lambda: F.when(F.col("l_discount") < 0.015, 0).when(F.col("l_discount") < 0.075, 1).otherwise(2)),
+    "EDUC": ((), lambda: F.round(F.col("l_tax") * 100).cast("int") + 3),
+    "SCHOOL": ((), lambda: F.when(F.col("l_linenumber") == 1, 2).otherwise(1)),
+    "CLASSWKRD": ((), lambda: 20 + F.col("l_linenumber")),
+    "MARST": ((), lambda: F.col("l_linenumber")),
+    "YEAR": (("orders",), lambda: F.year("o_orderdate")),
+    "PRIORITY": (("orders",), lambda: F.col("o_orderpriority")),
+    "HISPAN": (("orders", "ethnicities"), lambda: F.col("hispanic")),
+    "RACE": (("orders", "ethnicities"), lambda: F.col("race")),
+    "NCHILD": (("orders",), lambda: F.when(F.col("o_totalprice") < 150000, 0).when(
+        F.col("o_totalprice") < 300000, 1).otherwise(2)),
+    "CITIZEN": (("orders",), lambda: _lookup("o_orderstatus", CITIZEN_OF_STATUS)),
+    "STATEFIP": (("orders", "customer"), lambda: F.col("c_nationkey")),
+    "PUMA": (("orders", "customer"), lambda: F.col("c_custkey")),
+    "STRATA": (("orders", "customer"), lambda: F.col("c_mktsegment")),
+    "REGION": (("orders", "customer", "now"), lambda: F.col("now_region")),
+    "Cluster": (("orders", "customer", "now"), lambda: _cluster("now_region")),
+    "MIGPLAC1": (("supplier",), _prior_place),
+    "MIGPUMA1": (("supplier",), _prior_area),
+    "MIGRATE1D": (("orders", "customer", "supplier", "now", "before"), _move_code),
+    "MIGCOUNTY1": (("orders", "customer", "supplier", "now", "before"), lambda: F.when(
+        F.col("now_regionkey") == F.col("before_regionkey"), 0).otherwise(1 + F.col("s_nationkey"))),
+    "AGE": (("part",), lambda: F.col("p_size")),
+    "AREASTATE": (("part",), lambda: F.substring(F.col("p_brand"), 7, 3).cast("int")),
+}
 
 
 def person(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The asked-for survey columns of every person row."""
-    known = roles()
-    needs = {table for c in columns for table in known[c][0]}
+    needs = {table for c in columns for table in ROLES[c][0]}
     rows = load(spark, folder, "lineitem")
     if "orders" in needs:
         rows = rows.join(load(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # Codebooks are literal tables of a few rows. Joining them keeps the codes as plain columns, so
+    # recodes and pushed-down filters do not repeat a chain of comparisons for every use.
+    if "birthplaces" in needs:
+        rows = rows.join(spark.sql(BIRTHPLACES), (F.col("l_returnflag") == F.col("flag")) & (
+            F.col("l_linestatus") == F.col("status")), "left")
+    if "ethnicities" in needs:
+        rows = rows.join(spark.sql(ETHNICITIES), F.col("o_orderpriority") == F.col("priority"), "left")
     if "part" in needs:
         rows = rows.join(load(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if "supplier" in needs:
@@ -119,7 +126,7 @@ def person(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
             place = nation_region(spark, folder).withColumnsRenamed(
                 {"nation": f"{role}_nation", "regionkey": f"{role}_regionkey", "region": f"{role}_region"})
             rows = rows.join(place, F.col(key) == F.col(f"{role}_nation"))
-    return rows.select(*[known[c][1].alias(c) for c in columns])
+    return rows.select(*[ROLES[c][1]().alias(c) for c in columns])
 
 
 def nation_region(spark: SparkSession, folder: str) -> DataFrame:
