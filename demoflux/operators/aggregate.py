@@ -75,7 +75,8 @@ def share_of_total(
     if not few_groups:
         joined = join_nullsafe(cells, totals, by, "left")
         return joined.withColumn(name, safe_div(F.col(value), F.col("_total"))).drop("_total")
-    entries = totals.agg(F.collect_list(F.struct(F.struct(*by).alias("key"), "_total")).alias("entries"))
+    entries = totals.limit(FEW_GROUPS + 1).agg(
+        F.collect_list(F.struct(F.struct(*by).alias("key"), "_total")).alias("entries"))
     too_many = F.raise_error(F.lit(f"more than {FEW_GROUPS} groups; pass few_groups=False")).cast(
         entries.schema["entries"].dataType)
     checked = F.when(F.size("entries") > FEW_GROUPS, too_many).otherwise(F.col("entries"))

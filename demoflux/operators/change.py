@@ -15,13 +15,13 @@ MAX_LEVELS = 1000
 def observed_levels(df: DataFrame, column: str) -> Column:
     """The distinct values of a low-cardinality column as one array value.
 
-    Fails rather than build a large array: a grid dimension is a short list.
+    Fails rather than build a large array: a grid dimension is a short list. One value more
+    than allowed is enough to see that there are too many.
     """
-    few = df.select(column).distinct().agg(F.sort_array(F.collect_list(column)).alias("levels"))
-    checked = few.select(
-        F.when(F.size("levels") > MAX_LEVELS, F.raise_error(F.lit(f"{column} has more than {MAX_LEVELS} levels")).cast(
-            few.schema["levels"].dataType)).otherwise(F.col("levels")))
-    return checked.scalar()
+    seen = df.select(column).distinct().limit(MAX_LEVELS + 1)
+    few = seen.agg(F.sort_array(F.collect_list(column)).alias("levels"))
+    too_many = F.raise_error(F.lit(f"{column} has more than {MAX_LEVELS} levels")).cast(few.schema["levels"].dataType)
+    return few.select(F.when(F.size("levels") > MAX_LEVELS, too_many).otherwise(F.col("levels"))).scalar()
 
 
 def _levels(values: Sequence | Column) -> Column:

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from demoflux.session import cut_lineage
 
-Z_975 = 1.959963984540054
 MAX_COLUMNS = 400
 
 
@@ -92,11 +91,12 @@ class LogisticFit:
 
 def factor_levels(df: DataFrame, factors: Sequence[str], limit: int = 200) -> dict[str, tuple]:
     """Sorted levels of each factor. A factor is a short list; a longer one is refused."""
-    row = df.agg(*[F.sort_array(F.collect_set(f)).alias(f) for f in factors]).first() if factors else {}
-    levels = {f: tuple(row[f]) for f in factors}
-    for f, values in levels.items():
+    levels = {}
+    for f in factors:
+        values = [r[0] for r in df.select(f).filter(F.col(f).isNotNull()).distinct().limit(limit + 1).collect()]
         if len(values) > limit:
-            raise ValueError(f"{f} has {len(values)} levels, too many for a factor")
+            raise ValueError(f"{f} has more than {limit} levels, too many for a factor")
+        levels[f] = tuple(sorted(values))
     return levels
 
 
@@ -148,13 +148,12 @@ def fit_logistic(
     scaled = [(F.col(c) / F.lit(s)).alias(c) for c, s in
               (("_w", mean_weight), ("_wy", mean_weight), ("_ww", mean_weight**2), ("_wwy", mean_weight**2))]
     rows = cut_lineage(patterns.select(design.row().alias("x"), *scaled))
+    features = F.slice("x", 2, k - 1) if k > 1 else F.array(F.lit(0.0))
     fitted = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol="label", featuresCol="features", weightCol="_w",
         fitIntercept=True, maxIter=50, tol=1e-10, regParam=0.0,
     ).fit(rows.select(
-        array_to_vector(F.slice("x", 2, k - 1)).alias("features") if k > 1 else array_to_vector(F.array(F.lit(0.0))).alias("features"),
-        (F.col("_wy") / F.col("_w")).alias("label"), "_w",
-    ))
+        array_to_vector(features).alias("features"), (F.col("_wy") / F.col("_w")).alias("label"), "_w"))
     beta = np.concatenate([[fitted.intercept], np.asarray(fitted.coefficients)[: k - 1]])
 
     a, b = np.zeros((k, k)), np.zeros((k, k))

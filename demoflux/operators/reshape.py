@@ -11,8 +11,11 @@ UNCOUNT_CHUNK = 4096
 
 
 def spread(df: DataFrame, by: Sequence[str], key: str, value: str, values: Sequence[str]) -> DataFrame:
-    """Long to wide: one column per listed key value; each cell is single."""
-    return df.groupBy(*by).pivot(key, list(values)).agg(F.max(value))
+    """Long to wide: one column per listed key value; each cell is single.
+
+    Written as one aggregate per value, which needs one shuffle where a pivot needs two.
+    """
+    return df.groupBy(*by).agg(*[F.max(F.when(F.col(key) == v, F.col(value))).alias(v) for v in values])
 
 
 def gather(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str, value: str) -> DataFrame:

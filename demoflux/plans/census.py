@@ -48,9 +48,8 @@ def estimates(spark, folder, years=None) -> DataFrame:
     Persons are summed once per area and year, one sum per variable, and the sums unfolded.
     """
     rows = person(
-        spark, folder, "STATEFIP", "STRATA", "REGION", "YEAR", "HISPAN", "RACE", "BPL", "SEX", "CITIZEN", "PERWT")
-    if years is not None:
-        rows = rows.filter(F.col("YEAR").isin(years))
+        spark, folder, "STATEFIP", "STRATA", "REGION", "YEAR", "HISPAN", "RACE", "BPL", "SEX", "CITIZEN", "PERWT",
+        years=years)
     hispanic, migrant = recode.is_hispanic(), ~recode.is_native()
     men, citizens = F.col("SEX") == 1, recode.citizen()
     everyone = F.lit(True)
@@ -418,7 +417,7 @@ def _age_label(ranges):
 
 def age_estimates(spark, folder) -> DataFrame:
     """Long age table: the earlier year under the census labels, the later under the survey labels."""
-    rows = person(spark, folder, "STATEFIP", "STRATA", "YEAR", "AGE", "PERWT").filter(F.col("YEAR").isin(YEARS))
+    rows = person(spark, folder, "STATEFIP", "STRATA", "YEAR", "AGE", "PERWT", years=YEARS)
     label = F.when(F.col("YEAR") == YEARS[0], _age_label(CENSUS_AGES)).otherwise(_age_label(SURVEY_AGES))
     return rows.groupBy(geoid().alias("geoid"), F.col("YEAR").alias("year"), label.alias("label")).agg(
         F.sum("PERWT").alias("estimate"))
@@ -501,7 +500,7 @@ shares AS (SELECT CPUMA0010, sum(CASE WHEN fb THEN PERWT ELSE 0 END) / sum(PERWT
   FROM person WHERE YEAR = 2000 GROUP BY ALL)
 """))
 def labelled_interval_bands(spark, folder):
-    rows = person(spark, folder, "CPUMA0010", "YEAR", "YRIMMIG", "PERWT").filter(F.col("YEAR") == 2000)
+    rows = person(spark, folder, "CPUMA0010", "YRIMMIG", "PERWT", years=[2000])
     shares = cut_lineage(rows.groupBy("CPUMA0010").agg(
         safe_div(conditional_sum("PERWT", recode.foreign_born()), F.sum("PERWT")).alias("p")))
     origin = shares.agg(F.floor(F.min("p") / F.lit(0.2)) * F.lit(0.2)).scalar()

@@ -26,14 +26,14 @@ GROWTH_LABELS = ["Pop Decline", "Small Pop Growth", "Pop Growth", "Large Pop Gro
 RATIO_BREAKS = [float("-inf"), 1, 10, 100, 1000, 10000]
 
 
-def working_age(spark, folder, *columns) -> DataFrame:
-    rows = person(spark, folder, "AGE", "YEAR", "CPUMA0010", "BPL", "HISPAN", "PERWT", *columns)
+def working_age(spark, folder, *columns, years) -> DataFrame:
+    rows = person(spark, folder, "AGE", "YEAR", "CPUMA0010", "BPL", "HISPAN", "PERWT", *columns, years=years)
     return rows.filter((F.col("AGE") > 15) & (F.col("AGE") <= 60))
 
 
 def growth_cells(spark, folder, companions=False) -> DataFrame:
     """Population and mean age per area, origin and year, for the two years."""
-    rows = working_age(spark, folder, *(["AREASTATE"] if companions else [])).filter(F.col("YEAR").isin(FIRST, LAST))
+    rows = working_age(spark, folder, *(["AREASTATE"] if companions else []), years=[FIRST, LAST])
     states = [pack_distinct("AREASTATE").alias("state")] if companions else []
     return rows.groupBy(
         F.col("CPUMA0010").alias("area"), recode.origin_six().alias("origin"), F.col("YEAR").alias("year")
@@ -92,7 +92,7 @@ GROUP BY area HAVING count(*) = 2
 """))
 def observed_area_change(spark, folder):
     """Change of the areas seen in both years; the others drop out."""
-    rows = working_age(spark, folder).filter(F.col("YEAR").isin(FIRST, LAST) & recode.born_in_mexico())
+    rows = working_age(spark, folder, years=[FIRST, LAST]).filter(recode.born_in_mexico())
     cells = rows.groupBy(F.col("CPUMA0010").alias("area"), F.col("YEAR").alias("year")).agg(F.sum("PERWT").alias("est"))
     change = two_point(cells, ["area"], "year", FIRST, LAST, ["est"])
     return change.select(
@@ -107,7 +107,7 @@ FROM (SELECT cluster_now AS cluster, YEAR AS year, sum(PERWT) AS n FROM person
 GROUP BY cluster HAVING count(*) = 2
 """))
 def region_change(spark, folder):
-    rows = person(spark, folder, "Cluster", "YEAR", "BPL", "PERWT").filter(recode.born_in_mexico())
+    rows = person(spark, folder, "Cluster", "YEAR", "BPL", "PERWT", years=[FIRST, LAST]).filter(recode.born_in_mexico())
     cells = rows.groupBy(F.col("Cluster").alias("cluster"), F.col("YEAR").alias("year")).agg(F.sum("PERWT").alias("n"))
     return two_point(cells, ["cluster"], "year", FIRST, LAST, ["n"]).select("cluster", difference("n").alias("diff"))
 
@@ -122,8 +122,8 @@ FROM (SELECT CPUMA0010 AS area, sum(PERWT) AS est FROM person WHERE YEAR = 1996
 JOIN (SELECT CPUMA0010 AS area, sum(PERWT) AS est FROM person WHERE YEAR = 2000 GROUP BY ALL) l USING (area)
 """))
 def growth_class(spark, folder):
-    rows = person(spark, folder, "CPUMA0010", "YEAR", "PERWT")
-    cells = rows.filter(F.col("YEAR").isin(FIRST, LAST)).groupBy(
+    rows = person(spark, folder, "CPUMA0010", "YEAR", "PERWT", years=[FIRST, LAST])
+    cells = rows.groupBy(
         F.col("CPUMA0010").alias("area"), F.col("YEAR").alias("year")).agg(F.sum("PERWT").alias("est"))
     change = two_point(cells, ["area"], "year", FIRST, LAST, ["est"]).select("area", difference("est").alias("pg"))
     return change.withColumn("growth", cut_right("pg", GROWTH_BREAKS, GROWTH_LABELS))
@@ -161,7 +161,7 @@ FROM (SELECT area, max(mx) FILTER (year = 2000) / max(mx) FILTER (year = 1995) A
             FROM person WHERE YEAR IN (1995, 2000) GROUP BY ALL) GROUP BY area HAVING count(*) = 2)
 """))
 def endpoint_ratio(spark, folder):
-    rows = person(spark, folder, "CPUMA0010", "YEAR", "BPL", "PERWT").filter(F.col("YEAR").isin(1995, LAST))
+    rows = person(spark, folder, "CPUMA0010", "YEAR", "BPL", "PERWT", years=[1995, LAST])
     cells = rows.groupBy(F.col("CPUMA0010").alias("area"), F.col("YEAR").alias("year")).agg(
         (F.sum(F.when(recode.born_in_mexico(), F.col("PERWT")).otherwise(0.0)) + 1).alias("mx"))
     ratios = two_point(cells, ["area"], "year", 1995, LAST, ["mx"]).select("area", end_ratio("mx").alias("exact"))
@@ -186,7 +186,7 @@ def mean_age_change_classes(spark, folder):
 
     An article has one size, so a person's schooling stands in for age here.
     """
-    rows = person(spark, folder, "CPUMA0010", "YEAR", "EDUC", "PERWT").filter(F.col("YEAR").isin(FIRST, LAST))
+    rows = person(spark, folder, "CPUMA0010", "YEAR", "EDUC", "PERWT", years=[FIRST, LAST])
     cells = rows.groupBy(F.col("CPUMA0010").alias("area"), F.col("YEAR").alias("year")).agg(
         weighted_mean("EDUC").alias("age"))
     change = two_point(cells, ["area"], "year", FIRST, LAST, ["age"], missing="null").select(
@@ -202,7 +202,7 @@ SELECT YEAR, round(sum(PERWT * AGE) / sum(PERWT), 6) FROM person WHERE YEAR = 20
 """))
 def national_mean_age(spark, folder):
     """Mean age of each year over everyone; one pass gives both years."""
-    rows = person(spark, folder, "YEAR", "AGE", "PERWT").filter(F.col("YEAR").isin(FIRST, LAST))
+    rows = person(spark, folder, "YEAR", "AGE", "PERWT", years=[FIRST, LAST])
     return rows.groupBy(F.col("YEAR").alias("year")).agg(r6(weighted_mean("AGE")).alias("mean_age"))
 
 
@@ -243,7 +243,7 @@ FROM (SELECT *, n / sum(n) OVER (PARTITION BY growing) AS proportion
 """, GRID_SQL))
 def age_structure_of_growing_areas(spark, folder):
     growing = area_growth(spark, folder).filter((F.col("origin") == "Mexico") & (F.col("pg") > 0)).select("area")
-    rows = working_age(spark, folder).filter((F.col("YEAR") == LAST) & recode.born_in_mexico()).select(
+    rows = working_age(spark, folder, years=[LAST]).filter(recode.born_in_mexico()).select(
         F.col("CPUMA0010").alias("area"), age_band("AGE").alias("age_group"), "AGE", "PERWT")
     # Rows are summed per area before the flag is joined; the sums stay exact.
     cells = rows.groupBy("area", "age_group").agg(
@@ -285,7 +285,7 @@ per_state AS (SELECT AREASTATE AS state, sum(CASE WHEN YEAR = 2000 THEN PERWT EL
   FROM person WHERE YEAR IN (1996, 2000) GROUP BY ALL)
 """))
 def popup_and_colour_domain(spark, folder):
-    rows = person(spark, folder, "AREASTATE", "YEAR", "PERWT").filter(F.col("YEAR").isin(FIRST, LAST))
+    rows = person(spark, folder, "AREASTATE", "YEAR", "PERWT", years=[FIRST, LAST])
     cells = rows.groupBy(F.col("AREASTATE").alias("state"), F.col("YEAR").alias("year")).agg(F.sum("PERWT").alias("est"))
     growth = two_point(cells, ["state"], "year", FIRST, LAST, ["est"]).select("state", difference("est").alias("pg"))
     # States are a short list; their extreme comes from a window over it.

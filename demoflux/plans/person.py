@@ -7,7 +7,7 @@ the article table. Lookup sizes decide the join method; nothing is forced to bro
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,12 +102,25 @@ ROLES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
 }
 
 
-def person(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """The asked-for survey columns of every person row."""
+def _in_years(years: Sequence[int]) -> Column:
+    """Date ranges of whole years, in a form that reaches the parquet scan."""
+    start = lambda year: F.lit(f"{year}-01-01").cast("timestamp_ntz")
+    inside = None
+    for year in years:
+        within = (F.col("o_orderdate") >= start(year)) & (F.col("o_orderdate") < start(year + 1))
+        inside = within if inside is None else inside | within
+    return inside
+
+
+def person(spark: SparkSession, folder: str, *columns: str, years: Sequence[int] | None = None) -> DataFrame:
+    """The asked-for survey columns of every person row, or of the rows of some years."""
     needs = {table for c in columns for table in ROLES[c][0]}
     rows = load(spark, folder, "lineitem")
-    if "orders" in needs:
-        rows = rows.join(load(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if "orders" in needs or years is not None:
+        orders = load(spark, folder, "orders")
+        if years is not None:
+            orders = orders.filter(_in_years(years))
+        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     # Codebooks are literal tables of a few rows. Joining them keeps the codes as plain columns, so
     # recodes and pushed-down filters do not repeat a chain of comparisons for every use.
     if "birthplaces" in needs:

@@ -259,8 +259,8 @@ SELECT CPUMA0010 AS area, round(sum(PERWT * AGE) / sum(PERWT), 6) AS age
 FROM person WHERE bplc = 'Mexico' AND YEAR = 2000 GROUP BY ALL
 """))
 def mean_age_by_area(spark, folder):
-    rows = person(spark, folder, "CPUMA0010", "YEAR", "BPL", "AGE", "PERWT")
-    return rows.filter(recode.born_in_mexico() & (F.col("YEAR") == 2000)).groupBy(F.col("CPUMA0010").alias("area")).agg(
+    rows = person(spark, folder, "CPUMA0010", "BPL", "AGE", "PERWT", years=[2000])
+    return rows.filter(recode.born_in_mexico()).groupBy(F.col("CPUMA0010").alias("area")).agg(
         r6(weighted_mean("AGE")).alias("age"))
 
 
@@ -271,11 +271,10 @@ FROM (SELECT CPUMA0010 AS area, sum(CASE WHEN bplc = 'Mexico' THEN PERWT ELSE 0
 """))
 def area_share(spark, folder):
     """Each area's share of the Mexican-born; the grand total is one value, not a window over all areas."""
-    rows = person(spark, folder, "CPUMA0010", "YEAR", "BPL", "PERWT").filter(F.col("YEAR") == 2000)
+    rows = person(spark, folder, "CPUMA0010", "BPL", "PERWT", years=[2000])
     cells = rows.groupBy(F.col("CPUMA0010").alias("area")).agg(
         conditional_sum("PERWT", recode.born_in_mexico()).alias("pop"))
-    everyone = rows.filter(recode.born_in_mexico()).select(F.col("PERWT").alias("pop"))
-    shared = share_of_total(cells, everyone, "pop")
+    shared = share_of_total(cells, cells, "pop")
     return shared.select("area", "pop", F.round("share", 9).alias("share"))
 
 
@@ -287,11 +286,10 @@ FROM (SELECT *, pop / sum(pop) OVER (PARTITION BY year) AS share
 GROUP BY area HAVING count(*) = 2
 """))
 def change_in_area_share(spark, folder):
-    rows = person(spark, folder, "YEAR", "CPUMA0010", "BPL", "PERWT").filter(F.col("YEAR").isin(1996, 2000))
+    rows = person(spark, folder, "YEAR", "CPUMA0010", "BPL", "PERWT", years=[1996, 2000])
     named = rows.select(F.col("YEAR").alias("year"), F.col("CPUMA0010").alias("area"), "BPL", "PERWT")
     cells = named.groupBy("year", "area").agg(conditional_sum("PERWT", recode.born_in_mexico()).alias("pop"))
-    everyone = named.filter(recode.born_in_mexico()).select("year", F.col("PERWT").alias("pop"))
-    shared = share_of_total(cells, everyone, "pop", ["year"])
+    shared = share_of_total(cells, cells, "pop", ["year"])
     change = two_point(shared, ["area"], "year", 1996, 2000, ["share"])
     return change.select("area", F.round(difference("share"), 9).alias("delta_share"))
 
