@@ -2,7 +2,8 @@
 
 A person row is an order line with its order, buyer, seller and article. Only the tables
 that the asked-for columns need are joined, so a query on origin and weight never reads
-the article table. Lookup sizes decide the join method; nothing is forced to broadcast.
+the article table. Spark broadcasts a stored table only if its size allows it; only the
+literal codebooks are hinted.
 """
 
 from __future__ import annotations
@@ -121,13 +122,13 @@ def person(spark: SparkSession, folder: str, *columns: str, years: Sequence[int]
         if years is not None:
             orders = orders.filter(_in_years(years))
         rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    # Codebooks are literal tables of a few rows. Joining them keeps the codes as plain columns, so
-    # recodes and pushed-down filters do not repeat a chain of comparisons for every use.
+    # Codebooks are literal tables of a few rows, so they may be broadcast. Joining them keeps the codes
+    # as plain columns: recodes and pushed-down filters do not repeat a chain of comparisons for every use.
     if "birthplaces" in needs:
-        rows = rows.join(spark.sql(BIRTHPLACES), (F.col("l_returnflag") == F.col("flag")) & (
+        rows = rows.join(F.broadcast(spark.sql(BIRTHPLACES)), (F.col("l_returnflag") == F.col("flag")) & (
             F.col("l_linestatus") == F.col("status")), "left")
     if "ethnicities" in needs:
-        rows = rows.join(spark.sql(ETHNICITIES), F.col("o_orderpriority") == F.col("priority"), "left")
+        rows = rows.join(F.broadcast(spark.sql(ETHNICITIES)), F.col("o_orderpriority") == F.col("priority"), "left")
     if "part" in needs:
         rows = rows.join(load(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if "supplier" in needs:
