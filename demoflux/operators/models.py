@@ -18,6 +18,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demoflux.functions.semantics import inverse_logit
 from demoflux.session import cut_lineage
 
 MAX_COLUMNS = 400
@@ -45,28 +46,39 @@ class DesignMatrix:
     levels: dict[str, tuple]
 
     def columns(self) -> list[tuple[str, Column]]:
-        out = [("(Intercept)", F.lit(1.0))]
+        """Name and value of every model column."""
+        return [(name, self._value(parts)) for name, parts in self._parts()]
+
+    def names(self) -> list[str]:
+        return [name for name, _ in self._parts()]
+
+    def _parts(self) -> list[tuple[str, tuple[tuple[str, object], ...]]]:
+        """Every model column as a name and the (variable, level) pairs it multiplies."""
+        out = [("(Intercept)", ())]
         for term in self.terms:
-            partial: list[tuple[str, Column]] = [("", F.lit(1.0))]
+            partial = [((), ())]
             for variable in term:
+                choices = self.levels[variable][1:] if variable in self.levels else [None]
                 partial = [
-                    (f"{name}:{label}" if name else label, value * factor)
-                    for label, factor in self._variable(variable)
-                    for name, value in partial
+                    ((*names, variable if level is None else f"{variable}{level}"), (*pairs, (variable, level)))
+                    for level in choices for names, pairs in partial
                 ]
-            out.extend(partial)
+            out.extend((":".join(names), pairs) for names, pairs in partial)
         return out
 
-    def _variable(self, variable: str) -> list[tuple[str, Column]]:
-        if variable not in self.levels:
-            return [(variable, F.col(variable).cast("double"))]
-        return [
-            (f"{variable}{level}", F.when(F.col(variable) == F.lit(level), 1.0).otherwise(0.0))
-            for level in self.levels[variable][1:]
-        ]
-
-    def names(self) -> list[str]:
-        return [name for name, _ in self.columns()]
+    @staticmethod
+    def _value(pairs: tuple[tuple[str, object], ...]) -> Column:
+        """Product of the numeric variables where all factor levels hold, else 0."""
+        numbers = [F.col(v).cast("double") for v, level in pairs if level is None]
+        product = F.lit(1.0)
+        for i, number in enumerate(numbers):
+            product = number if i == 0 else product * number
+        held = None
+        for variable, level in pairs:
+            if level is not None:
+                hit = F.col(variable) == F.lit(level)
+                held = hit if held is None else held & hit
+        return product if held is None else F.when(held, product).otherwise(0.0)
 
     def row(self) -> Column:
         """The design row as an array."""
@@ -131,6 +143,31 @@ def _information(rows: DataFrame, beta: np.ndarray) -> DataFrame:
     return rows.mapInPandas(partial, "i int, j int, a double, b double")
 
 
+def _covariances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse information and sandwich; columns the data say nothing about are NaN.
+
+    Columns of unlike size are brought to one scale before inverting.
+    """
+    known = np.flatnonzero(np.diag(a) > 0)
+    block = np.ix_(known, known)
+    scale = 1.0 / np.sqrt(np.diag(a)[known])
+    small = np.linalg.inv(a[block] * np.outer(scale, scale)) * np.outer(scale, scale)
+    inverse, sandwich = np.full(a.shape, np.nan), np.full(a.shape, np.nan)
+    inverse[block], sandwich[block] = small, small @ b[block] @ small
+    return inverse, sandwich
+
+
+def _predictor(row: Column, beta: np.ndarray) -> Column:
+    """Product of a design row and the coefficients."""
+    products = F.zip_with(row, F.array(*[F.lit(float(v)) for v in beta]), lambda u, v: u * v)
+    return F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
+
+
+def fitted_probability(fit: LogisticFit) -> Column:
+    """The model's probability for a row with the model's covariates."""
+    return inverse_logit(_predictor(fit.design.row(), fit.coefficients))
+
+
 def fit_logistic(
     patterns: DataFrame, model: Sequence[tuple[str, ...]], levels: dict[str, tuple], weighted: bool = True
 ) -> LogisticFit:
@@ -161,11 +198,9 @@ def fit_logistic(
     for r in sums.collect():
         a[r["i"], r["j"]] = a[r["j"], r["i"]] = r["a"]
         b[r["i"], r["j"]] = b[r["j"], r["i"]] = r["b"]
-    inverse = np.linalg.inv(a)
-    sandwich = inverse @ b @ inverse * (n / (n - 1.0))
+    inverse, sandwich = _covariances(a, b * (n / (n - 1.0)))
 
-    eta = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in beta]), lambda u, v: u * v),
-                      F.lit(0.0), lambda acc, v: acc + v)
+    eta = _predictor(F.col("x"), beta)
     log_lik = F.sum(F.col("_wy") * eta - F.col("_w") * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))))
     deviance = -2.0 * float(rows.agg(log_lik).first()[0])
     return LogisticFit(design, beta, sandwich if weighted else inverse, inverse, deviance, n)
@@ -207,7 +242,7 @@ def predict_band(grid: DataFrame, fit: LogisticFit, draws: int = 1000, seed: int
     """
     rng = np.random.default_rng(seed)
     beta = fit.coefficients
-    simulated = rng.multivariate_normal(beta, fit.covariance, size=draws, method="eigh").T
+    simulated = rng.multivariate_normal(beta, np.nan_to_num(fit.covariance), size=draws, method="eigh").T
 
     @F.pandas_udf("fit double, lwr double, upr double")
     def band(x: pd.Series) -> pd.DataFrame:

@@ -13,7 +13,7 @@ from demoflux.operators.aggregate import (
     aggregate_each, columns_of_type, conditional_sum, map_columns, numeric_columns, rename_each, share_in_group,
     strict_sum, weighted_mean,
 )
-from demoflux.operators.binning import dense_code
+from demoflux.operators.binning import cut_number, dense_code
 from demoflux.operators.change import difference, two_point
 from demoflux.operators.joins import band_of_ages, join_nullsafe, natural_join
 from demoflux.operators.reshape import gather, keep_positions, spread
@@ -199,6 +199,18 @@ def filled_shares(spark, folder):
         share("fbHispanicPopulation", "hispanicPopulation").alias("p_fb_hispanic"))
 
 
+@query("q22g_county_totals", with_person("""
+SELECT sum(total) AS "totalPopulation", sum(white) AS "whitePopulation", sum(hisp) AS "hispanicPopulation",
+  sum(other) AS "otherPopulation", sum(fbhisp) AS "fbHispanicPopulation"
+FROM acs WHERE year = 2000 AND substr(geoid, 1, 2) IN ('03', '07', '11')
+""", ACS_SQL))
+def county_totals(spark, folder):
+    """Sums of all numeric columns over a few counties, the county being the head of the area code."""
+    wide = wide_estimates(spark, folder, [2000]).withColumn("county", F.substring("GEOID", 1, 2))
+    some = wide.filter(F.col("county").isin("03", "07", "11")).drop("year")
+    return aggregate_each(some, [], numeric_columns(some), F.sum)
+
+
 @query("q22f_strict_state_sums", with_person("""
 SELECT state, sum(hisp) AS hisp, CASE WHEN count(ratio) = count(*) THEN round(sum(ratio), 6) END AS ratio_sum
 FROM (SELECT state, hisp, fbhisp / NULLIF(hisp, 0) AS ratio FROM acs WHERE year = 2000) GROUP BY ALL
@@ -446,10 +458,37 @@ FROM (SELECT printf('%02d', STATEFIP) || '-' || STRATA AS geoid, YEAR AS year, P
       FROM person WHERE YEAR IN (1996, 2000)) GROUP BY ALL
 """))
 def mean_age_from_labels(spark, folder):
+    return _mean_ages(spark, folder).withColumn("mean_age", r6("mean_age"))
+
+
+def _mean_ages(spark, folder) -> DataFrame:
     table = cut_lineage(age_estimates(spark, folder))
     placed = join_nullsafe(table, harmonised_labels(table).select("year", "label", "band", "age_mean"), ["year", "label"])
     summed = placed.groupBy("geoid", "year", "band", "age_mean").agg(F.sum("estimate").alias("estimate"))
-    return summed.groupBy("geoid", "year").agg(r6(weighted_mean("age_mean", "estimate")).alias("mean_age"))
+    return summed.groupBy("geoid", "year").agg(weighted_mean("age_mean", "estimate").alias("mean_age"))
+
+
+@query("q32d_mean_age_change_from_labels", with_person("""
+SELECT geoid, round(diff, 6) AS mean_age_diff,
+  CASE WHEN diff <= q[2] THEN 1 WHEN diff <= q[3] THEN 2 WHEN diff <= q[4] THEN 3 WHEN diff <= q[5] THEN 4
+    WHEN diff <= q[6] THEN 5 WHEN diff <= q[7] THEN 6 END AS class
+FROM diffs, (SELECT quantile_cont(diff, [0.0, 1/6, 2/6, 3/6, 4/6, 5/6, 1.0]) AS q FROM diffs)
+""", """
+diffs AS (
+  SELECT geoid, sum(mid * PERWT) FILTER (year = 2000) / sum(PERWT) FILTER (year = 2000)
+    - sum(mid * PERWT) FILTER (year = 1996) / sum(PERWT) FILTER (year = 1996) AS diff
+  FROM (SELECT printf('%02d', STATEFIP) || '-' || STRATA AS geoid, YEAR AS year, PERWT,
+          CASE WHEN AGE < 15 OR AGE >= 25 THEN (AGE // 5) * 5 + 2.5 WHEN AGE <= 17 THEN 16.5 WHEN AGE <= 19 THEN 19.0
+            WHEN AGE <= 21 THEN AGE + 0.5 ELSE 23.5 END AS mid
+        FROM person WHERE YEAR IN (1996, 2000)) GROUP BY ALL)
+"""))
+def mean_age_change_from_labels(spark, folder):
+    """Ageing of every area between the two tables, in six classes of equal size."""
+    ages = _mean_ages(spark, folder)
+    change = two_point(ages, ["geoid"], "year", *YEARS, ["mean_age"], missing="null").select(
+        "geoid", difference("mean_age").alias("diff"))
+    classed = cut_number(cut_lineage(change), "diff", 6, "class")
+    return classed.select("geoid", r6("diff").alias("mean_age_diff"), "class")
 
 
 @query("q32b_age_dictionary", """

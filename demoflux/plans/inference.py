@@ -8,7 +8,7 @@ from demoflux.functions import recode
 from demoflux.functions.semantics import age_band, paste
 from demoflux.functions.student import Z_975, t_table
 from demoflux.operators.models import (
-    coefficient_table, covariate_patterns, crossed, factor_levels, fit_logistic, predict_band, terms,
+    coefficient_table, covariate_patterns, crossed, design_bic, factor_levels, fit_logistic, fitted_probability, predict_band, terms,
 )
 from demoflux.operators.survey import SurveyDesign, clustered_proportion, survey_proportion
 from demoflux.plans.person import person, with_person
@@ -71,25 +71,58 @@ def migration_rate_with_limits(spark, folder):
     return _rounded(survey_proportion(SurveyDesign(rows), recode.moved_county(), by), by)
 
 
+@query("q8c_fertility_by_origin", with_person(limits_sql("""
+  SELECT *, (SELECT count(*) FROM person) / ((SELECT count(*) FROM person) - 1.0)
+      * ((1 - 2 * p) * wwy + p * p * ww) / (w * w) AS v, n - 1 AS df
+  FROM (SELECT band AS age_group, origin9 AS origin, YEAR AS year, cluster_now AS cluster, count(*) AS n, sum(PERWT) AS w,
+          sum(PERWT * PERWT) AS ww, sum(PERWT * PERWT * (FERTYR - 1)) AS wwy, sum(PERWT * (FERTYR - 1)) / sum(PERWT) AS p
+        FROM person WHERE FERTYR IN (1, 2) GROUP BY ALL)
+""", "age_group, origin, year, cluster")))
+def fertility_by_origin(spark, folder):
+    rows = person(spark, folder, "AGE", "HISPAN", "RACE", "BPL", "YEAR", "Cluster", "FERTYR", "PERWT").select(
+        age_band("AGE").alias("age_group"), recode.origin_nine().alias("origin"), F.col("YEAR").alias("year"),
+        F.col("Cluster").alias("cluster"), "FERTYR", "PERWT")
+    by = ["age_group", "origin", "year", "cluster"]
+    return _rounded(survey_proportion(SurveyDesign(rows), recode.had_child_last_year(), by), by)
+
+
+@query("q8d_migration_trend", with_person(limits_sql("""
+  SELECT *, (SELECT count(*) FROM person) / ((SELECT count(*) FROM person) - 1.0)
+      * ((1 - 2 * p) * wwy + p * p * ww) / (w * w) AS v, n - 1 AS df
+  FROM (SELECT YEAR AS year, CASE WHEN grouping(band) = 1 THEN -1 ELSE band END AS age_group, count(*) AS n, sum(PERWT) AS w,
+          sum(PERWT * PERWT) AS ww, sum(CASE WHEN MIGRATE1D >= 24 THEN PERWT * PERWT ELSE 0 END) AS wwy,
+          sum(CASE WHEN MIGRATE1D >= 24 THEN PERWT ELSE 0 END) / sum(PERWT) AS p
+        FROM person GROUP BY GROUPING SETS ((YEAR), (YEAR, band)))
+""", "year, age_group")))
+def migration_trend(spark, folder):
+    """Migration rate per year, and per year and age band; the rate over all bands has the label -1."""
+    rows = person(spark, folder, "AGE", "YEAR", "MIGRATE1D", "PERWT").select(
+        age_band("AGE").alias("age_group"), F.col("YEAR").alias("year"), "MIGRATE1D", "PERWT")
+    by = ["year", "age_group"]
+    per_band = survey_proportion(SurveyDesign(rows), recode.moved_area(), by)
+    overall = survey_proportion(SurveyDesign(rows), recode.moved_area(), ["year"]).withColumn("age_group", F.lit(-1))
+    return _rounded(per_band.unionByName(overall), by)
+
+
 @query("q8b_clustered_migration_rate", with_person(limits_sql("""
   SELECT year, origin, max(p) AS p, sum(n) AS n, CAST(sum(units) - count(*) AS BIGINT) AS df,
     sum(CASE WHEN m > 1 THEN m / (m - 1.0) * (uu - u * u / m) ELSE 0 END) AS v
   FROM (SELECT year, origin, stratum, any_value(p) AS p, sum(n) AS n, count(*) AS units, sum(u) AS u, sum(u * u) AS uu
-        FROM (SELECT r.year, r.origin, stratum, CLUSTER, any_value(p) AS p, count(*) AS n, sum(PERWT * (y - p) / w) AS u
+        FROM (SELECT r.year, r.origin, stratum, SERIAL, any_value(p) AS p, count(*) AS n, sum(PERWT * (y - p) / w) AS u
               FROM rows r JOIN (SELECT year, origin, sum(PERWT * y) / sum(PERWT) AS p, sum(PERWT) AS w FROM rows GROUP BY ALL) g
                 ON r.year = g.year AND r.origin = g.origin
-              GROUP BY r.year, r.origin, stratum, CLUSTER) GROUP BY year, origin, stratum)
-  JOIN (SELECT stratum, count(DISTINCT CLUSTER) AS m FROM rows GROUP BY stratum) USING (stratum)
+              GROUP BY r.year, r.origin, stratum, SERIAL) GROUP BY year, origin, stratum)
+  JOIN (SELECT stratum, count(DISTINCT SERIAL) AS m FROM rows GROUP BY stratum) USING (stratum)
   GROUP BY year, origin
 """, "year, origin"), """
-rows AS (SELECT YEAR AS year, origin6 AS origin, STRATA || '_' || YEAR AS stratum, CLUSTER, PERWT,
+rows AS (SELECT YEAR AS year, origin6 AS origin, STRATA || '_' || YEAR AS stratum, SERIAL, PERWT,
   CASE WHEN MIGCOUNTY1 <> 0 THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM person)
 """).replace("SELECT year, origin, n,", "SELECT year, origin, CAST(n AS BIGINT) AS n,"))
 def clustered_migration_rate(spark, folder):
-    rows = person(spark, folder, "YEAR", "BPL", "HISPAN", "STRATA", "CLUSTER", "MIGCOUNTY1", "PERWT").select(
+    rows = person(spark, folder, "YEAR", "BPL", "HISPAN", "STRATA", "SERIAL", "MIGCOUNTY1", "PERWT").select(
         F.col("YEAR").alias("year"), recode.origin_six().alias("origin"), paste("_", "STRATA", "YEAR").alias("stratum"),
-        "CLUSTER", "MIGCOUNTY1", "PERWT")
-    design = SurveyDesign(rows, psu="CLUSTER", strata="stratum")
+        "SERIAL", "MIGCOUNTY1", "PERWT")
+    design = SurveyDesign(rows, psu="SERIAL", strata="stratum")
     by = ["year", "origin"]
     return _rounded(clustered_proportion(design, recode.moved_county(), by), by)
 
@@ -108,11 +141,58 @@ def _migration_patterns(spark, folder):
 FACTORS = ["YEAR", "SEX", "BPLCR", "Cluster"]
 
 
-def migration_model(spark, folder):
+_PLACE = crossed("BPLCR", "Cluster")
+_PLACE_AGE = crossed("BPLCR", "Cluster", "AGE")
+_PLACE_AGE2 = crossed("AGE2", "BPLCR", "Cluster")
+
+# The ten nested and competing models of moving, from the year alone to all interactions.
+MIGRATION_MODELS = {
+    "lm1": terms("YEAR"),
+    "lm2": terms("YEAR", "SEX"),
+    "lm3": terms("YEAR", "SEX", "BPLCR"),
+    "lm4": terms("YEAR", "SEX", "BPLCR", "Cluster"),
+    "lm5": terms("YEAR", "SEX", _PLACE),
+    "lm6": terms("YEAR", "SEX", _PLACE, "AGE", "AGE2"),
+    "lm7": terms("SEX", crossed("YEAR", "BPLCR", "Cluster"), "AGE", "AGE2"),
+    "lm8": terms("SEX", "YEAR", _PLACE_AGE, _PLACE_AGE2),
+    "lm9": terms("YEAR", crossed("SEX", "BPLCR", "Cluster", "AGE"), crossed("AGE2", "BPLCR", "Cluster", "SEX")),
+    "lm10": terms("YEAR", crossed("SEX", "BPLCR"), _PLACE_AGE, _PLACE_AGE2),
+}
+
+
+def migration_model(spark, folder, name="lm6"):
+    patterns = _migration_patterns(spark, folder)
+    return patterns, fit_logistic(patterns, MIGRATION_MODELS[name], factor_levels(patterns, FACTORS))
+
+
+@query("q27e_fitted_movers", with_person("""
+SELECT YEAR AS year, SUM(w) AS persons, sum(wy) AS observed, sum(wy) AS fitted FROM (
+  SELECT YEAR, PERWT AS w, CASE WHEN MIGRATE1D >= 24 THEN PERWT ELSE 0 END AS wy FROM person
+  WHERE origin_c IN ('Native Hispanic', 'Native White', 'Mexico') AND MIGRATE1D NOT IN (0, 20, 40)
+    AND cluster_now IS NOT NULL) GROUP BY ALL
+"""))
+def fitted_movers(spark, folder):
+    """Weighted movers per year, counted and as the model predicts them.
+
+    A fitted logistic model with a factor reproduces the weighted counts of the factor's levels, so
+    the two columns agree.
+    """
+    patterns, fit = migration_model(spark, folder)
+    predicted = patterns.withColumn("p", fitted_probability(fit))
+    return predicted.groupBy(F.col("YEAR").alias("year")).agg(
+        F.sum("_w").alias("persons"), F.sum("_wy").alias("observed"),
+        F.round(F.sum(F.col("_w") * F.col("p")), 2).alias("fitted"))
+
+
+@query("q27d_model_comparison")
+def model_comparison(spark, folder):
+    """Design-based BIC of two nested models, the larger one being the maximal model."""
     patterns = _migration_patterns(spark, folder)
     levels = factor_levels(patterns, FACTORS)
-    model = terms("YEAR", "SEX", crossed("BPLCR", "Cluster"), "AGE", "AGE2")
-    return patterns, fit_logistic(patterns, model, levels)
+    fits = {name: fit_logistic(patterns, MIGRATION_MODELS[name], levels) for name in ("lm8", "lm10")}
+    scores = [(name, design_bic(fit, fits["lm10"])) for name, fit in fits.items()]
+    return spark.createDataFrame(
+        [(name, int(s["p"]), s["bic"]) for name, s in scores], "model string, parameters int, bic double")
 
 
 @query("q27_migration_model_band")
@@ -139,8 +219,7 @@ def migration_model_coefficients(spark, folder):
     return coefficient_table(spark, fit)
 
 
-@query("q40_unweighted_logistic")
-def unweighted_logistic(spark, folder):
+def unweighted_model(spark, folder):
     """Moving by sex, age group, schooling, marriage x children and year x ethnicity, without weights."""
     rows = person(
         spark, folder, "SEX", "AGE", "EDUC", "MARST", "NCHILD", "YEAR", "BPL", "HISPAN", "RACE", "CITIZEN", "MIGCOUNTY1")
@@ -153,4 +232,27 @@ def unweighted_logistic(spark, folder):
     patterns = covariate_patterns(prepared, factors, "moved", None)
     model = terms("SEX", "AGEG", "EDU", crossed("MARRIED", "CHILD"), crossed("YEAR", "ETHCIT1"))
     fit = fit_logistic(patterns, model, factor_levels(patterns, factors), weighted=False)
-    return coefficient_table(spark, fit)
+    return patterns, fit
+
+
+@query("q40_unweighted_logistic")
+def unweighted_logistic(spark, folder):
+    return coefficient_table(spark, unweighted_model(spark, folder)[1])
+
+
+@query("q40b_fitted_by_ethnicity", with_person("""
+SELECT eth AS ethnicity, YEAR AS year, count(*) AS n, CAST(count(*) FILTER (MIGCOUNTY1 <> 0) AS DOUBLE) AS observed,
+  CAST(count(*) FILTER (MIGCOUNTY1 <> 0) AS DOUBLE) AS fitted
+FROM (SELECT *, CASE WHEN BPL < 100 AND HISPAN = 1 THEN 'Native Latino' WHEN BPL < 100 AND RACE = 1 THEN 'Native White'
+          WHEN BPL >= 150 AND CITIZEN < 3 AND HISPAN = 1 THEN 'FB Latino Citizen'
+          WHEN BPL >= 150 AND CITIZEN >= 3 AND HISPAN = 1 THEN 'FB Latino Non-Citizen' END AS eth
+      FROM person WHERE AGE BETWEEN 18 AND 65)
+WHERE eth IS NOT NULL GROUP BY ALL
+"""))
+def fitted_by_ethnicity(spark, folder):
+    """Movers per ethnicity and year, counted and as the model with that interaction predicts them."""
+    patterns, fit = unweighted_model(spark, folder)
+    predicted = patterns.withColumn("p", fitted_probability(fit))
+    return predicted.groupBy(F.col("ETHCIT1").alias("ethnicity"), F.col("YEAR").alias("year")).agg(
+        F.sum("_n").alias("n"), F.sum("_wy").alias("observed"),
+        F.round(F.sum(F.col("_w") * F.col("p")), 2).alias("fitted"))

@@ -20,13 +20,12 @@ EXTRACT = [
 
 
 def _extract(spark, folder):
-    rows = person(spark, folder, "YEAR", "CLUSTER", "PERWT", "AGE", "SEX", "STRATA")
-    return rows.withColumnRenamed("CLUSTER", "SERIAL")
+    return person(spark, folder, "YEAR", "SERIAL", "PERWT", "AGE", "SEX", "STRATA")
 
 
 _SUMMARY = with_person("""
 SELECT YEAR AS year, STRATA AS strata, SEX AS sex, count(*) AS n_rows, sum(PERWT) AS n,
-  round(sum(AGE * PERWT) / sum(PERWT), 6) AS mean_age, max(CLUSTER) AS last_serial
+  round(sum(AGE * PERWT) / sum(PERWT), 6) AS mean_age, max(SERIAL) AS last_serial
 FROM person GROUP BY ALL
 """)
 

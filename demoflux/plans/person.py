@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demoflux.sources.store import materialize
 from demoflux.sources.tables import load
 
 # Which survey codes the categories of the stored tables stand for.
@@ -71,7 +72,7 @@ def _prior_area() -> Column:
 ROLES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "PERWT": ((), lambda: F.col("l_quantity")),
     "CPUMA0010": ((), lambda: F.col("l_partkey")),
-    "CLUSTER": ((), lambda: F.col("l_orderkey")),
+    "SERIAL": ((), lambda: F.col("l_orderkey")),
     "LINE": ((), lambda: F.col("l_linenumber")),
     "BPL": (("birthplaces",), _birthplace_code),
     "YRIMMIG": (("birthplaces",), lambda: F.when(_birthplace_code() < 100, 0).otherwise(1980 + 3 * F.col("l_linenumber"))),
@@ -113,8 +114,27 @@ def _in_years(years: Sequence[int]) -> Column:
     return inside
 
 
+# Session setting that names a stored person view.
+STORED_VIEW = "spark.demoflux.personView"
+
+
+def store_person(spark: SparkSession, folder: str, path: str, refresh: bool = False) -> DataFrame:
+    """Write the whole person view once, partitioned by year, and use it for later queries of the session.
+
+    The joins are then paid once, and a query on two years reads two partitions.
+    """
+    spark.conf.unset(STORED_VIEW)
+    stored_view = materialize(spark, path, lambda: person(spark, folder, *ROLES), refresh, ("YEAR",))
+    spark.conf.set(STORED_VIEW, path)
+    return stored_view
+
+
 def person(spark: SparkSession, folder: str, *columns: str, years: Sequence[int] | None = None) -> DataFrame:
     """The asked-for survey columns of every person row, or of the rows of some years."""
+    stored_view = spark.conf.get(STORED_VIEW, None)
+    if stored_view:
+        rows = spark.read.parquet(stored_view)
+        return (rows if years is None else rows.filter(F.col("YEAR").isin(list(years)))).select(*columns)
     needs = {table for c in columns for table in ROLES[c][0]}
     rows = load(spark, folder, "lineitem")
     if "orders" in needs or years is not None:
@@ -182,7 +202,7 @@ person AS (
     YRIMMIG <> 0 AS fb,
     CAST(CASE WHEN AGE <= 5 THEN 0 ELSE ((AGE - 1) // 5) * 5 END AS INTEGER) AS band
   FROM (
-    SELECT l_quantity AS PERWT, l_partkey AS CPUMA0010, l_orderkey AS CLUSTER, l_linenumber AS LINE,
+    SELECT l_quantity AS PERWT, l_partkey AS CPUMA0010, l_orderkey AS SERIAL, l_linenumber AS LINE,
       l_discount, l_tax,
       CASE WHEN l_linenumber <= 3 THEN 1 ELSE 2 END AS SEX,
       CASE WHEN l_discount < 0.015 THEN 0 WHEN l_discount < 0.075 THEN 1 ELSE 2 END AS FERTYR,

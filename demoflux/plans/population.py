@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demoflux.functions import recode
-from demoflux.functions.semantics import age_band, in_set, pad_code, short_number
+from demoflux.functions.semantics import age_band, in_set, pad_code, safe_div, short_number
 from demoflux.operators.aggregate import (
     conditional_sum, group_total, share_in_group, share_of_total, weighted_count, weighted_mean, weighted_rate,
 )
 from demoflux.operators.change import difference, two_point
 from demoflux.operators.flows import leaving_rate
-from demoflux.operators.joins import join_nullsafe
+from demoflux.operators.joins import join_nullsafe, natural_join
 from demoflux.plans.person import person, state_clusters, with_person
 from demoflux.plans.registry import query, r6
 
@@ -29,6 +29,20 @@ def population_by_race_and_birthplace(spark, folder):
     return cells.withColumn("race", recode.race_or_other(F.col("race")))
 
 
+@query("q1b_state_population_series", with_person("""
+SELECT n_name AS name, YEAR AS year, coalesce(race4, 'Other') AS race, fb AS foreign_born, sum(PERWT) AS n
+FROM person JOIN nation ON STATEFIP = n_nationkey WHERE n_name = 'NATION_6' GROUP BY ALL
+"""))
+def state_population_series(spark, folder):
+    rows = person(spark, folder, "STATEFIP", "YEAR", "HISPAN", "RACE", "YRIMMIG", "PERWT")
+    cells = rows.groupBy(
+        "STATEFIP", F.col("YEAR").alias("year"), recode.race([4, 5, 6]).alias("race"),
+        recode.foreign_born().alias("foreign_born"),
+    ).agg(F.sum("PERWT").alias("n")).withColumn("race", recode.race_or_other(F.col("race")))
+    names = state_clusters(spark, folder).select("STATEFIP", F.col("Name").alias("name"))
+    return natural_join(cells, names).filter(F.col("name") == "NATION_6").drop("STATEFIP")
+
+
 def _age_distribution(rows, by, mean_age):
     """Counts per band with their share of the group and the group's mean age."""
     cells = rows.groupBy(*by, "age_group").agg(F.sum("PERWT").alias("n"), mean_age.alias("_age"))
@@ -70,6 +84,22 @@ def age_distribution_by_region(spark, folder):
     return _age_distribution(rows, ["year", "origin", "cluster"], weighted_mean("AGE"))
 
 
+@query("q2c_age_distribution_of_movers", with_person("""
+SELECT origin, age_group, n, round(proportion, 6) AS proportion,
+  round(sum(age_w * proportion) OVER (PARTITION BY origin), 6) AS mean_age
+FROM (SELECT *, n / sum(n) OVER (PARTITION BY origin) AS proportion
+      FROM (SELECT origin6 AS origin, band AS age_group, sum(PERWT) AS n, sum(AGE * PERWT) / sum(PERWT) AS age_w
+            FROM person WHERE AGE > 15 AND AGE <= 65 AND MIGCOUNTY1 <> 0
+              AND (origin6 LIKE '%Hispanic%' OR origin6 = 'Mexico') GROUP BY ALL))
+"""))
+def age_distribution_of_movers(spark, folder):
+    rows = person(spark, folder, "HISPAN", "BPL", "AGE", "MIGCOUNTY1", "PERWT").filter(
+        (F.col("AGE") > 15) & (F.col("AGE") <= 65) & recode.moved_county()
+    ).select(recode.origin_six().alias("origin"), age_band("AGE").alias("age_group"), "AGE", "PERWT").filter(
+        F.col("origin").rlike("Hispanic") | (F.col("origin") == "Mexico"))
+    return _age_distribution(rows, ["origin"], weighted_mean("AGE"))
+
+
 @query("q3_migration_rate", with_person("""
 SELECT band AS age_group, origin_c AS origin, YEAR AS year, CASE WHEN SEX = 1 THEN 'Male' ELSE 'Female' END AS sex,
   round(sum(CASE WHEN MIGRATE1D >= 24 THEN PERWT ELSE 0 END) / sum(PERWT), 6) AS mig_rate
@@ -176,6 +206,10 @@ FROM (SELECT *, n / sum(n) OVER (PARTITION BY year, race, foreign_born) AS p
 GROUP BY ALL
 """))
 def standardised_mean_age(spark, folder):
+    return _standardised_ages(spark, folder).withColumn("age", r6("age"))
+
+
+def _standardised_ages(spark, folder):
     """Mean of area means, each weighted by the area's share of the group.
 
     The weighted sum is written as a ratio of sums over the areas, so no window ever holds
@@ -187,7 +221,28 @@ def standardised_mean_age(spark, folder):
         recode.foreign_born().alias("foreign_born"),
     ).agg(F.avg("AGE").alias("age"), F.count(F.lit(1)).alias("n"))
     return areas.filter(F.col("race").isNotNull()).groupBy("year", "race", "foreign_born").agg(
-        r6(weighted_mean("age", "n")).alias("age"))
+        weighted_mean("age", "n").alias("age"))
+
+
+@query("q7b_age_shares_with_mean_age", with_person("""
+SELECT year, race, foreign_born, age_group, n, round(n / sum(n) OVER (PARTITION BY year, race, foreign_born), 6) AS proportion,
+  round(age, 6) AS age
+FROM (SELECT YEAR AS year, race3 AS race, fb AS foreign_born, band AS age_group, count(*) AS n
+      FROM person WHERE race3 IS NOT NULL GROUP BY ALL)
+LEFT JOIN (SELECT year, race, foreign_born, sum(n * age) / sum(n) AS age
+           FROM (SELECT CPUMA0010, YEAR AS year, race3 AS race, fb AS foreign_born, avg(AGE) AS age, count(*) AS n
+                 FROM person GROUP BY ALL) GROUP BY ALL) USING (year, race, foreign_born)
+"""))
+def age_shares_with_mean_age(spark, folder):
+    """Unweighted age shares with the standardised mean age, joined on all common columns."""
+    rows = person(spark, folder, "YEAR", "HISPAN", "RACE", "YRIMMIG", "AGE")
+    cells = rows.groupBy(
+        F.col("YEAR").alias("year"), recode.race().alias("race"), recode.foreign_born().alias("foreign_born"),
+        age_band("AGE").alias("age_group"),
+    ).agg(F.count(F.lit(1)).alias("n")).filter(F.col("race").isNotNull())
+    shared = share_in_group(cells, "n", ["year", "race", "foreign_born"], "proportion")
+    return natural_join(shared, _standardised_ages(spark, folder)).withColumns(
+        {"proportion": r6("proportion"), "age": r6("age")})
 
 
 @query("q9_leaving_rate", with_person("""
@@ -294,6 +349,25 @@ def change_in_area_share(spark, folder):
     return change.select("area", F.round(difference("share"), 9).alias("delta_share"))
 
 
+@query("q14b_change_with_mean_age", with_person("""
+SELECT area, l.pop - f.pop AS delta_pop, round(age, 6) AS age
+FROM (SELECT CPUMA0010 AS area, sum(CASE WHEN BPL = 200 THEN PERWT ELSE 0 END) AS pop FROM person WHERE YEAR = 1996 GROUP BY ALL) f
+JOIN (SELECT CPUMA0010 AS area, sum(CASE WHEN BPL = 200 THEN PERWT ELSE 0 END) AS pop FROM person WHERE YEAR = 2000 GROUP BY ALL) l
+  USING (area)
+LEFT JOIN (SELECT CPUMA0010 AS area, sum(AGE * PERWT) / sum(PERWT) AS age FROM person WHERE YEAR = 2000 AND BPL = 200 GROUP BY ALL)
+  USING (area)
+"""))
+def change_with_mean_age(spark, folder):
+    """Change of the Mexican-born per area with their mean age in the later year, from one pass."""
+    rows = person(spark, folder, "YEAR", "CPUMA0010", "BPL", "AGE", "PERWT", years=[1996, 2000])
+    mexican = recode.born_in_mexico()
+    weight = F.when(mexican, F.col("PERWT"))
+    cells = rows.groupBy(F.col("YEAR").alias("year"), F.col("CPUMA0010").alias("area")).agg(
+        conditional_sum("PERWT", mexican).alias("pop"), safe_div(F.sum(F.col("AGE") * weight), F.sum(weight)).alias("age"))
+    change = two_point(cells, ["area"], "year", 1996, 2000, ["pop", "age"])
+    return change.select("area", difference("pop").alias("delta_pop"), r6("age_last").alias("age"))
+
+
 @query("q39_mean_of_yearly_rates", with_person("""
 SELECT origin, round(avg(prop), 6) AS mig_rate
 FROM (SELECT YEAR, origin6 AS origin, sum(CASE WHEN MIGCOUNTY1 <> 0 THEN PERWT ELSE 0 END) / sum(PERWT) AS prop

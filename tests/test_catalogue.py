@@ -75,5 +75,21 @@ def test_scans_read_only_needed_columns(spark, folder):
     assert "l_extendedprice" not in plan and "supplier" not in plan and "BatchEvalPython" not in plan
 
 
+def test_stored_view_gives_the_same_answers(spark, folder, tmp_path):
+    from demoflux.plans import person as view
+
+    names = ["q2_age_distribution", "q14_change_in_area_share", "q10_region_flow"]
+    order_of = lambda df: sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=order)
+    before = {n: order_of(QUERIES[n](spark, folder)) for n in names}
+    try:
+        view.store_person(spark, folder, str(tmp_path / "view"))
+        after = {n: order_of(QUERIES[n](spark, folder)) for n in names}
+        plan = QUERIES[names[1]](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(view.STORED_VIEW)
+    assert before == after
+    assert "PartitionFilters: [isnotnull(YEAR" in plan or "PartitionFilters: [YEAR" in plan
+
+
 def test_peak_rows_keep_ties(spark, folder):
     assert QUERIES["q18_peak_year"](spark, folder).filter("prop_peak > 1 or prop_peak < 0").count() == 0
