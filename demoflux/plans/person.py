@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demoflux.session import split_hot_keys
 from demoflux.sources.store import materialize
 from demoflux.sources.tables import load
 
@@ -135,6 +136,7 @@ def person(spark: SparkSession, folder: str, *columns: str, years: Sequence[int]
     if stored_view:
         rows = spark.read.parquet(stored_view)
         return (rows if years is None else rows.filter(F.col("YEAR").isin(list(years)))).select(*columns)
+    split_hot_keys(spark)
     needs = {table for c in columns for table in ROLES[c][0]}
     rows = load(spark, folder, "lineitem")
     if "orders" in needs or years is not None:

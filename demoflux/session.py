@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FORCE_SPLIT = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+
 _LOCAL_FOLDER = None
 
 
@@ -27,6 +29,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> Spar
     return session
 
 
+def split_hot_keys(spark: SparkSession) -> None:
+    """Let adaptive execution split a hot join key even where the rows are then grouped by that key.
+
+    By default Spark keeps such a join whole, to save the extra shuffle before the grouping; one
+    task would then read all rows of the key. The extra shuffle follows a partial aggregation and
+    is only made where a skewed partition is found.
+    """
+    for name in ("spark.sql.adaptive.skewJoin.enabled", FORCE_SPLIT):
+        if spark.conf.get(name, "false") != "true" and spark.conf.isModifiable(name):
+            spark.conf.set(name, "true")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 

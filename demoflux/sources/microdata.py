@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demoflux.functions.semantics import pad_code
+
 
 @dataclass(frozen=True)
 class Field:
@@ -79,7 +81,7 @@ def format_fixed_width(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
             body = F.rpad(value, field.width, " ")
         else:
             scaled = F.round(value * (10 ** field.decimals)).cast("long")
-            body = F.format_string(f"%0{field.width}d", scaled)
+            body = pad_code(scaled, field.width)
         parts.append(F.coalesce(body, F.lit(" " * field.width)))
         position = field.start + field.width
     return df.select(F.concat(*parts).alias("value"))
