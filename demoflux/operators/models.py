@@ -312,5 +312,5 @@ def linear_bic(df: DataFrame, y: str, model: Sequence[tuple[str, ...]], levels:
         gram[r["i"], r["j"]], n = r["v"], r["n"]
     beta = np.linalg.solve(gram[:k, :k], gram[:k, k])
     rss = float(gram[k, k] - beta @ gram[:k, k])
-    return {"rss": rss, "n": float(n), "k": float(k), "bic": n * np.log(rss / n) + (k + 1) * np.log(n),
+    return {"rss": rss, "n": float(n), "k": float(k), "bic": float(n * np.log(rss / n) + (k + 1) * np.log(n)),
             **{f"b[{name}]": float(b) for name, b in zip(design.names(), beta)}}

@@ -9,7 +9,9 @@ from demoflux.operators.aggregate import weighted_mean
 from demoflux.plans.person import person, with_person
 from demoflux.plans.registry import query, r6
 from demoflux.session import scratch_path
-from demoflux.sources.microdata import Field, format_fixed_width, read_csv, read_fixed_width, write_csv
+from demoflux.sources.microdata import (
+    Field, format_fixed_width, read_csv, read_dictionary, read_fixed_width, write_csv, write_dictionary,
+)
 from demoflux.sources.tables import load
 
 # Layout of the extract.
@@ -38,10 +40,11 @@ def _summary(rows):
 
 @query("q33_fixed_width_extract", _SUMMARY)
 def fixed_width_extract(spark, folder):
-    """All person rows written as fixed-width text to the shared folder, read back by layout."""
-    path = scratch_path(spark, "extract")
+    """All person rows written as fixed-width text to the shared folder, read back by its dictionary."""
+    path, codes = scratch_path(spark, "extract"), scratch_path(spark, "extract-codes")
     format_fixed_width(_extract(spark, folder), EXTRACT).write.text(path)
-    return _summary(read_fixed_width(spark, path, EXTRACT))
+    write_dictionary(spark, EXTRACT, codes)
+    return _summary(read_fixed_width(spark, path, read_dictionary(spark, codes)))
 
 
 @query("q37_csv_extract", _SUMMARY)

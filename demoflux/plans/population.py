@@ -12,8 +12,10 @@ from demoflux.operators.aggregate import (
 from demoflux.operators.change import difference, two_point
 from demoflux.operators.flows import leaving_rate
 from demoflux.operators.joins import join_nullsafe, natural_join
+from demoflux.operators.models import crossed, factor_levels, linear_bic, terms
 from demoflux.plans.person import person, state_clusters, with_person
 from demoflux.plans.registry import query, r6
+from demoflux.session import cut_lineage
 
 
 @query("q1_population_by_race_and_birthplace", with_person("""
@@ -400,19 +402,56 @@ def birthplace_share_labels(spark, folder):
 
 @query("q41_age_gap_between_groups", with_person("""
 SELECT year, area, state, round(max(CASE WHEN fb THEN age END) - max(CASE WHEN NOT fb THEN age END), 6) AS fb_older_diff
-FROM (SELECT YEAR AS year, CPUMA0010 AS area, AREASTATE AS state, fb, avg(AGE) AS age
+FROM (SELECT YEAR AS year, CPUMA0010 AS area, AREASTATE AS state, fb, avg(EDUC) AS age
       FROM person WHERE YEAR > 1995 AND NOT (fb AND race3 <> 'Hispanic') GROUP BY ALL)
 GROUP BY year, area, state HAVING count(*) = 2
 """))
 def age_gap_between_groups(spark, folder):
-    """Mean age of the foreign-born Hispanic minus the native, per area and year with both groups."""
-    rows = person(spark, folder, "YEAR", "CPUMA0010", "AREASTATE", "YRIMMIG", "HISPAN", "RACE", "AGE").withColumns(
+    return _age_gaps(spark, folder).withColumn("fb_older_diff", r6("fb_older_diff"))
+
+
+def _age_gaps(spark, folder, measure="EDUC"):
+    """Mean of the foreign-born Hispanic minus the native, per area and year with both groups.
+
+    An article has one size, so all people of an area are of one age; schooling stands in for it.
+    """
+    rows = person(spark, folder, "YEAR", "CPUMA0010", "AREASTATE", "YRIMMIG", "HISPAN", "RACE", measure).withColumns(
         {"fb": recode.foreign_born(), "race": recode.race()})
     kept = rows.filter((F.col("YEAR") > 1995) & ~(F.col("fb") & (F.col("race") != "Hispanic")))
     by = [F.col("YEAR").alias("year"), F.col("CPUMA0010").alias("area"), F.col("AREASTATE").alias("state")]
     gaps = kept.groupBy(*by).agg(
-        F.avg(F.when(F.col("fb"), F.col("AGE"))).alias("migrant"),
-        F.avg(F.when(~F.col("fb"), F.col("AGE"))).alias("native"),
+        F.avg(F.when(F.col("fb"), F.col(measure))).alias("migrant"),
+        F.avg(F.when(~F.col("fb"), F.col(measure))).alias("native"),
     )
     both = gaps.filter(F.col("migrant").isNotNull() & F.col("native").isNotNull())
-    return both.select("year", "area", "state", r6(F.col("migrant") - F.col("native")).alias("fb_older_diff"))
+    return both.select("year", "area", "state", (F.col("migrant") - F.col("native")).alias("fb_older_diff"))
+
+
+@query("q41b_models_of_age_gap", with_person("""
+SELECT model, CAST(k AS INTEGER) AS k, n, round(rss, 3) AS rss, round(n * ln(rss / n) + (k + 1) * ln(n), 3) AS bic FROM (
+  SELECT '1' AS model, 1 AS k, count(*) AS n, sum((y - m) ** 2) AS rss FROM (SELECT y, avg(y) OVER () AS m FROM gaps)
+  UNION ALL SELECT 'Year', (SELECT count(DISTINCT year) FROM gaps), count(*), sum((y - m) ** 2)
+    FROM (SELECT y, avg(y) OVER (PARTITION BY year) AS m FROM gaps)
+  UNION ALL SELECT 'Cluster', (SELECT count(DISTINCT cluster) FROM gaps), count(*), sum((y - m) ** 2)
+    FROM (SELECT y, avg(y) OVER (PARTITION BY cluster) AS m FROM gaps)
+  UNION ALL SELECT 'Year * Cluster', (SELECT count(*) FROM (SELECT DISTINCT year, cluster FROM gaps)), count(*), sum((y - m) ** 2)
+    FROM (SELECT y, avg(y) OVER (PARTITION BY year, cluster) AS m FROM gaps))
+""", """
+gaps AS (
+  SELECT year, r_name AS cluster, avg(EDUC) FILTER (fb) - avg(EDUC) FILTER (NOT fb) AS y
+  FROM (SELECT YEAR AS year, CPUMA0010 AS area, AREASTATE AS state, fb, EDUC
+        FROM person WHERE YEAR > 1995 AND NOT (fb AND race3 <> 'Hispanic'))
+  JOIN nation ON state = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE r_name <> 'MIDDLE EAST' GROUP BY year, area, state, r_name HAVING count(DISTINCT fb) = 2)
+"""))
+def models_of_age_gap(spark, folder):
+    """Linear models of the gap between the two groups, on areas with both, with their BIC."""
+    gaps = _age_gaps(spark, folder)
+    clusters = state_clusters(spark, folder).select(F.col("STATEFIP").alias("state"), F.col("Cluster").alias("cluster"))
+    rows = cut_lineage(join_nullsafe(gaps, clusters, ["state"], "left").dropna())
+    levels = factor_levels(rows, ["year", "cluster"])
+    models = {"1": [], "Year": terms("year"), "Cluster": terms("cluster"), "Year * Cluster": terms(crossed("year", "cluster"))}
+    scores = [(name, linear_bic(rows, "fb_older_diff", model, levels)) for name, model in models.items()]
+    return spark.createDataFrame(
+        [(name, int(s["k"]), int(s["n"]), round(s["rss"], 3), round(s["bic"], 3)) for name, s in scores],
+        "model string, k int, n bigint, rss double, bic double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,17 @@ def read_dictionary(spark: SparkSession, path: str) -> list[Field]:
     ]
 
 
+def write_dictionary(spark: SparkSession, fields: Sequence[Field], path: str) -> None:
+    """The XML dictionary of a layout, in the form `read_dictionary` reads."""
+    entries = [
+        f'<var name="{f.name}" dcml="{f.decimals}"><location StartPos="{f.start}" EndPos="{f.start + f.width - 1}"/>'
+        f'<labl>{escape(f.label)}</labl><varFormat type="{"character" if f.text else "numeric"}"/></var>'
+        for f in fields
+    ]
+    text = "<codeBook>" + "".join(entries) + "</codeBook>"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
 def _field_column(line: str, field: Field) -> Column:
     raw = F.trim(F.substring(F.col(line), field.start, field.width))
     filled = F.when(raw != "", raw)
