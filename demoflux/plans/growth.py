@@ -32,12 +32,12 @@ def working_age(spark, folder, *columns, years) -> DataFrame:
 
 
 def growth_cells(spark, folder, companions=False) -> DataFrame:
-    """Population and mean age per area, origin and year, for the two years."""
-    rows = working_age(spark, folder, *(["AREASTATE"] if companions else []), years=[FIRST, LAST])
+    """Population and mean schooling per area, origin and year, for the two years."""
+    rows = working_age(spark, folder, "EDUC", *(["AREASTATE"] if companions else []), years=[FIRST, LAST])
     states = [pack_distinct("AREASTATE").alias("state")] if companions else []
     return rows.groupBy(
         F.col("CPUMA0010").alias("area"), recode.origin_six().alias("origin"), F.col("YEAR").alias("year")
-    ).agg(F.sum("PERWT").alias("est"), weighted_mean("AGE").alias("age"), *states)
+    ).agg(F.sum("PERWT").alias("est"), weighted_mean("EDUC").alias("mean"), *states)
 
 
 def area_growth(spark, folder, companions=False) -> DataFrame:
@@ -45,41 +45,41 @@ def area_growth(spark, folder, companions=False) -> DataFrame:
     extra = ["state"] if companions else []
     grid = complete_grid(
         growth_cells(spark, folder, companions), ["area"], {"origin": recode.ORIGIN_6, "year": [FIRST, LAST]},
-        {"est": 0.0, "age": None}, extra)
+        {"est": 0.0, "mean": None}, extra)
     change = two_point(
-        grid, ["area", "origin"], "year", FIRST, LAST, ["est", "age"], keep=[F.first(c).alias(c) for c in extra])
+        grid, ["area", "origin"], "year", FIRST, LAST, ["est", "mean"], keep=[F.first(c).alias(c) for c in extra])
     result = change.select(
         "area", "origin", difference("est").alias("pg"), growth_rate("est").alias("pgr"),
-        F.col("est_first").alias("pop_first"), F.col("est_last").alias("pop_last"), difference("age").alias("age_diff"),
+        F.col("est_first").alias("pop_first"), F.col("est_last").alias("pop_last"), difference("mean").alias("mean_diff"),
         *extra)
     return result.withColumn("state", F.explode("state")) if companions else result
 
 
 GRID_SQL = """
 cells AS (
-  SELECT CPUMA0010 AS area, origin6 AS origin, YEAR AS year, sum(PERWT) AS est, sum(PERWT * AGE) / sum(PERWT) AS age
+  SELECT CPUMA0010 AS area, origin6 AS origin, YEAR AS year, sum(PERWT) AS est, sum(PERWT * EDUC) / sum(PERWT) AS mean
   FROM person WHERE AGE > 15 AND AGE <= 60 AND YEAR IN (1996, 2000) GROUP BY ALL),
 grid AS (
   SELECT a.area, o.origin, y.year FROM (SELECT DISTINCT area FROM cells) a, (SELECT DISTINCT origin FROM cells) o,
     (SELECT DISTINCT year FROM cells) y),
 full_cells AS (
-  SELECT area, origin, year, coalesce(est, 0) AS est, age FROM grid LEFT JOIN cells USING (area, origin, year)),
+  SELECT area, origin, year, coalesce(est, 0) AS est, mean FROM grid LEFT JOIN cells USING (area, origin, year)),
 growth AS (
   SELECT area, origin, l.est - f.est AS pg, (l.est - f.est) / NULLIF(f.est, 0) AS pgr, f.est AS pop_first,
-    l.est AS pop_last, l.age - f.age AS age_diff
+    l.est AS pop_last, l.mean - f.mean AS mean_diff
   FROM (SELECT * FROM full_cells WHERE year = 1996) f JOIN (SELECT * FROM full_cells WHERE year = 2000) l
     USING (area, origin))
 """
 
 
 @query("q15_completed_grid_change", with_person("""
-SELECT area, origin, state, pg, round(pgr, 6) AS pgr, pop_first, pop_last, round(age_diff, 6) AS age_diff
+SELECT area, origin, state, pg, round(pgr, 6) AS pgr, pop_first, pop_last, round(mean_diff, 6) AS mean_diff
 FROM growth LEFT JOIN (SELECT DISTINCT CPUMA0010 AS area, AREASTATE AS state FROM person
   WHERE AGE > 15 AND AGE <= 60 AND YEAR IN (1996, 2000)) USING (area)
 """, GRID_SQL))
 def completed_grid_change(spark, folder):
     growth = area_growth(spark, folder, companions=True)
-    return growth.withColumns({"pgr": r6("pgr"), "age_diff": r6("age_diff")})
+    return growth.withColumns({"pgr": r6("pgr"), "mean_diff": r6("mean_diff")})
 
 
 @query("q16_observed_area_change", with_person("""
