@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demoflux.llm.common import discard, release, store
+from demoflux.llm.common import discard, release, store, tasks
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 DOUBT = 0.15  # by how much a signature of 128 coordinates may misjudge a similarity; over four standard deviations
 CACHED_WORDS = 300_000
+CELLS_AT_ONCE = 50_000
+BLOCK = 1024  # members of a bucket that meet at once
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # odd multipliers
 
@@ -57,45 +59,52 @@ def unit_cells(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, n
     return mixed(elements[owner] + (number.astype(np.uint64) + np.uint64(1)) * _A), np.minimum(1.0, weights[owner] - number)
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """A weighted MinHash signature: coordinates of two texts agree with the probability of their weighted Jaccard similarity.
+def dart_signatures(texts: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """Weighted MinHash signatures, one row per text, each given as (elements, weights).
 
-    Darts fall on the plane of weight and rank over every element, one per unit of area, at places that a
-    hash fixes for all texts alike. A text owns the darts below its weight. Each dart belongs to one
-    coordinate, which keeps the dart of the earliest rank. Ranks are looked at up to a limit that gives
-    size * (ln(size) + 3) darts whatever the text's length, so a long text has few darts per element; where a
-    coordinate stays empty, the limit is doubled.
+    Coordinates of two texts agree with the probability of their weighted Jaccard similarity. Darts fall on the plane of
+    weight and rank over every element, one per unit of area, at places that a hash fixes for all texts alike. A text owns
+    the darts below its weight. Each dart belongs to one coordinate, which keeps the dart of the earliest rank. Ranks are
+    looked at up to a limit that gives size * (ln(size) + 3) darts whatever the text's length, so a long text has few
+    darts per element; for texts where a coordinate stays empty, the limit is doubled.
     """
-    cells, filled = unit_cells(elements, weights)
-    limit = size * (np.log(size) + 3) / weights.sum()
-    while True:
-        alive, part, rank, seed = cells, filled, np.zeros(len(cells)), cells
-        ranks, darts = [], []
-        while len(alive):
+    signatures = np.zeros((len(texts), size), np.uint64)
+    parts = [unit_cells(*t) for t in texts]
+    limits = np.array([size * (np.log(size) + 3) / t[1].sum() for t in texts])
+    todo = np.arange(len(texts))
+    while len(todo):
+        seed = np.concatenate([parts[i][0] for i in todo])
+        part = np.concatenate([parts[i][1] for i in todo])
+        owner = np.repeat(np.arange(len(todo)), [len(parts[i][0]) for i in todo])
+        limit = limits[todo][owner]
+        rank = np.zeros(len(seed))
+        found = []
+        while len(seed):
             seed = mixed(seed + _A)
             rank = rank - np.log(unit(seed))
             near = rank <= limit
-            alive, part, rank, seed = alive[near], part[near], rank[near], seed[near]
+            seed, part, rank, owner, limit = seed[near], part[near], rank[near], owner[near], limit[near]
             dart = mixed(seed ^ _C)
             owned = unit(mixed(dart + _B)) <= part
-            ranks.append(rank[owned])
-            darts.append(dart[owned])
-        rank, dart = np.concatenate(ranks), np.concatenate(darts)
-        signature = np.zeros(size, np.uint64)
-        given = np.zeros(size, bool)
+            found.append((rank[owned], owner[owned] * size + (dart[owned] % np.uint64(size)).astype(np.int64), dart[owned]))
+        rank, place, dart = (np.concatenate(c) for c in zip(*found))
         last_wins = np.argsort(-rank, kind="stable")
-        place = (dart % np.uint64(size)).astype(np.int64)[last_wins]
-        signature[place] = dart[last_wins]
+        place, dart = place[last_wins], dart[last_wins]
+        rows, given = np.zeros(len(todo) * size, np.uint64), np.zeros(len(todo) * size, bool)
+        rows[place] = dart
         given[place] = True
-        if given.all():
-            return signature
-        limit *= 2
-
-
-def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    total = np.arange(1, bands + 1, dtype=np.uint64) * _B
-    for column in signature.reshape(bands, rows).T:
-        total = mixed(total * _A + column)
+        full = given.reshape(-1, size).all(axis=1)
+        signatures[todo[full]] = rows.reshape(-1, size)[full]
+        todo = todo[~full]
+        limits[todo] *= 2
+    return signatures
+
+
+def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    total = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _B, (len(signatures), bands))
+    cut = signatures.reshape(len(signatures), bands, rows)
+    for i in range(rows):
+        total = mixed(total * _A + cut[:, :, i])
     return total.view(np.int64)
 
 
@@ -129,23 +138,32 @@ def text_hash(words: np.ndarray) -> int:
 
 
 def _sketch(shingle: int, bands: int, rows: int):
+    def sketched(codes: list[int], texts: list, keys: list, ids: list) -> pa.RecordBatch:
+        filled = [i for i, t in enumerate(texts) if t is not None]
+        signatures = dart_signatures([texts[i] for i in filled], bands * rows)
+        buckets, short = [None] * len(texts), [None] * len(texts)
+        for i, b, c in zip(filled, band_hashes(signatures, bands, rows), (signatures >> np.uint64(48)).astype(np.uint16)):
+            buckets[i], short[i] = b, c.tobytes()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(codes, pa.int64()),
+             pa.array(buckets, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+            names=["row", "doc_id", "node", "bands", "signature"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            codes, keys, signatures = [], [], []
-            for text in batch.column(1):
+            waiting, held = ([], [], [], []), 0
+            for row, text, doc_id in zip(*batch.columns):
                 words = hashes(text.as_py() or "")
-                codes.append(text_hash(words))
-                if not len(words):
-                    keys.append(None)
-                    signatures.append(None)
-                    continue
-                signature = dart_signature(*weighted(shingles(words, shingle)), bands * rows)
-                keys.append(band_hashes(signature, bands, rows))
-                signatures.append((signature >> np.uint64(48)).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(codes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(signatures, pa.binary())], names=["row", "doc_id", "node", "bands", "signature"])
+                held += len(words)
+                values = text_hash(words), weighted(shingles(words, shingle)) if len(words) else None, row.as_py(), doc_id.as_py()
+                for column, value in zip(waiting, values):
+                    column.append(value)
+                if held >= CELLS_AT_ONCE:
+                    yield sketched(*waiting)
+                    waiting, held = ([], [], [], []), 0
+            if waiting[0]:
+                yield sketched(*waiting)
 
     return run
 
@@ -219,21 +237,77 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return found
 
 
-def _next_leaders(placed: DataFrame, led: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, leader): the smallest node of each bucket that is in another class than all its leaders so far."""
-    had = led.join(classes.withColumnRenamed("node", "leader"), "leader").select("bucket", "class").distinct()
-    return store(placed.join(had, ["bucket", "class"], "left_anti").groupBy("bucket").agg(F.min("node").alias("leader")), "leaders")
+def _meet(least: float):
+    """Task: pairs of different classes in a block of a bucket whose signatures agree enough. One of a pair is an outsider."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            blocks, nodes, classes, outside, inside = (rows.column(i).to_numpy() for i in range(5))
+            signatures = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint16).reshape(len(nodes), -1)
+            cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+            for begin, end in zip(cuts, np.append(cuts[1:], len(blocks))):
+                ours = begin + np.flatnonzero(outside[begin:end])
+                theirs = begin + np.flatnonzero(inside[begin:end])
+                for i in range(0, len(ours), 64):
+                    some = ours[i:i + 64]
+                    agree = (signatures[some][:, None, :] == signatures[theirs][None, :, :]).mean(axis=2)
+                    x, y = np.nonzero((agree >= least) & (classes[some][:, None] != classes[theirs][None, :]))
+                    one, two = nodes[some[x]], nodes[theirs[y]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+        for batch in batches:
+            # a block may go on in the next batch, so its last rows wait
+            keys = batch.column(0).to_numpy()
+            if not len(keys):
+                continue
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last:
+                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = [batch.slice(last)]
+            elif held and held[0].column(0)[0].as_py() != keys[0]:
+                yield from pairs(pa.Table.from_batches(held))
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
 
 
-def _half_similar(placed: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, leader): members that may be linked to a class although its leader is not.
+def across_classes(members: DataFrame, classes: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes that share a bucket and whose signatures agree in at least `least`.
 
-    If a is linked to its leader and b to a, then b is at most twice the limit's distance from the leader.
+    In a bucket of several classes, each member outside the class of the bucket's leader meets all members. Large buckets are
+    cut into blocks, each of bounded size: every block of outsiders is joined with every block of members, and pairs are
+    only made of what agrees.
     """
-    far = 1 - 2 * (1 - similarity) - DOUBT
-    near = tested.filter((F.col("estimate") >= far) & (F.col("estimate") < similarity + DOUBT))
-    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return placed.join(nodes, "node", "left_semi").select("bucket", F.col("node").alias("leader"))
+    spark = members.sparkSession
+    placed = members.select("bucket", "node", "leader").join(classes, "node")
+    led = placed.filter("node = leader").select("bucket", F.col("class").alias("own"))
+    placed = placed.join(led, "bucket").withColumn("outside", F.col("class") != F.col("own"))
+    sizes = placed.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("n_out")).filter("n_out > 0 and n > 2")
+    placed = placed.join(sizes, "bucket").join(nodes.select("node", "signature"), "node")
+    rows, columns = F.ceil(F.col("n_out") / BLOCK), F.ceil(F.col("n") / BLOCK)
+    spread = F.xxhash64("node")
+    # a member stands in one column of blocks, an outsider in one row of blocks as well
+    own_row, own_column = F.pmod(spread, rows), F.pmod(spread, columns)
+    as_member = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.struct(
+        r.alias("r"), own_column.alias("c"), (F.col("outside") & (r == own_row)).alias("out"), F.lit(True).alias("in")))
+    as_outsider = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), columns - 1), lambda c: F.struct(
+        own_row.alias("r"), c.alias("c"), F.lit(True).alias("out"), F.lit(False).alias("in")))).otherwise(
+        F.array().cast("array<struct<r:bigint,c:bigint,out:boolean,in:boolean>>"))
+    # where row and column of an outsider cross, it stands once, as both
+    cells = F.concat(as_member, F.filter(as_outsider, lambda x: x["c"] != own_column))
+    dealt = placed.withColumn("cell", F.explode(cells)).select(
+        F.xxhash64("bucket", "cell.r", "cell.c").alias("block"), "node", "class", F.col("cell.out").alias("outside"),
+        F.col("cell.in").alias("inside"), "signature")
+    return dealt.repartition(tasks(spark), "block").sortWithinPartitions("block").mapInArrow(
+        _meet(least), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(
@@ -249,11 +323,10 @@ def near_duplicates(
     every link is checked on the texts' whole shingles. With 32 bands of 4, a pair at 0.8 shares no band
     in 5 of 100 million cases.
 
-    A bucket never gives all its pairs. Its members meet its smallest node, the leader. Where members stay in
-    another class than the leader, the class elects a leader of its own, which meets the members of the
-    other classes, until each class in a bucket has had one. By the triangle inequality of
-    the Jaccard distance, a link that is still unseen must have an end that is half similar to a leader of
-    the other class; such members meet the other classes last.
+    A bucket never gives all its pairs. First its members meet its smallest node, the leader, which joins a group of copies
+    of any size to one class. Then members that stay outside the leader's class meet the bucket's members, in blocks of
+    bounded size and by their signatures, and only likely pairs are made and checked. So each pair that shares a
+    band is either in one class or has been looked at.
 
     A missing or empty text is a class of its own: class is NULL and class_id the row's doc_id. Repeated rows
     share a class. An empty table gives an empty result.
@@ -273,32 +346,18 @@ def near_duplicates(
     release(spark)
     texts = keyed.select("row", "text").join(nodes.select("row", "node"), "row").select("node", "text")
 
-    led = members.select("bucket", "leader").distinct()
-    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tested = links = None
-    rest_met = False
-    while pairs is not None:
-        fresh = store(estimated(pairs, nodes), "estimates")
-        tested = fresh if tested is None else tested.unionAll(fresh)
-        found = similar(fresh.filter(F.col("estimate") >= similarity - DOUBT), texts, shingle, similarity)
-        links = found if links is None else links.unionAll(found)
+    met = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    likely = store(estimated(met, nodes).filter(F.col("estimate") >= similarity - DOUBT).select("a", "b"), "likely")
+    links = similar(likely, texts, shingle, similarity)
+    release(spark)
+    linked = members.select("node").distinct()
+    classes = store(components(linked, links), "classes")
+    rest = store(across_classes(members, classes, nodes, similarity - DOUBT).join(likely, ["a", "b"], "left_anti"), "rest")
+    release(spark)
+    if not rest.isEmpty():
+        links = links.unionAll(similar(rest, texts, shingle, similarity))
+        classes = store(components(linked, links), "classes")
         release(spark)
-        classes = store(components(members.select("node").distinct(), links), "classes")
-        placed = members.filter("members > 2").select("bucket", "node").join(classes, "node")
-        divided = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-        placed = store(placed.join(divided.select("bucket"), "bucket", "left_semi"), "placed")
-        pairs = None
-        while pairs is None and not rest_met:
-            heads = _next_leaders(placed, led, classes)
-            if heads.isEmpty():
-                heads, rest_met = _half_similar(placed, tested, similarity), True
-            else:
-                led = led.unionAll(heads)
-            own = heads.join(classes.select(F.col("node").alias("leader"), F.col("class").alias("own")), "leader")
-            across = placed.join(own, "bucket").filter(F.col("class") != F.col("own")).select(
-                F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-            across = store(across.join(tested, ["a", "b"], "left_anti"), "pairs")
-            pairs = None if across.isEmpty() else across
     named = nodes.select("node", "doc_id").join(classes, "node", "left").select(
         "node", "doc_id", F.coalesce("class", "node").alias("class"))
     names = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
