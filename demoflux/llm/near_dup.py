@@ -14,10 +14,11 @@ from demoflux.llm.common import discard, release, store, tasks
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
-DOUBT = 0.15  # by how much a signature of 128 coordinates may misjudge a similarity; over four standard deviations
+DOUBT = 0.1  # by how much a signature of 128 coordinates may fall short; almost three standard deviations at 0.8
 CACHED_WORDS = 300_000
 CELLS_AT_ONCE = 50_000
 BLOCK = 1024  # members of a bucket that meet at once
+BEST_ROUNDS = 2  # rounds in which outsiders are checked against their best partner
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # odd multipliers
 
@@ -174,7 +175,7 @@ def _cells(shingle: int):
         for batch in batches:
             rows = [
                 unit_cells(*weighted(shingles(hashes(text.as_py() or ""), shingle)))[0].view(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "payload"])
 
     return run
 
@@ -227,9 +228,9 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     """Pairs (a, b) whose exact weighted Jaccard similarity of shingles reaches the limit."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     cells = store(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(
-        _cells(shingle), "node bigint, cells array<bigint>"), "cells")
-    one = pairs.select("a", "b").join(cells.select(F.col("node").alias("b"), F.col("cells").alias("second")), "b")
-    both = one.join(cells.select(F.col("node").alias("a"), F.col("cells").alias("first")), "a")
+        _cells(shingle), "node bigint, payload array<bigint>"), "cells")
+    one = pairs.select("a", "b").join(cells.select(F.col("node").alias("b"), F.col("payload").alias("second")), "b")
+    both = one.join(cells.select(F.col("node").alias("a"), F.col("payload").alias("first")), "a")
     shared = F.size(F.array_intersect("first", "second"))
     found = store(both.filter(
         shared >= F.lit(similarity) * (F.size("first") + F.size("second") - shared)).select("a", "b"), "similar")
@@ -237,61 +238,98 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return found
 
 
-def _meet(least: float):
-    """Task: pairs of different classes in a block of a bucket whose signatures agree enough. One of a pair is an outsider."""
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, from batches that are sorted by block. A block's size is bounded."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
+        for begin, end in zip(cuts, [*cuts[1:], len(keys)]):
+            if held and held[0].column(0)[0].as_py() != keys[begin]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            blocks, nodes, classes, outside, inside = (rows.column(i).to_numpy() for i in range(5))
+def _likely(least: float):
+    """Task: the members of other classes with which a block's outsiders agree enough, and each outsider's best of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_block(batches):
+            nodes, classes, outside, inside = (rows.column(i).to_numpy() for i in range(1, 5))
             signatures = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint16).reshape(len(nodes), -1)
-            cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
-            for begin, end in zip(cuts, np.append(cuts[1:], len(blocks))):
-                ours = begin + np.flatnonzero(outside[begin:end])
-                theirs = begin + np.flatnonzero(inside[begin:end])
-                for i in range(0, len(ours), 64):
-                    some = ours[i:i + 64]
-                    agree = (signatures[some][:, None, :] == signatures[theirs][None, :, :]).mean(axis=2)
-                    x, y = np.nonzero((agree >= least) & (classes[some][:, None] != classes[theirs][None, :]))
-                    one, two = nodes[some[x]], nodes[theirs[y]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+            ours, theirs = np.flatnonzero(outside), np.flatnonzero(inside)
+            met = np.zeros(len(theirs), bool)
+            for i in range(0, len(ours), 64):
+                some = ours[i:i + 64]
+                agree = (signatures[some][:, None, :] == signatures[theirs][None, :, :]).mean(axis=2)
+                agree[(classes[some][:, None] == classes[theirs][None, :]) | (agree < least)] = 0
+                met |= (agree > 0).any(axis=0)
+                found = agree.max(axis=1, initial=0) > 0
+                best = theirs[agree[found].argmax(axis=1)] if found.any() else theirs[:0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (nodes[some[found]], nodes[best], agree[found].max(axis=1, initial=0))],
+                    names=["node", "other", "estimate"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes[theirs[met]]), pa.nulls(int(met.sum()), pa.int64()), pa.nulls(int(met.sum()), pa.float64())],
+                names=["node", "other", "estimate"])
 
-        for batch in batches:
-            # a block may go on in the next batch, so its last rows wait
-            keys = batch.column(0).to_numpy()
-            if not len(keys):
+    return run
+
+
+def _linked(similarity: float):
+    """Task: of each outsider in a block the links to other classes, one for each class, by whole shingles.
+
+    Shared shingles are counted for a few outsiders at a time, from the sorted shingles of the block's members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_block(batches):
+            nodes, classes, outside, inside = (rows.column(i).to_numpy() for i in range(1, 5))
+            cells = [np.asarray(c.values) for c in rows.column(5)]
+            sizes = np.array([len(c) for c in cells])
+            ours, theirs = np.flatnonzero(outside), np.flatnonzero(inside)
+            if not len(ours) or not len(theirs):
                 continue
-            last = int(np.searchsorted(keys, keys[-1]))
-            if last:
-                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = [batch.slice(last)]
-            elif held and held[0].column(0)[0].as_py() != keys[0]:
-                yield from pairs(pa.Table.from_batches(held))
-                held = [batch]
-            else:
-                held.append(batch)
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
+            have = np.concatenate([cells[i] for i in theirs])
+            holder = np.repeat(np.arange(len(theirs)), sizes[theirs])
+            order = np.argsort(have, kind="stable")
+            have, holder = have[order], holder[order]
+            for i in range(0, len(ours), 16):
+                some = ours[i:i + 16]
+                wanted = np.concatenate([cells[j] for j in some])
+                asker = np.repeat(np.arange(len(some)), sizes[some])
+                low = np.searchsorted(have, wanted, "left")
+                n = np.searchsorted(have, wanted, "right") - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(np.repeat(asker, n) * len(theirs) + holder[at], minlength=len(some) * len(theirs))
+                shared = shared.reshape(len(some), len(theirs))
+                whole = sizes[some][:, None] + sizes[theirs][None, :] - shared
+                x, y = np.nonzero((shared >= similarity * whole) & (classes[some][:, None] != classes[theirs][None, :]))
+                _, first = np.unique(np.stack([x, classes[theirs[y]]]), axis=1, return_index=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[some[x[first]]]), pa.array(nodes[theirs[y[first]]])], names=["a", "b"])
 
     return run
 
 
-def across_classes(members: DataFrame, classes: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different classes that share a bucket and whose signatures agree in at least `least`.
+def in_blocks(members: DataFrame, classes: DataFrame, payload: DataFrame) -> DataFrame:
+    """(block, node, class, outside, inside, payload), sorted by block: where members outside the class of their
+    bucket's leader, the outsiders, meet all members of the bucket.
 
-    In a bucket of several classes, each member outside the class of the bucket's leader meets all members. Large buckets are
-    cut into blocks, each of bounded size: every block of outsiders is joined with every block of members, and pairs are
-    only made of what agrees.
+    Large buckets are cut into blocks of bounded size, one for every slice of outsiders and every slice of members. Buckets
+    of one class, or of two members, have nothing left to compare.
     """
     spark = members.sparkSession
     placed = members.select("bucket", "node", "leader").join(classes, "node")
-    led = placed.filter("node = leader").select("bucket", F.col("class").alias("own"))
+    led = members.select("bucket", "leader").distinct().join(
+        classes.select(F.col("node").alias("leader"), F.col("class").alias("own")), "leader").select("bucket", "own")
     placed = placed.join(led, "bucket").withColumn("outside", F.col("class") != F.col("own"))
     sizes = placed.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("n_out")).filter("n_out > 0 and n > 2")
-    placed = placed.join(sizes, "bucket").join(nodes.select("node", "signature"), "node")
+        F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("n_out")).filter("n_out > 0")
+    placed = placed.join(sizes, "bucket").join(payload, "node")
     rows, columns = F.ceil(F.col("n_out") / BLOCK), F.ceil(F.col("n") / BLOCK)
     spread = F.xxhash64("node")
     # a member stands in one column of blocks, an outsider in one row of blocks as well
@@ -305,9 +343,8 @@ def across_classes(members: DataFrame, classes: DataFrame, nodes: DataFrame, lea
     cells = F.concat(as_member, F.filter(as_outsider, lambda x: x["c"] != own_column))
     dealt = placed.withColumn("cell", F.explode(cells)).select(
         F.xxhash64("bucket", "cell.r", "cell.c").alias("block"), "node", "class", F.col("cell.out").alias("outside"),
-        F.col("cell.in").alias("inside"), "signature")
-    return dealt.repartition(tasks(spark), "block").sortWithinPartitions("block").mapInArrow(
-        _meet(least), "a bigint, b bigint").distinct()
+        F.col("cell.in").alias("inside"), "payload")
+    return dealt.repartition(tasks(spark), "block").sortWithinPartitions("block")
 
 
 def near_duplicates(
@@ -321,12 +358,14 @@ def near_duplicates(
     weighted by how often they occur) is at least `similarity`; classes are what links connect. Texts of
     equal words are one node from the start. Candidates share one of `bands` bands of the signature, and
     every link is checked on the texts' whole shingles. With 32 bands of 4, a pair at 0.8 shares no band
-    in 5 of 100 million cases.
+    in 5 of 100 million cases; its signatures agree in less than 0.7, below which pairs are not checked, in 2 of 1000,
+    a pair at 0.85 in 1 of a million.
 
     A bucket never gives all its pairs. First its members meet its smallest node, the leader, which joins a group of copies
     of any size to one class. Then members that stay outside the leader's class meet the bucket's members, in blocks of
-    bounded size and by their signatures, and only likely pairs are made and checked. So each pair that shares a
-    band is either in one class or has been looked at.
+    bounded size and by their signatures. Of the likely pairs, each outsider's best is checked first, then the best with
+    each class, and at last all that still connect different classes. So each pair that
+    shares a band is in one class or has been looked at, while a large group needs few checks.
 
     A missing or empty text is a class of its own: class is NULL and class_id the row's doc_id. Repeated rows
     share a class. An empty table gives an empty result.
@@ -352,12 +391,31 @@ def near_duplicates(
     release(spark)
     linked = members.select("node").distinct()
     classes = store(components(linked, links), "classes")
-    rest = store(across_classes(members, classes, nodes, similarity - DOUBT).join(likely, ["a", "b"], "left_anti"), "rest")
-    release(spark)
-    if not rest.isEmpty():
-        links = links.unionAll(similar(rest, texts, shingle, similarity))
+    members = members.filter("members > 2")
+    signatures = nodes.select("node", F.col("signature").alias("payload"))
+    for _ in range(BEST_ROUNDS):
+        near = store(in_blocks(members, classes, signatures).mapInArrow(
+            _likely(similarity - DOUBT), "node bigint, other bigint, estimate double"), "near")
+        best = near.filter("other is not null").groupBy("node").agg(F.max_by("other", F.struct("estimate", "other")).alias("other"))
+        fresh = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        fresh = store(fresh.join(likely, ["a", "b"], "left_anti"), "fresh")
+        release(spark)
+        if fresh.isEmpty():
+            break
+        likely = likely.unionAll(fresh)
+        links = links.unionAll(similar(fresh, texts, shingle, similarity))
         classes = store(components(linked, links), "classes")
         release(spark)
+    # what is still apart is compared by whole shingles, without making pairs
+    open_nodes = near.select("node").distinct()
+    cells = store(texts.join(open_nodes, "node", "left_semi").select("node", "text").mapInArrow(
+        _cells(shingle), "node bigint, payload array<bigint>"), "cells")
+    last = store(in_blocks(members.join(open_nodes, "node", "left_semi"), classes, cells).mapInArrow(
+        _linked(similarity), "a bigint, b bigint"), "last")
+    discard(cells)
+    if not last.isEmpty():
+        classes = store(components(linked, links.unionAll(last)), "classes")
+        release(spark)
     named = nodes.select("node", "doc_id").join(classes, "node", "left").select(
         "node", "doc_id", F.coalesce("class", "node").alias("class"))
     names = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
