@@ -58,21 +58,41 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: of known words, and of n-grams by their size."""
+    """Log frequencies by language, less their mean over languages: one row of `table` per known word and n-gram."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-
-    def score(self, word: str) -> np.ndarray:
-        """Log score of a word in each language, less the mean over languages."""
-        if word in self.words:
-            return self.words[word]
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
+
+    def rows(self, word: str) -> list[int]:
+        """The row of a known word, or those of an unseen word's longest n-grams that are known; their mean is its score."""
+        at = self.words.get(word)
+        if at is not None:
+            return [at]
         for size in range(LONGEST, 0, -1):
-            found = [self.grams[g] for g in grams(word, size) if g in self.grams]
+            found = [at for g in grams(word, size) if (at := self.grams.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+                return found
+        return []
+
+    def token_scores(self, tokens: list[str]) -> np.ndarray:
+        """Summed scores of the words in each token, and in the last column their number."""
+        places, shares, owners, counts = [], [], [], []
+        for i, token in enumerate(tokens):
+            found = letters.findall(token)
+            counts.append(len(found))
+            for word in found:
+                rows = self.rows(word)
+                places += rows
+                shares += [1 / len(rows)] * len(rows) if rows else []
+                owners += [i] * len(rows)
+        scores = np.zeros((len(tokens), len(self.langs) + 1))
+        scores[:, -1] = counts
+        values = self.table[np.array(places, np.int64)] * np.array(shares, float)[:, None]
+        for lang in range(len(self.langs)):
+            scores[:, lang] = np.bincount(np.array(owners, np.int64), values[:, lang], len(tokens))
+        return scores
 
 
 def _log_table(rows: list[tuple[str, str, int]], langs: list[str], totals: dict) -> dict[str, np.ndarray]:
@@ -116,8 +136,11 @@ def fit_language_model(
     parts = fetch(found.filter("n > 2"), max_grams)
     words.unpersist()
     found.unpersist()
+    of_words = _log_table(known, langs, {(r["lang"], 0): r["n"] for r in sums})
+    of_grams = _log_table(parts, langs, by_size | {"by_size": True})
+    table = np.array([*of_words.values(), *of_grams.values()], float).reshape(-1, len(langs))
     return LanguageModel(
-        langs, _log_table(known, langs, {(r["lang"], 0): r["n"] for r in sums}), _log_table(parts, langs, by_size | {"by_size": True}))
+        langs, {w: i for i, w in enumerate(of_words)}, {g: len(of_words) + i for i, g in enumerate(of_grams)}, table)
 
 
 def _predict(model: LanguageModel):
@@ -136,13 +159,9 @@ def _predict(model: LanguageModel):
                     if len(places) + len(new) > CACHED_WORDS:
                         places.clear()
                         new = part
-                    for token in new:
-                        places[token] = at = len(places)
-                        found = letters.findall(token)
-                        table[at] = 0
-                        for word in found:
-                            table[at, :-1] += model.score(word)
-                        table[at, -1] = len(found)
+                    if new:
+                        table[len(places):len(places) + len(new)] = model.token_scores(new)
+                        places.update(zip(new, range(len(places), len(places) + len(new))))
                     at = np.fromiter((places[t] for t in part), np.int64, len(part))
                     total += counts[i:i + CACHED_WORDS] @ table[at]
                 if not model.langs or not total[-1]:
