@@ -138,7 +138,7 @@ def fit_language_model(
     found.unpersist()
     of_words = _log_table(known, langs, {(r["lang"], 0): r["n"] for r in sums})
     of_grams = _log_table(parts, langs, by_size | {"by_size": True})
-    table = np.array([*of_words.values(), *of_grams.values()], float).reshape(-1, len(langs))
+    table = np.array([*of_words.values(), *of_grams.values()], float).reshape(len(of_words) + len(of_grams), len(langs))
     return LanguageModel(
         langs, {w: i for i, w in enumerate(of_words)}, {g: len(of_words) + i for i, g in enumerate(of_grams)}, table)
 

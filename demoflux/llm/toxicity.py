@@ -23,6 +23,7 @@ FOLDS = 4  # lexicon voters of each kind
 LEAST_HITS, LEAST_SHARE = 5, 0.015  # toxic documents that a lexicon entry must occur in, as number and as share
 PRECISION = 0.97  # part of an entry's documents that must be toxic
 CACHED_TOKENS = 300_000
+START = -3.0  # the classifier's constant before fitting: without examples nothing is toxic
 
 #: Common insults in four languages, as published word lists have them.
 INSULTS = (
@@ -184,11 +185,11 @@ def fit_classifier(rows: list[list[int]], target: np.ndarray, size: int, penalty
     Accelerated proximal gradient steps on soft targets.
     """
     n = len(rows)
-    lengths = np.array([len(r) for r in rows])
+    lengths = np.array([len(r) for r in rows], np.int64)
     columns = np.fromiter((c for r in rows for c in r), np.int64, lengths.sum())
     owner = np.repeat(np.arange(n), lengths)
     step = 4.0 / (1.0 + lengths.mean() + lengths.std()) if n else 1.0
-    weights = ahead = np.zeros(size + 1)
+    weights = ahead = np.append(np.zeros(size), START)
     momentum = 1.0
     for _ in range(rounds if n else 0):
         logits = np.bincount(owner, ahead[columns], n) + ahead[-1]
