@@ -10,8 +10,8 @@ RANGE_PATCHES = {(65, 66): (65, 69), (67, 69): (65, 69)}
 
 
 def digits_in(text: Column) -> Column:
-    """All runs of digits in the text, as numbers."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda d: d.cast("int"))
+    """All runs of digits in the text, as numbers; NULL for one that is too long for an int."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda d: d.try_cast("int"))
 
 
 def ages_of_label(text: Column, patches: dict[tuple[int, int], tuple[int, int]] | None = None) -> Column:

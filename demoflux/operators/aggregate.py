@@ -17,8 +17,6 @@ from pyspark.sql import types as T
 from demoflux.functions.semantics import safe_div
 from demoflux.operators.joins import join_nullsafe
 
-FEW_GROUPS = 10_000
-
 
 def weighted_count(df: DataFrame, by: Sequence[str], weight: str = "PERWT", name: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.sum(weight).alias(name))
@@ -61,28 +59,17 @@ def group_total(cells: DataFrame, value: Column | str, by: Sequence[str], name:
 
 def share_of_total(
     cells: DataFrame, totals_from: DataFrame, value: str, by: Sequence[str] = (), name: str = "share",
-    few_groups: bool = True,
 ) -> DataFrame:
     """Each cell's share of the sum over `totals_from` with the same keys `by`.
 
     `totals_from` may be rows rather than cells, as sums of sums agree; it is summed with partial
-    aggregation. The totals of few groups (years, regions) come back as one map value,
-    so the cells are not moved; its size is checked. With many groups the totals are joined.
+    aggregation, and the totals are joined, however many they are.
     """
     if not by:
         return cells.withColumn(name, safe_div(F.col(value), totals_from.agg(F.sum(value)).scalar()))
     totals = totals_from.groupBy(*by).agg(F.sum(value).alias("_total"))
-    if not few_groups:
-        joined = join_nullsafe(cells, totals, by, "left")
-        return joined.withColumn(name, safe_div(F.col(value), F.col("_total"))).drop("_total")
-    entries = totals.limit(FEW_GROUPS + 1).agg(
-        F.collect_list(F.struct(F.struct(*by).alias("key"), "_total")).alias("entries"))
-    too_many = F.raise_error(F.lit(f"more than {FEW_GROUPS} groups; pass few_groups=False")).cast(
-        entries.schema["entries"].dataType)
-    checked = F.when(F.size("entries") > FEW_GROUPS, too_many).otherwise(F.col("entries"))
-    lookup = entries.select(F.map_from_entries(checked)).scalar()
-    return cells.withColumn("_totals", lookup).withColumn(
-        name, safe_div(F.col(value), F.try_element_at("_totals", F.struct(*by)))).drop("_totals")
+    joined = join_nullsafe(cells, totals, by, "left")
+    return joined.withColumn(name, safe_div(F.col(value), F.col("_total"))).drop("_total")
 
 
 def aggregate_each(df: DataFrame, by: Sequence[str], columns: Sequence[str], f: Callable[[str], Column]) -> DataFrame:

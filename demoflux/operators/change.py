@@ -9,19 +9,13 @@ from pyspark.sql import functions as F
 
 from demoflux.functions.semantics import safe_div
 
-MAX_LEVELS = 1000
-
 
 def observed_levels(df: DataFrame, column: str) -> Column:
-    """The distinct values of a low-cardinality column as one array value.
+    """The distinct values of a column as one array value, however many they are.
 
-    Fails rather than build a large array: a grid dimension is a short list. One value more
-    than allowed is enough to see that there are too many.
+    The grid it is used for holds every level for every area, so the array is small beside it.
     """
-    seen = df.select(column).distinct().limit(MAX_LEVELS + 1)
-    few = seen.agg(F.sort_array(F.collect_list(column)).alias("levels"))
-    too_many = F.raise_error(F.lit(f"{column} has more than {MAX_LEVELS} levels")).cast(few.schema["levels"].dataType)
-    return few.select(F.when(F.size("levels") > MAX_LEVELS, too_many).otherwise(F.col("levels"))).scalar()
+    return df.select(column).distinct().agg(F.sort_array(F.collect_list(column))).scalar()
 
 
 def _levels(values: Sequence | Column) -> Column:

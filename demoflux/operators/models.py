@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from demoflux.functions.semantics import inverse_logit
 from demoflux.session import cut_lineage
 
-MAX_COLUMNS = 400
 
 
 def crossed(*names: str) -> list[tuple[str, ...]]:
@@ -101,12 +100,13 @@ class LogisticFit:
         return np.sqrt(np.diag(self.covariance))
 
 
-def factor_levels(df: DataFrame, factors: Sequence[str], limit: int = 200) -> dict[str, tuple]:
-    """Sorted levels of each factor. A factor is a short list; a longer one is refused."""
+def factor_levels(df: DataFrame, factors: Sequence[str], limit: int | None = None) -> dict[str, tuple]:
+    """Sorted levels of each factor. A caller may refuse factors of more than `limit` levels."""
     levels = {}
     for f in factors:
-        values = [r[0] for r in df.select(f).filter(F.col(f).isNotNull()).distinct().limit(limit + 1).collect()]
-        if len(values) > limit:
+        seen = df.select(f).filter(F.col(f).isNotNull()).distinct()
+        values = [r[0] for r in (seen if limit is None else seen.limit(limit + 1)).collect()]
+        if limit is not None and len(values) > limit:
             raise ValueError(f"{f} has more than {limit} levels, too many for a factor")
         levels[f] = tuple(sorted(values))
     return levels
@@ -174,12 +174,11 @@ def fit_logistic(
     """Logistic regression on collapsed patterns.
 
     With `weighted`, the covariance is the design-based sandwich; otherwise it is the
-    model-based inverse information. The k x k algebra is done on the driver, k at most 400.
+    model-based inverse information. The k x k algebra is done on the driver, in memory of a few
+    times 8 k * k bytes.
     """
     design = DesignMatrix(tuple(model), levels)
     k = len(design.names())
-    if k > MAX_COLUMNS:
-        raise ValueError(f"{k} model columns; at most {MAX_COLUMNS}")
     totals = patterns.agg(F.sum("_n").alias("n"), F.sum("_w").alias("w")).first()
     n, mean_weight = int(totals["n"]), float(totals["w"]) / int(totals["n"])
     scaled = [(F.col(c) / F.lit(s)).alias(c) for c, s in

@@ -40,12 +40,12 @@ def _with_limits(estimates: DataFrame) -> DataFrame:
 
 
 def survey_proportion(
-    design: SurveyDesign, y: Column, by: Sequence[str], bounded_groups: bool = True
+    design: SurveyDesign, y: Column, by: Sequence[str]
 ) -> DataFrame:
     """Weighted proportion of a 0/1 value per group, with 95% limits.
 
     Rows with a NULL value are left out of the estimate but stay in the design. The design's
-    row count is summed over the groups when these are few, else over the rows.
+    row count is the sum of the groups' counts, as one value.
     Columns: the keys, est, variance, df, n, low, upp.
     """
     if design.psu is not None:
@@ -56,10 +56,7 @@ def survey_proportion(
         F.sum(valid).alias("_w"), F.sum(w * y).alias("_wy"), F.sum(valid * valid).alias("_ww"),
         F.sum(w * w * y).alias("_wwy"), F.count(y).alias("n"), F.count(F.lit(1)).alias("_rows"),
     )
-    if bounded_groups:
-        total = F.sum("_rows").over(Window.partitionBy())
-    else:
-        total = design.df.agg(F.count(F.lit(1))).scalar()
+    total = cells.agg(F.sum("_rows")).scalar()
     est = F.col("_wy") / F.col("_w")
     spread = (1 - 2 * F.col("est")) * F.col("_wwy") + F.col("est") * F.col("est") * F.col("_ww")
     result = (

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from demoflux.functions import recode
 from demoflux.functions.semantics import interval_label, pad_code, round_even, safe_div, to_number, year_of_range
-from demoflux.functions.text import ages_of_label, band_midpoint, digits_in, title_from
+from demoflux.functions.text import ages_of_label, band_midpoint, title_from
 from demoflux.operators.aggregate import (
     aggregate_each, columns_of_type, conditional_sum, map_columns, numeric_columns, rename_each, share_in_group,
     strict_sum, weighted_mean,
@@ -514,18 +514,19 @@ def age_dictionary(spark, folder):
 
 @query("q32c_numbers_in_text", """
 SELECT doc_id, CAST(len(d) AS INTEGER) AS n_numbers, list_max([len(x) for x in d]) AS longest,
-  CAST(list_sum([CAST(substr(x, 1, 4) AS INTEGER) for x in d]) AS BIGINT) AS leading_sum
+  CAST(coalesce(list_sum([TRY_CAST(x AS DECIMAL(38, 0)) for x in d]), 0) AS VARCHAR) AS number_sum
 FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS d FROM documents) WHERE len(d) > 0
 """)
 def numbers_in_text(spark, folder):
-    """Digit runs of every whole text: how many, how long, and the sum of their first four digits."""
+    """Digit runs of every whole text: how many, how long, and the sum of the numbers of up to 38 digits."""
     runs = F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1))
     found = load(spark, folder, "documents").select("doc_id", runs.alias("runs")).filter(F.size("runs") > 0)
-    heads = F.flatten(F.transform("runs", lambda d: digits_in(F.substring(d, 1, 4))))
+    whole = F.lit(0).cast("decimal(38,0)")
+    numbers = F.transform("runs", lambda d: F.coalesce(d.try_cast("decimal(38,0)"), whole))
     return found.select(
         "doc_id", F.size("runs").alias("n_numbers"),
         F.array_max(F.transform("runs", lambda d: F.length(d).cast("bigint"))).alias("longest"),
-        F.aggregate(heads, F.lit(0).cast("bigint"), lambda acc, v: acc + v).alias("leading_sum"))
+        F.aggregate(numbers, whole, lambda acc, v: (acc + v).cast("decimal(38,0)")).cast("string").alias("number_sum"))
 
 
 @query("q38_labelled_interval_bands", with_person("""

@@ -231,7 +231,11 @@ def unweighted_model(spark, folder):
     factors = ["SEX", "AGEG", "EDU", "MARRIED", "CHILD", "YEAR", "ETHCIT1"]
     patterns = covariate_patterns(prepared, factors, "moved", None)
     model = terms("SEX", "AGEG", "EDU", crossed("MARRIED", "CHILD"), crossed("YEAR", "ETHCIT1"))
-    fit = fit_logistic(patterns, model, factor_levels(patterns, factors), weighted=False)
+    levels = factor_levels(patterns, factors)
+    # the first level is the baseline, so these factors keep the order of their label lists
+    levels |= {f: tuple(v for v in order if v in levels[f]) for f, order in (
+        ("ETHCIT1", recode.ETHNICITY_CITIZENSHIP), ("EDU", recode.EDUCATION_LEVELS))}
+    fit = fit_logistic(patterns, model, levels, weighted=False)
     return patterns, fit
 
 

@@ -36,13 +36,13 @@ SELECT n_name AS name, YEAR AS year, coalesce(race4, 'Other') AS race, fb AS for
 FROM person JOIN nation ON STATEFIP = n_nationkey WHERE n_name = 'NATION_6' GROUP BY ALL
 """))
 def state_population_series(spark, folder):
+    names = state_clusters(spark, folder).select("STATEFIP", F.col("Name").alias("name")).filter("name = 'NATION_6'")
     rows = person(spark, folder, "STATEFIP", "YEAR", "HISPAN", "RACE", "YRIMMIG", "PERWT")
-    cells = rows.groupBy(
+    cells = rows.join(names.select("STATEFIP"), "STATEFIP", "left_semi").groupBy(
         "STATEFIP", F.col("YEAR").alias("year"), recode.race([4, 5, 6]).alias("race"),
         recode.foreign_born().alias("foreign_born"),
     ).agg(F.sum("PERWT").alias("n")).withColumn("race", recode.race_or_other(F.col("race")))
-    names = state_clusters(spark, folder).select("STATEFIP", F.col("Name").alias("name"))
-    return natural_join(cells, names).filter(F.col("name") == "NATION_6").drop("STATEFIP")
+    return natural_join(cells, names).drop("STATEFIP")
 
 
 def _age_distribution(rows, by, mean_age):

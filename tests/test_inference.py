@@ -33,11 +33,10 @@ def limits(p, variance, df):
     return 1 / (1 + math.exp(-logit + half)), 1 / (1 + math.exp(-logit - half))
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_weighted_proportion(spark, bounded):
+def test_weighted_proportion(spark):
     g, _, _, w, _, y = people()
     df = as_table(spark, g, w, y, schema="g int, PERWT double, y int")
-    got = {r.g: r for r in survey_proportion(SurveyDesign(df), F.col("y"), ["g"], bounded).collect()}
+    got = {r.g: r for r in survey_proportion(SurveyDesign(df), F.col("y"), ["g"]).collect()}
     n = len(g)
     for k in range(3):
         inside = g == k
