@@ -82,7 +82,10 @@ def read_fixed_width(spark: SparkSession, path: str, fields: Sequence[Field]) ->
 
 
 def format_fixed_width(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """Text lines holding the fields at their places, numbers zero-padded with implied decimals."""
+    """Text lines holding the fields at their places, numbers zero-padded with implied decimals.
+
+    A value that does not fit its field is an error.
+    """
     parts = []
     position = 1
     for field in sorted(fields, key=lambda f: f.start):
@@ -94,6 +97,9 @@ def format_fixed_width(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
         else:
             scaled = F.round(value * (10 ** field.decimals)).cast("long")
             body = pad_code(scaled, field.width)
+        # a value that is wider than its field would shift or lose what follows, so the write fails instead
+        wide = F.length(value if field.text else scaled.cast("string")) > field.width
+        body = F.when(wide, F.raise_error(F.lit(f"a value is wider than field {field.name}"))).otherwise(body)
         parts.append(F.coalesce(body, F.lit(" " * field.width)))
         position = field.start + field.width
     return df.select(F.concat(*parts).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import rows_of
+import pytest
 from demoflux.functions.markup import first_list_links, first_table_rows
 from demoflux.session import cut_lineage, shared_folder
 from demoflux.sources import census, microdata, store
@@ -106,3 +107,12 @@ def test_rows_of_the_first_table_and_list(spark):
     assert [(r.page_id, r.header, r.row, r.cells) for r in rows] == [
         (1, ["Name", "Alpha code"], 1, ["Alabama", "AL"]), (1, ["Name", "Alpha code"], 2, ["A &amp; B", "XX"])]
     assert rows_of(first_list_links(pages, "html", ["page_id"])) == [(1, 1, "/a?x=1&y=2", "To")]
+
+
+def test_wide_values_are_refused(spark):
+    from demoflux.sources.microdata import Field, format_fixed_width
+
+    rows = spark.createDataFrame([(123456789012, "x")], "SERIAL bigint, NAME string")
+    for fields in ([Field("SERIAL", 1, 10, 0, False, "")], [Field("NAME", 1, 0, 0, True, "")]):
+        with pytest.raises(Exception, match="wider than field"):
+            format_fixed_width(rows, fields).collect()
