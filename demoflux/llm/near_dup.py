@@ -190,14 +190,13 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), batch.column(1), pa.array((one == two).mean(axis=1), pa.float64())], names=["a", "b", "estimate"])
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, class): the smallest node that links (a, b) connect a node with.
+def components(links: DataFrame) -> DataFrame:
+    """(node, class) of every node that has links (a, b): the smallest node that they connect it with.
 
     Every round each node takes the smallest class among its neighbours, and then the class of that class, so
     long chains halve. What a hot node receives is combined before the shuffle.
     """
     both = store(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    # nodes without links are classes of their own, so only linked ones take part
     state = store(both.select(F.col("a").alias("node")).distinct().withColumn("class", F.col("node")), "classes")
     while True:
         heard = both.join(state, both["b"] == state["node"]).groupBy("a").agg(F.min("class").alias("heard"))
@@ -212,8 +211,23 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         state = following.select("node", "class")
         state.stored_at = following.stored_at
         if not changed:
-            break
-    return nodes.join(state, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
+            discard(both)
+            return state
+
+
+def united(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (node, class) after further links: those that the links connect become the smallest of them.
+
+    Only links between different classes are followed, as links of the classes themselves.
+    """
+    ends = classes.select(F.col("node").alias("a"), F.col("class").alias("low")), classes.select(
+        F.col("node").alias("b"), F.col("class").alias("high"))
+    between = store(links.select("a", "b").join(ends[0], "a").join(ends[1], "b").filter("low <> high").select(
+        F.col("low").alias("a"), F.col("high").alias("b")).distinct(), "between")
+    roots = components(between).select(F.col("node").alias("class"), F.col("class").alias("root"))
+    found = store(classes.join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("class")), "classes")
+    discard(between)
+    return found
 
 
 def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -389,8 +403,8 @@ def near_duplicates(
     likely = store(estimated(met, nodes).filter(F.col("estimate") >= similarity - DOUBT).select("a", "b"), "likely")
     links = similar(likely, texts, shingle, similarity)
     release(spark)
-    linked = members.select("node").distinct()
-    classes = store(components(linked, links), "classes")
+    alone = members.select("node").distinct().withColumn("class", F.col("node"))
+    classes = united(alone, links)
     members = members.filter("members > 2")
     signatures = nodes.select("node", F.col("signature").alias("payload"))
     for _ in range(BEST_ROUNDS):
@@ -403,8 +417,7 @@ def near_duplicates(
         if fresh.isEmpty():
             break
         likely = likely.unionAll(fresh)
-        links = links.unionAll(similar(fresh, texts, shingle, similarity))
-        classes = store(components(linked, links), "classes")
+        classes = united(classes, similar(fresh, texts, shingle, similarity))
         release(spark)
     # what is still apart is compared by whole shingles, without making pairs
     open_nodes = near.select("node").distinct()
@@ -414,7 +427,7 @@ def near_duplicates(
         _linked(similarity), "a bigint, b bigint"), "last")
     discard(cells)
     if not last.isEmpty():
-        classes = store(components(linked, links.unionAll(last)), "classes")
+        classes = united(classes, last)
         release(spark)
     named = nodes.select("node", "doc_id").join(classes, "node", "left").select(
         "node", "doc_id", F.coalesce("class", "node").alias("class"))
