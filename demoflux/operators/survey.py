@@ -6,7 +6,7 @@ estimate needs one aggregation of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,12 +40,14 @@ def _with_limits(estimates: DataFrame) -> DataFrame:
 
 
 def survey_proportion(
-    design: SurveyDesign, y: Column, by: Sequence[str]
+    design: SurveyDesign, y: Column, by: Sequence[str], overall: Mapping[str, object] | None = None
 ) -> DataFrame:
     """Weighted proportion of a 0/1 value per group, with 95% limits.
 
     Rows with a NULL value are left out of the estimate but stay in the design. The design's
-    row count is the sum of the groups' counts, as one value.
+    row count is the sum of the groups' counts, as one value. `overall` names keys and a label for each:
+    further rows then give the proportion over all values of these keys, under the labels. They are
+    summed from the groups' sums, so the rows are read once.
     Columns: the keys, est, variance, df, n, low, upp.
     """
     if design.psu is not None:
@@ -57,7 +59,12 @@ def survey_proportion(
         F.sum(w * w * y).alias("_wwy"), F.count(y).alias("n"), F.count(F.lit(1)).alias("_rows"),
     )
     total = cells.agg(F.sum("_rows")).scalar()
-    est = F.col("_wy") / F.col("_w")
+    if overall:
+        sums = [c for c in cells.columns if c not in by]
+        both = cells.withColumn("_over", F.explode(F.array(F.lit(False), F.lit(True))))
+        both = both.withColumns({k: F.when(F.col("_over"), F.lit(v)).otherwise(F.col(k)) for k, v in overall.items()})
+        cells = both.groupBy(*by, "_over").agg(*[F.sum(c).alias(c) for c in sums])
+    est =F.col("_wy") / F.col("_w")
     spread = (1 - 2 * F.col("est")) * F.col("_wwy") + F.col("est") * F.col("est") * F.col("_ww")
     result = (
         cells.withColumn("_total", total.cast("double"))

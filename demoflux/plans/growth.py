@@ -10,7 +10,7 @@ from demoflux.functions.semantics import age_band, cut_right, safe_div, short_nu
 from demoflux.functions.text import popup_text
 from demoflux.operators.aggregate import group_total, pack_distinct, share_in_group, weighted_mean
 from demoflux.operators.binning import cut_number, histogram
-from demoflux.operators.change import complete_grid, difference, end_ratio, growth_rate, two_point
+from demoflux.operators.change import complete_grid, difference, end_ratio, growth_rate, observed_levels, two_point
 from demoflux.operators.joins import membership_flag
 from demoflux.operators.models import regression_band, simple_regression
 from demoflux.operators.reshape import spread
@@ -34,17 +34,27 @@ def working_age(spark, folder, *columns, years) -> DataFrame:
 def growth_cells(spark, folder, companions=False) -> DataFrame:
     """Population and mean schooling per area, origin and year, for the two years."""
     rows = working_age(spark, folder, "EDUC", *(["AREASTATE"] if companions else []), years=[FIRST, LAST])
-    states = [pack_distinct("AREASTATE").alias("state")] if companions else []
-    return rows.groupBy(
-        F.col("CPUMA0010").alias("area"), recode.origin_six().alias("origin"), F.col("YEAR").alias("year")
-    ).agg(F.sum("PERWT").alias("est"), weighted_mean("EDUC").alias("mean"), *states)
+    keys = [F.col("CPUMA0010").alias("area"), recode.origin_six().alias("origin"), F.col("YEAR").alias("year")]
+    if not companions:
+        return rows.groupBy(*keys).agg(F.sum("PERWT").alias("est"), weighted_mean("EDUC").alias("mean"))
+    # person rows are only summed; the states are collected from the sums
+    sums = rows.groupBy(*keys, F.col("AREASTATE").alias("state")).agg(
+        F.sum("PERWT").alias("est"), F.sum(F.col("EDUC") * F.col("PERWT")).alias("schooling"),
+        F.sum(F.when(F.col("EDUC").isNotNull(), F.col("PERWT"))).alias("schooled"))
+    return sums.groupBy("area", "origin", "year").agg(
+        F.sum("est").alias("est"), safe_div(F.sum("schooling"), F.sum("schooled")).alias("mean"),
+        pack_distinct("state").alias("state"))
 
 
 def area_growth(spark, folder, companions=False) -> DataFrame:
-    """Growth of every origin group in every area; cells without people count as 0."""
+    """Growth of every origin group in every area; cells without people count as 0.
+
+    The grid has the origins that occur. The cells are stored, since the grid reads them twice.
+    """
     extra = ["state"] if companions else []
+    cells = cut_lineage(growth_cells(spark, folder, companions))
     grid = complete_grid(
-        growth_cells(spark, folder, companions), ["area"], {"origin": recode.ORIGIN_6, "year": [FIRST, LAST]},
+        cells, ["area"], {"origin": observed_levels(cells, "origin"), "year": [FIRST, LAST]},
         {"est": 0.0, "mean": None}, extra)
     change = two_point(
         grid, ["area", "origin"], "year", FIRST, LAST, ["est", "mean"], keep=[F.first(c).alias(c) for c in extra])

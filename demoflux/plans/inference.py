@@ -99,9 +99,7 @@ def migration_trend(spark, folder):
     rows = person(spark, folder, "AGE", "YEAR", "MIGRATE1D", "PERWT").select(
         age_band("AGE").alias("age_group"), F.col("YEAR").alias("year"), "MIGRATE1D", "PERWT")
     by = ["year", "age_group"]
-    per_band = survey_proportion(SurveyDesign(rows), recode.moved_area(), by)
-    overall = survey_proportion(SurveyDesign(rows), recode.moved_area(), ["year"]).withColumn("age_group", F.lit(-1))
-    return _rounded(per_band.unionByName(overall), by)
+    return _rounded(survey_proportion(SurveyDesign(rows), recode.moved_area(), by, overall={"age_group": -1}), by)
 
 
 @query("q8b_clustered_migration_rate", with_person(limits_sql("""
@@ -205,8 +203,8 @@ def migration_model_band(spark, folder):
 
 @query("q27b_migration_age_curve")
 def migration_age_curve(spark, folder):
-    """The same over ages 15 to 65, unfolded from each group's own row, for one year."""
-    patterns, fit = migration_model(spark, folder)
+    """Over ages 15 to 65, unfolded from each group's own row, for one year: the model in which age meets origin and region."""
+    patterns, fit = migration_model(spark, folder, "lm10")
     groups = patterns.filter(F.col("YEAR") == 2000).select(*FACTORS).distinct().dropna()
     grid = groups.withColumn("AGE", F.explode(F.sequence(F.lit(15), F.lit(65)))).withColumn(
         "AGE2", F.pow("AGE", F.lit(2)))
@@ -219,6 +217,36 @@ def migration_model_coefficients(spark, folder):
     return coefficient_table(spark, fit)
 
 
+@query("q27f_saturated_model_coefficients", with_person("""
+SELECT CASE WHEN x.s = 'Female' AND x.o = 'Mexico' THEN '(Intercept)' WHEN x.s = 'Female' THEN 'BPLCR' || x.o
+    WHEN x.o = 'Mexico' THEN 'SEX' || x.s ELSE 'SEX' || x.s || ':BPLCR' || x.o END AS term,
+  round(x.l - CASE WHEN x.s = 'Male' THEN f.l ELSE 0 END - CASE WHEN x.o <> 'Mexico' THEN m.l ELSE 0 END
+    + CASE WHEN x.s = 'Male' AND x.o <> 'Mexico' THEN b.l ELSE 0 END, 4) AS estimate,
+  round(sqrt(x.v + CASE WHEN x.s = 'Male' THEN f.v ELSE 0 END + CASE WHEN x.o <> 'Mexico' THEN m.v ELSE 0 END
+    + CASE WHEN x.s = 'Male' AND x.o <> 'Mexico' THEN b.v ELSE 0 END), 4) AS std_error
+FROM logits x JOIN logits f ON f.s = 'Female' AND f.o = x.o JOIN logits m ON m.s = x.s AND m.o = 'Mexico'
+JOIN logits b ON b.s = 'Female' AND b.o = 'Mexico'
+""", """
+kept AS (
+  SELECT CASE WHEN SEX = 1 THEN 'Male' ELSE 'Female' END AS s, origin_c AS o, PERWT AS w,
+    CASE WHEN MIGRATE1D >= 24 THEN 1.0::DOUBLE ELSE 0.0 END AS y
+  FROM person WHERE origin_c IN ('Native Hispanic', 'Native White', 'Mexico') AND MIGRATE1D NOT IN (0, 20, 40)
+    AND cluster_now IS NOT NULL),
+rates AS (SELECT s, o, sum(w * y) / sum(w) AS p FROM kept GROUP BY ALL),
+logits AS (
+  SELECT s, o, ln(p / (1 - p)) AS l,
+    (SELECT count(*) / (count(*) - 1.0) FROM kept) * sum(w * w * (y - p) * (y - p)) / pow(sum(w * p * (1 - p)), 2) AS v
+  FROM kept JOIN rates USING (s, o) GROUP BY s, o, p)
+"""))
+def saturated_model_coefficients(spark, folder):
+    """Sex x origin with all interactions: estimates and design-based errors, which have a closed form here."""
+    patterns = _migration_patterns(spark, folder)
+    factors = ["SEX", "BPLCR"]
+    fit = fit_logistic(patterns, terms(crossed(*factors)), factor_levels(patterns, factors))
+    return coefficient_table(spark, fit).select(
+        "term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
+
+
 def unweighted_model(spark, folder):
     """Moving by sex, age group, schooling, marriage x children and year x ethnicity, without weights."""
     rows = person(

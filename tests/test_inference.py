@@ -61,6 +61,19 @@ def test_degenerate_proportions(spark):
     assert got["one"].low is None
 
 
+def test_overall_rows_equal_a_pass_of_their_own(spark):
+    g, s, _, w, _, y = people()
+    df = as_table(spark, g, s, w, y, schema="g int, s int, PERWT double, y int")
+    design = SurveyDesign(df)
+    both = survey_proportion(design, F.col("y"), ["g", "s"], overall={"s": -1}).collect()
+    assert len(both) == 15
+    alone = {r.g: r for r in survey_proportion(design, F.col("y"), ["g"]).collect()}
+    for r in both:
+        if r.s == -1:
+            assert (r.est, r.variance, r.low) == pytest.approx((alone[r.g].est, alone[r.g].variance, alone[r.g].low))
+            assert (r.n, r.df) == (alone[r.g].n, alone[r.g].df)
+
+
 def test_clustered_proportion(spark):
     g, stratum, psu, w, _, y = people()
     df = as_table(spark, g, stratum, psu, w, y, schema="g int, s int, c int, PERWT double, y int")
