@@ -57,6 +57,16 @@ def test_archive_layer(spark, tmp_path, monkeypatch):
     assert ("03", "A, 3", 103) in rows_of(got)
 
 
+def test_archive_records_with_line_breaks_and_bad_numbers(spark, tmp_path):
+    schema = T.StructType().add("NAME", "string").add("N", T.IntegerType())
+    for name, body in (("good", 'NAME,N\n"x\ny",1\n\nz,2\n'), ("bad", "NAME,N\nx,one\n")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("t.csv", body)
+    assert rows_of(census.read_archive_layer(spark, str(tmp_path / "good.zip"), "t.csv", schema)) == [("x\ny", 1), ("z", 2)]
+    with pytest.raises(Exception, match="MALFORMED"):
+        census.read_archive_layer(spark, str(tmp_path / "bad.zip"), "t.csv", schema).collect()
+
+
 def test_labels(spark):
     df = census.label_columns(spark.range(1).withColumnRenamed("id", "AT5AA"), {"AT5AA": "Native-born", "ZZ": "unused"})
     assert census.column_label(df, "AT5AA") == "Native-born"
