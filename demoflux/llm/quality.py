@@ -77,7 +77,7 @@ def quality_rules(
     than `max_docs` distinct texts of its host hold is removed wherever it stands there; a document that
     keeps less than `kept_share` of its words is depleted and rejected. Verbatim copies of a text count
     once, since they say nothing about its lines. A missing text counts as empty, a missing host
-    as a host of its own, lines are told apart by 64-bit hashes. Repeated rows are judged each;
+    as a host of its own, lines and rows are told apart by 64-bit hashes. Repeated rows are judged each;
     an empty table gives an empty result.
 
     Texts are read once. Line hashes are summed before the shuffle, so a line in a third of all
@@ -88,23 +88,21 @@ def quality_rules(
     distinct = counted.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
     frequent = distinct.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n_docs")).filter(
         F.col("n_docs") > max_docs)
-    own = counted.select("doc_id", "text_hash", F.explode(F.arrays_zip("lines", "words")).alias("entry")).select(
-        "doc_id", "text_hash", F.col("entry.lines").alias("line"), F.col("entry.words").alias("words"))
     # rows that are repeated whole would be added up, so each is divided by their number
-    copies = counted.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")).filter("copies > 1")
-    removed = own.join(frequent, "line").groupBy("doc_id", "text_hash").agg(
-        F.sum("words").alias("all_removed"), F.count("*").alias("all_lines"))
-    totals = removed.alias("r").join(copies.alias("c"), F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (
-        F.col("r.text_hash") == F.col("c.text_hash")), "left").select(
-        "r.doc_id", "r.text_hash", F.expr("cast(all_removed / coalesce(copies, 1) as bigint) as n_removed_words"),
-        F.expr("cast(all_lines / coalesce(copies, 1) as bigint) as n_removed_lines"))
-    joined = counted.drop("lines", "words").alias("d").join(totals.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (
-        F.col("d.text_hash") == F.col("t.text_hash")), "left")
+    row = F.xxhash64("doc_id", "host", "text_hash").alias("row")
+    own = counted.select(row, F.explode(F.arrays_zip("lines", "words")).alias("entry")).select(
+        "row", F.col("entry.lines").alias("line"), F.col("entry.words").alias("words"))
+    copies = counted.groupBy(row).agg(F.count("*").alias("copies")).filter("copies > 1")
+    removed = own.join(frequent, "line").groupBy("row").agg(F.sum("words").alias("all_removed"), F.count("*").alias("all_lines"))
+    totals = removed.join(copies, "row", "left").selectExpr(
+        "row", "cast(all_removed / coalesce(copies, 1) as bigint) as n_removed_words",
+        "cast(all_lines / coalesce(copies, 1) as bigint) as n_removed_lines")
+    joined = counted.drop("lines", "words").withColumn("row", row).join(totals, "row", "left")
     gone = F.coalesce("n_removed_words", F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = (F.col("n_words") - gone) < F.lit(kept_share) * F.col("n_words")
     return joined.select(
-        "d.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & ~depleted).alias("kept"), gone.cast("long").alias("n_removed_words"),
         F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"))
 
