@@ -139,12 +139,16 @@ class LabelModel:
     rates: np.ndarray  # of votes: row 0 in clean documents, row 1 in toxic ones
     correlation: np.ndarray  # of voters within the classes
     weight: np.ndarray
+    shift: float = 0.0
+    scale: float = 1.0
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def log_odds(self, votes: np.ndarray) -> np.ndarray:
         clean, toxic = self.rates
         ratio = votes @ (self.weight * np.log(toxic / clean)) + (1 - votes) @ (self.weight * np.log((1 - toxic) / (1 - clean)))
-        odds = np.log(self.prior / (1 - self.prior)) + ratio
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        return np.log(self.prior / (1 - self.prior)) + ratio
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.shift + self.scale * self.log_odds(votes), -500, 500)))
 
 
 def as_votes(masks: np.ndarray, voters: int) -> np.ndarray:
@@ -179,6 +183,30 @@ def fit_label_model(masks: np.ndarray, labels: np.ndarray, counts: np.ndarray, v
     return model
 
 
+def calibrated(model: LabelModel, masks: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 50) -> LabelModel:
+    """The model with its log odds shifted and scaled to the known labels.
+
+    Weighing voters down by all their correlations leaves a text with few votes too doubtful. A logistic curve over
+    the distinct labelled vote vectors sets that right; a weak pull to the uncalibrated odds holds where labels say little.
+    """
+    known = labels >= 0
+    odds = np.clip(model.log_odds(as_votes(masks[known], len(model.weight))), -30, 30)
+    design = np.stack([np.ones(len(odds)), odds], axis=1)
+    start = at = np.array([0.0, 1.0])
+    pull = 0.1 * np.eye(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(design @ at, -500, 500)))
+        gradient = design.T @ (counts[known] * (labels[known] - p)) - pull @ (at - start)
+        curvature = (design * (counts[known] * p * (1 - p))[:, None]).T @ design + pull
+        step = np.linalg.solve(curvature, gradient)
+        at = at + step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-8:
+            break
+    if at[1] <= 0:  # labels that contradict the voters: leave the order of the posteriors alone
+        at = start
+    return LabelModel(model.prior, model.rates, model.correlation, model.weight, float(at[0]), float(at[1]))
+
+
 def fit_classifier(rows: list[list[int]], target: np.ndarray, size: int, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
     """Weights of a logistic regression on present features, the constant last, with an L1 penalty on all but the constant.
 
@@ -254,7 +282,8 @@ def fit_toxicity(
     voters = build_voters([tuple(r) for r in told], n_clean, n_toxic, max_features)
     votes = store(texts.mapInArrow(_vote(voters, known), "mask int, label int, features array<int>"), "votes")
     vectors = np.array([tuple(r) for r in votes.groupBy("mask", "label").count().collect()], np.int64).reshape(-1, 3)
-    label_model = fit_label_model(vectors[:, 0], vectors[:, 1], vectors[:, 2].astype(float), voters.count)
+    vectors = vectors[:, 0], vectors[:, 1], vectors[:, 2].astype(float)
+    label_model = calibrated(fit_label_model(*vectors, voters.count), *vectors)
     sample = votes.filter("label >= 0").select("mask", "features").collect()
     target = label_model.posterior(as_votes(np.array([r["mask"] for r in sample], np.int64), voters.count))
     weights = fit_classifier([r["features"] for r in sample], target, len(voters.feature))

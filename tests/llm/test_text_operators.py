@@ -145,6 +145,15 @@ def test_lines_that_many_texts_share_are_removed(spark):
     assert got[51]["n_removed_words"] == 0
 
 
+def test_rows_that_differ_by_host_alone_are_judged_apart(spark):
+    shared = " ".join(WORDS[:60])
+    rows = [(i, f"{shared}\n{prose(30, i)}", "a") for i in range(20)] + [(3, f"{shared}\n{prose(30, 3)}", h) for h in ("b", "a", None)]
+    found = collect(quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")))
+    removed = sorted(r["n_removed_words"] for r in found if r["doc_id"] == 3)
+    assert removed == [0, 0, 60, 60]
+    assert all(r["n_removed_words"] == 60 and not r["kept"] for r in found if r["doc_id"] != 3)
+
+
 def test_near_duplicates_match_brute_force(docs):
     def cells(text):
         words = (text or "").lower().split()
@@ -222,6 +231,19 @@ def test_languages_and_toxicity_are_learned(spark):
     assert all(r["predicted"] == (r["doc_id"] % 7 == 0 and r["doc_id"] < 400) for r in scored)
 
 
+def test_one_vote_of_many_linked_voters_is_believed():
+    # voters 0 to 3 mostly vote together and never on clean rows, so one of them alone is enough
+    masks = np.array([0b1111, 0b0001, 0b0010, 0, 0, 0])
+    labels, counts = np.array([1, 1, 1, 0, 1, -1]), np.array([80.0, 10, 10, 900, 3, 400])
+    plain = toxicity.fit_label_model(masks, labels, counts, 4)
+    model = toxicity.calibrated(plain, masks, labels, counts)
+    found = model.posterior(toxicity.as_votes(masks, 4))
+    assert (found[:3] > 0.9).all() and (found[3:] < 0.05).all()
+    assert (np.argsort(found) == np.argsort(plain.posterior(toxicity.as_votes(masks, 4)))).all()
+    unlabelled = toxicity.calibrated(plain, masks, np.full(6, -1), counts)
+    assert (unlabelled.shift, unlabelled.scale) == (0.0, 1.0)
+
+
 @pytest.mark.parametrize("query", [
     mixing.mixing_query, quality.quality_query, repeats.repeats_query, packing.packing_query, near_dup.near_dup_query,
     langid.language_query, secret_scan.secret_query])
