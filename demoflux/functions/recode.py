@@ -19,6 +19,7 @@ SOUTH_AMERICA = 300
 ABROAD_OR_UNKNOWN_MOVE = [0, 20, 40]
 MOVED_AREA_FROM = 24
 PUBLIC_WORKER_CLASSES = [24, 25, 26, 27, 28]
+CONTROL_STATES = [6, 32]
 
 # Labels of the recoded groups, in display order.
 ORIGIN_6 = ["Native Hispanic", "Native Non-Hispanic", "Central America/Caribbean", "South America", "Mexico", "Other"]
@@ -196,6 +197,11 @@ def left_state(state: int) -> Column:
     return (F.col("MIGPLAC1") == state) & (F.col("STATEFIP") != state)
 
 
+def left_control() -> Column:
+    """People who lived in one of the control states a year ago; a missing place is none of them."""
+    return in_set(F.col("MIGPLAC1"), CONTROL_STATES)
+
+
 def at_risk_of_leaving(state: int) -> Column:
     """People who left the state, and people who lived in it and stayed."""
     return left_state(state) | (F.col("MIGPLAC1").isin(0, state) & (F.col("STATEFIP") == state))

@@ -271,9 +271,38 @@ def leaving_rate_by_ethnicity(spark, folder):
     ).withColumn("rate", r6("rate"))
 
 
-def _at_risk(rows):
+def _studied(rows):
     born = F.col("BPL").isin(200, 210, 300) | (F.col("BPL") <= 99)
-    return rows.filter(born & F.col("AGE").between(18, 65)).filter(recode.at_risk_of_leaving(4))
+    return rows.filter(born & F.col("AGE").between(18, 65))
+
+
+def _at_risk(rows):
+    return _studied(rows).filter(recode.at_risk_of_leaving(4))
+
+
+@query("q9c_control_state_leavers", with_person("""
+SELECT YEAR AS year, eth AS ethnicity, count(*) AS n,
+  round(sum(CASE WHEN MIGPLAC1 IN (6, 32) THEN PERWT ELSE 0 END), 6) AS left_control,
+  round(sum(CASE WHEN MIGPLAC1 = 4 AND STATEFIP <> 4 THEN PERWT ELSE 0 END), 6) AS left_state,
+  round(sum(CASE WHEN MIGPLAC1 IN (6, 32) THEN PERWT ELSE 0 END) / sum(PERWT), 6) AS control_share
+FROM (SELECT *,
+        CASE WHEN BPL < 100 AND HISPAN = 1 THEN 'Native Latino' WHEN BPL < 100 AND RACE = 1 THEN 'Native White'
+          WHEN BPL >= 150 AND CITIZEN < 3 AND HISPAN = 1 THEN 'FB Latino Citizen'
+          WHEN BPL >= 150 AND CITIZEN >= 3 AND HISPAN = 1 THEN 'FB Latino Non-Citizen' END AS eth
+      FROM person WHERE (BPL IN (200, 210, 300) OR BPL <= 99) AND AGE BETWEEN 18 AND 65)
+WHERE eth IS NOT NULL GROUP BY ALL
+"""))
+def control_state_leavers(spark, folder):
+    """People who came from the control states, next to those who left the state under study."""
+    rows = _studied(person(
+        spark, folder, "YEAR", "BPL", "HISPAN", "RACE", "CITIZEN", "AGE", "MIGPLAC1", "STATEFIP", "PERWT"))
+    cells = rows.withColumn("ethnicity", recode.ethnicity_citizenship()).filter(F.col("ethnicity").isNotNull()).groupBy(
+        F.col("YEAR").alias("year"), "ethnicity").agg(
+        F.count("*").alias("n"), F.sum(F.when(recode.left_control(), F.col("PERWT")).otherwise(0.0)).alias("left_control"),
+        F.sum(F.when(recode.left_state(4), F.col("PERWT")).otherwise(0.0)).alias("left_state"), F.sum("PERWT").alias("people"))
+    return cells.select(
+        "year", "ethnicity", "n", r6("left_control").alias("left_control"), r6("left_state").alias("left_state"),
+        r6(safe_div(F.col("left_control"), F.col("people"))).alias("control_share"))
 
 
 @query("q9b_leaving_rate_by_profile", with_person("""
@@ -427,6 +456,15 @@ def _age_gaps(spark, folder, measure="EDUC"):
     return both.select("year", "area", "state", (F.col("migrant") - F.col("native")).alias("fb_older_diff"))
 
 
+def _additive_steps(rounds: int) -> str:
+    """SQL: residuals of year plus cluster effects, by taking out the means of either in turn until nothing is left of both."""
+    parts = ["left_0 AS (SELECT year, cluster, y FROM gaps)"]
+    for i in range(2 * rounds):
+        by = ("year", "cluster")[i % 2]
+        parts.append(f"left_{i + 1} AS (SELECT year, cluster, y - avg(y) OVER (PARTITION BY {by}) AS y FROM left_{i})")
+    return ",\n".join([*parts, f"residuals AS (SELECT y FROM left_{2 * rounds})"])
+
+
 @query("q41b_models_of_age_gap", with_person("""
 SELECT model, CAST(k AS INTEGER) AS k, n, round(rss, 3) AS rss, round(n * ln(rss / n) + (k + 1) * ln(n), 3) AS bic FROM (
   SELECT '1' AS model, 1 AS k, count(*) AS n, sum((y - m) ** 2) AS rss FROM (SELECT y, avg(y) OVER () AS m FROM gaps)
@@ -434,6 +472,8 @@ SELECT model, CAST(k AS INTEGER) AS k, n, round(rss, 3) AS rss, round(n * ln(rss
     FROM (SELECT y, avg(y) OVER (PARTITION BY year) AS m FROM gaps)
   UNION ALL SELECT 'Cluster', (SELECT count(DISTINCT cluster) FROM gaps), count(*), sum((y - m) ** 2)
     FROM (SELECT y, avg(y) OVER (PARTITION BY cluster) AS m FROM gaps)
+  UNION ALL SELECT 'Year + Cluster', (SELECT count(DISTINCT year) + count(DISTINCT cluster) - 1 FROM gaps), count(*), sum(y ** 2)
+    FROM residuals
   UNION ALL SELECT 'Year * Cluster', (SELECT count(*) FROM (SELECT DISTINCT year, cluster FROM gaps)), count(*), sum((y - m) ** 2)
     FROM (SELECT y, avg(y) OVER (PARTITION BY year, cluster) AS m FROM gaps))
 """, """
@@ -443,14 +483,16 @@ gaps AS (
         FROM person WHERE YEAR > 1995 AND NOT (fb AND race3 <> 'Hispanic'))
   JOIN nation ON state = n_nationkey JOIN region ON n_regionkey = r_regionkey
   WHERE r_name <> 'MIDDLE EAST' GROUP BY year, area, state, r_name HAVING count(DISTINCT fb) = 2)
-"""))
+""", _additive_steps(25)))
 def models_of_age_gap(spark, folder):
     """Linear models of the gap between the two groups, on areas with both, with their BIC."""
     gaps = _age_gaps(spark, folder)
     clusters = state_clusters(spark, folder).select(F.col("STATEFIP").alias("state"), F.col("Cluster").alias("cluster"))
     rows = cut_lineage(join_nullsafe(gaps, clusters, ["state"], "left").dropna())
     levels = factor_levels(rows, ["year", "cluster"])
-    models = {"1": [], "Year": terms("year"), "Cluster": terms("cluster"), "Year * Cluster": terms(crossed("year", "cluster"))}
+    models = {
+        "1": [], "Year": terms("year"), "Cluster": terms("cluster"), "Year + Cluster": terms("year", "cluster"),
+        "Year * Cluster": terms(crossed("year", "cluster"))}
     scores = [(name, linear_bic(rows, "fb_older_diff", model, levels)) for name, model in models.items()]
     return spark.createDataFrame(
         [(name, int(s["k"]), int(s["n"]), round(s["rss"], 3), round(s["bic"], 3)) for name, s in scores],
