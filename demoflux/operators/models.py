@@ -180,6 +180,8 @@ def fit_logistic(
     design = DesignMatrix(tuple(model), levels)
     k = len(design.names())
     totals = patterns.agg(F.sum("_n").alias("n"), F.sum("_w").alias("w")).first()
+    if not totals["n"]:
+        raise ValueError("there are no rows to fit a model on")
     n, mean_weight = int(totals["n"]), float(totals["w"]) / int(totals["n"])
     scaled = [(F.col(c) / F.lit(s)).alias(c) for c, s in
               (("_w", mean_weight), ("_wy", mean_weight), ("_ww", mean_weight**2), ("_wwy", mean_weight**2))]

@@ -288,3 +288,35 @@ def fitted_by_ethnicity(spark, folder):
     return predicted.groupBy(F.col("ETHCIT1").alias("ethnicity"), F.col("YEAR").alias("year")).agg(
         F.sum("_n").alias("n"), F.sum("_wy").alias("observed"),
         F.round(F.sum(F.col("_w") * F.col("p")), 2).alias("fitted"))
+
+
+@query("q40c_leaving_state_logistic", with_person("""
+SELECT CASE WHEN x.eth = b.eth THEN '(Intercept)' ELSE 'ETHCIT1' || x.eth END AS term,
+  round(ln(x.p / (1 - x.p)) - CASE WHEN x.eth = b.eth THEN 0 ELSE ln(b.p / (1 - b.p)) END, 4) AS estimate,
+  round(sqrt(1 / (x.n * x.p * (1 - x.p)) + CASE WHEN x.eth = b.eth THEN 0 ELSE 1 / (b.n * b.p * (1 - b.p)) END), 4) AS std_error
+FROM rates x JOIN rates b ON b.eth = 'Native White'
+""", """
+rates AS (
+  SELECT eth, count(*)::DOUBLE AS n, avg(CASE WHEN MIGPLAC1 = 4 AND STATEFIP <> 4 THEN 1.0::DOUBLE ELSE 0.0 END) AS p
+  FROM (SELECT *,
+          CASE WHEN BPL < 100 AND HISPAN = 1 THEN 'Native Latino' WHEN BPL < 100 AND RACE = 1 THEN 'Native White'
+            WHEN BPL >= 150 AND CITIZEN < 3 AND HISPAN = 1 THEN 'FB Latino Citizen'
+            WHEN BPL >= 150 AND CITIZEN >= 3 AND HISPAN = 1 THEN 'FB Latino Non-Citizen' END AS eth
+        FROM person WHERE (BPL IN (200, 210, 300) OR BPL <= 99) AND AGE BETWEEN 18 AND 65
+          AND ((MIGPLAC1 = 4 AND STATEFIP <> 4) OR (MIGPLAC1 IN (0, 4) AND STATEFIP = 4)))
+  WHERE eth IS NOT NULL GROUP BY eth)
+"""))
+def leaving_state_logistic(spark, folder):
+    """Leaving the state among people at risk, by ethnicity against native whites, without weights."""
+    rows = person(spark, folder, "AGE", "BPL", "HISPAN", "RACE", "CITIZEN", "MIGPLAC1", "STATEFIP")
+    born = F.col("BPL").isin(200, 210, 300) | (F.col("BPL") <= 99)
+    prepared = rows.filter(born & F.col("AGE").between(18, 65)).filter(recode.at_risk_of_leaving(4)).select(
+        recode.ethnicity_citizenship().alias("ETHCIT1"), recode.left_state(4).cast("int").alias("left"))
+    patterns = covariate_patterns(prepared, ["ETHCIT1"], "left", None)
+    seen = factor_levels(patterns, ["ETHCIT1"])["ETHCIT1"]
+    if recode.ETHNICITY_CITIZENSHIP[0] not in seen:  # nobody to compare with
+        return spark.createDataFrame([], "term string, estimate double, std_error double")
+    levels = {"ETHCIT1": tuple(v for v in recode.ETHNICITY_CITIZENSHIP if v in seen)}
+    fit = fit_logistic(patterns, terms("ETHCIT1"), levels, weighted=False)
+    return coefficient_table(spark, fit).select(
+        "term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))

@@ -9,9 +9,11 @@ from demoflux.operators.aggregate import weighted_mean
 from demoflux.plans.person import person, with_person
 from demoflux.plans.registry import query, r6
 from demoflux.session import scratch_path
+from demoflux.sources.census import column_label, label_columns
 from demoflux.sources.microdata import (
     Field, format_fixed_width, read_csv, read_dictionary, read_fixed_width, write_csv, write_dictionary,
 )
+from demoflux.sources.store import materialize
 from demoflux.sources.tables import load
 
 # Layout of the extract.
@@ -56,6 +58,16 @@ def csv_extract(spark, folder):
     return _summary(read_csv(spark, path, rows.schema))
 
 
+@query("q37b_stored_extract", f"SELECT 'Person weight' AS weight_label, * FROM ({_SUMMARY})")
+def stored_extract(spark, folder):
+    """The same through a stored table by year, which is built once and keeps the labels of its columns."""
+    path = scratch_path(spark, "extract-stored")
+    labels = {field.name: field.label for field in EXTRACT if field.label}
+    for _ in range(2):
+        rows = materialize(spark, path, lambda: label_columns(_extract(spark, folder), labels), partition_by=("YEAR",))
+    return _summary(rows).select(F.lit(column_label(rows, "PERWT")).alias("weight_label"), "*")
+
+
 @query("q34_links_of_first_list", r"""
 SELECT page_id, CAST(i AS INTEGER) AS position,
   replace(replace(regexp_extract(items[i], '<li><a href="([^"]*)">', 1), '&quot;', '"'), '&amp;', '&') AS href,
