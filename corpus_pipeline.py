@@ -1,7 +1,7 @@
 """A training corpus in five stages, each of which reads what the one before has written.
 
 Toxic documents go; of near-duplicates one stays; secrets are masked in the text; sources, languages and topics are
-sampled to target weights, each document at most once; what is left is tokenized and packed into sequences. All
+sampled to target weights, each document at most once and the others in its place; what is left is tokenized and packed into sequences. All
 stages but the last return the columns of `documents`. A missing text passes the first stages as an empty one does.
 """
 
@@ -34,7 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.query_mix(docs).filter("copies > 0").select(*docs.columns)
+    return mixing.query_mix(docs, once=True).filter("copies > 0").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

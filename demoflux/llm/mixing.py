@@ -46,15 +46,69 @@ def rake(cells: DataFrame, targets: Mapping[str, str], rounds: int = ROUNDS) ->
     return fitted
 
 
+def reachable(cells: DataFrame, targets: Mapping[str, str], total: float) -> DataFrame:
+    """Adds each margin's goal, `<margin>_goal`: the tokens of its value in a sample of `total` tokens without repeats.
+
+    A goal is the target share of `total`, but no more than the value has (`<margin>_tokens`). What such values fall
+    short of goes to the margin's other values by their targets, so every margin's goals sum to `total`. Each
+    turn finds more values that are used up or is the last.
+    """
+    scales = {m: total for m in targets}
+    while True:
+        spent = {m: F.col(target) * F.lit(scales[m]) >= F.col(f"{m}_tokens") for m, target in targets.items()}
+        sums = cells.agg(
+            *[F.coalesce(F.sum(F.when(spent[m], F.col("tokens"))), F.lit(0)).alias(f"{m}_spent") for m in targets],
+            # a value's target is counted once in all, by the parts that its cells have of it
+            *[F.coalesce(F.sum(F.when(~spent[m], F.col(target) * F.col("tokens") / F.col(f"{m}_tokens"))), F.lit(0.0)).alias(
+                f"{m}_rest") for m, target in targets.items()]).first()
+        new = {m: (total - sums[f"{m}_spent"]) / sums[f"{m}_rest"] if sums[f"{m}_rest"] > 0 else s for m, s in scales.items()}
+        if all(new[m] <= scales[m] * (1 + 1e-12) for m in targets):
+            break
+        scales = new
+    return cells.withColumns({
+        f"{m}_goal": F.least(F.col(f"{m}_tokens"), F.col(target) * F.lit(scales[m])) for m, target in targets.items()})
+
+
+def rake_once(cells: DataFrame, targets: Mapping[str, str], share: float, rounds: int = ROUNDS) -> DataFrame:
+    """Proportional fitting with no cell used more than once. Adds `fitted`: the cells' tokens in the sample.
+
+    `cells` has the goals of `reachable`. Each step scales one margin: the factor of a value is the one
+    by which its cells, each cut off at all its tokens, sum to its goal. Cells are sorted by their
+    weight, so what they would sum to when the next one is just used up tells which are. Cells that are
+    cut off in one step can come back in another. Where goals can't hold together, the last margin's do.
+    """
+    fitted = cells.withColumn("__w", F.lit(float(share)))
+    for turn in range(rounds):
+        for margin in targets:
+            value = Window.partitionBy(margin)
+            down = value.orderBy(F.desc("__w"))
+            fitted = fitted.withColumn("__part", F.col("tokens") * F.col("__w")).withColumn(
+                "__reach", F.sum("tokens").over(down) + (F.sum("__part").over(value) - F.sum("__part").over(down)) / F.col("__w"))
+            full = F.col("__reach") <= F.col(f"{margin}_goal")
+            fitted = fitted.withColumns({
+                "__full": F.coalesce(F.sum(F.when(full, F.col("tokens"))).over(value), F.lit(0)),
+                "__rest": F.coalesce(F.sum(F.when(~full, F.col("__part"))).over(value), F.lit(0.0)),
+                "__least": F.min("__w").over(value)})
+            goal = F.col(f"{margin}_goal")
+            left = F.greatest(goal - F.col("__full"), goal * F.lit(1e-12))
+            factor = F.when(F.col("__rest") > 0, left / F.col("__rest")).otherwise(1 / F.col("__least"))
+            fitted = fitted.withColumn("__w", F.col("__w") * factor).drop("__part", "__reach", "__full", "__rest", "__least")
+        if (turn + 1) % STEPS_PER_TABLE == 0 and turn + 1 < rounds:
+            fitted = store(fitted, "raking")
+    return fitted.withColumn("fitted", F.col("tokens") * F.least(F.lit(1.0), F.col("__w"))).drop("__w")
+
+
 def mix(
     docs: DataFrame, margins: Mapping[str, float], share: float, tokens: str = "n_tokens", key: str = "doc_id",
-    seed: str = "mix", rounds: int = ROUNDS,
+    seed: str = "mix", rounds: int = ROUNDS, once: bool = False,
 ) -> DataFrame:
     """The rows of `docs` with `mix_weight` and `copies`: how often a sample of `share` of all tokens holds the document.
 
     `margins` gives each margin column its exponent: a value's target share is its share of the tokens to
     that power, scaled to sum to 1, so an exponent below 1 lifts small values. A document's expected number of copies is share times its cell's fitted share over its natural one; the fraction is drawn by a
-    hash of the key, so a task that runs again draws the same. A missing margin value is a value of
+    hash of the key, so a task that runs again draws the same. With `once`, no document is expected more than
+    once: cells are used up at most, and the rest is fitted to the share and to the margins as far as there are tokens
+    for them (`reachable`, `rake_once`). A missing margin value is a value of
     its own. Documents without tokens have no weight and no copies. Repeated rows are weighted
     each, and drawn alike. An empty table gives an empty result.
     """
@@ -78,8 +132,13 @@ def mix(
         name = names[m]
         targets[name] = f"{name}_target"
         prepared = prepared.withColumn(targets[name], F.pow(f"{name}_tokens", F.lit(alpha)) / F.lit(whole[f"{name}_scale"]))
-    fitted = store(rake(store(prepared, "targets"), targets, rounds).select(
-        *keys, (F.col("fitted") * F.lit(float(everything)) / F.col("tokens")).alias("__weight")), "weights")
+    prepared = store(prepared, "targets")
+    if once:
+        goals = store(reachable(prepared, targets, share * everything), "goals")
+        fitted, per_token = rake_once(goals, targets, share, rounds), 1.0 / share
+    else:
+        fitted, per_token = rake(prepared, targets, rounds), float(everything)
+    fitted = store(fitted.select(*keys, (F.col("fitted") * F.lit(per_token) / F.col("tokens")).alias("__weight")), "weights")
     weight = F.when(F.col(tokens) > 0, F.coalesce("__weight", F.lit(0.0))).otherwise(F.lit(0.0))
     joined = keyed.drop("mix_weight", "copies").join(fitted, keys, "left").withColumn("mix_weight", weight)
     expected = F.col("mix_weight") * F.lit(share)
@@ -92,8 +151,8 @@ MARGINS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 SHARE = 0.8
 
 
-def query_mix(docs: DataFrame) -> DataFrame:
-    return mix(docs.withColumns({"topic": style(), "n_tokens": token_count("text")}), MARGINS, SHARE)
+def query_mix(docs: DataFrame, once: bool = False) -> DataFrame:
+    return mix(docs.withColumns({"topic": style(), "n_tokens": token_count("text")}), MARGINS, SHARE, once=once)
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 
 import corpus_pipeline
-from demoflux.llm import secret_scan
+from demoflux.llm import mixing, secret_scan
 from demoflux.llm.queries import CHECKS, QUERIES
 
 
@@ -22,6 +22,36 @@ def test_stages_keep_columns_and_take_effect(spark, folder):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_mixing_stage_meets_share_and_margins_without_repeats(spark):
+    # most of the tokens come from one source, so small sources would be wanted more than once
+    def row(i):
+        text = "one two three four" + (" ***" if i % 40 == 0 else " five")
+        return i, text, "de" if i % 7 == 0 else "en", "hot" if i % 20 else f"s{i // 20 % 3}", 20
+
+    rows = [row(i) for i in range(12000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.mix_sources(spark, docs, "").toPandas()
+    assert kept.doc_id.is_unique
+    assert abs(len(kept) / 12000 - 0.8) < 0.01
+    weights = mixing.query_mix(docs, once=True).toPandas()
+    weights["expected"] = weights.mix_weight * mixing.SHARE * weights.n_tokens
+    assert (weights.mix_weight * mixing.SHARE <= 1 + 1e-9).all()
+    total = weights.n_tokens.sum()
+    assert abs(weights.expected.sum() / total - 0.8) < 1e-6
+    for margin, alpha in mixing.MARGINS.items():
+        natural = weights.groupby(margin).n_tokens.sum() / total
+        target = natural ** alpha / (natural ** alpha).sum()
+        goal = (target * 0.8).clip(upper=natural)
+        while 0.8 - goal.sum() > 1e-12:  # what used up values can't give, the others give by their targets
+            free = goal < natural
+            goal[free] = (target[free] * (0.8 - goal[~free].sum()) / target[free].sum()).clip(upper=natural[free])
+        found = weights.groupby(margin).expected.sum() / total
+        assert (found - goal).abs().max() < 1e-3
+        drawn = weights[weights.copies > 0].groupby(margin).n_tokens.sum() / total
+        assert (drawn - goal).abs().max() < 0.01
+    assert set(kept.doc_id) == set(weights[weights.copies > 0].doc_id)
+
+
 def test_sql_checks(spark, folder):
     connection = duckdb.connect()
     for name in ("embeddings", "pages"):
