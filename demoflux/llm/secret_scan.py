@@ -135,24 +135,30 @@ def entropy_spans(text: Column, classes: Sequence[CharacterClass], allowed: Sequ
     return F.array_distinct(F.concat(*spans))
 
 
+def _covered(span: Column, sorted_spans: str) -> Column:
+    """Whether spans that are sorted by start leave no place of the span free."""
+    reached = F.aggregate(
+        sorted_spans, span["start"],
+        lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+    return reached >= span["end"]
+
+
 def scan_secrets(
     docs: DataFrame, text: str = "text", classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED,
 ) -> DataFrame:
     """The rows of `docs` with two more columns, `base_spans` and `secret_spans`.
 
     Both are arrays of (start, kind, end), sorted, in code points with the end excluded; `kind` counts
-    in KINDS. `secret_spans` holds the base spans and, besides, stretches of high entropy that no base
-    span touches. A missing or empty text has no spans. Other columns, even those named like the
+    in KINDS. `secret_spans` holds the base spans and, besides, whole stretches of high entropy, but for those
+    that base spans cover entirely. A missing or empty text has no spans. Other columns, even those named like the
     results, are left alone but for these two, which are replaced. Rows are independent: repeated
     rows give repeated results, an empty table an empty one.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*[matches(body, pattern, group, least, KINDS.index(kind)) for kind, pattern, group, least in BASE])
     with_base = docs.withColumn("base_spans", F.array_sort(base))
-    free = F.filter(
-        entropy_spans(body, classes, allowed),
-        lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return with_base.withColumn("secret_spans", F.array_sort(F.concat("base_spans", free)))
+    added = F.filter(entropy_spans(body, classes, allowed), lambda s: ~_covered(s, "base_spans"))
+    return with_base.withColumn("secret_spans", F.array_sort(F.concat("base_spans", added)))
 
 
 def listed(spans: str | Column) -> Column:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from demoflux.llm import langid, mixing, near_dup, packing, quality, repeats, secret_scan, topk, toxicity, warc
 
@@ -58,6 +59,19 @@ def test_allowed_strings_are_no_secrets(spark):
     assert got["n_entropy"] == 0
 
 
+def test_keys_with_a_hex_run_are_reported_whole(spark):
+    key = "Zx9Qw7Er5Ty3Ui1Op2As4Df6Gh8Jk0LzXcVbNm3Q" + "0123456789abcdef"[::-1]
+    rows = [(1, f"a {key} b"), (2, "secret=Zx9Qw7Er5Ty3Ui1Op2As4Df6Gh8Jk0LzXc b")]
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumn(
+        "masked", secret_scan.mask(F.col("text"), "secret_spans"))
+    spans = {r["doc_id"]: r for r in collect(found)}
+    assert [tuple(x) for x in spans[1]["base_spans"]] == [(42, 2, 58)]
+    assert [tuple(x) for x in spans[1]["secret_spans"]] == [(2, 3, 58), (42, 2, 58)]
+    assert spans[1]["masked"] == "a [SECRET] b"
+    # the keyed value covers the stretch of high entropy in it
+    assert spans[2]["secret_spans"] == spans[2]["base_spans"] and spans[2]["masked"] == "[SECRET] b"
+
+
 def test_repeats_match_brute_force(docs):
     bodies = [(i, (t or "").encode()) for i, t in TEXTS]
     seen = collections.Counter(b[k:k + 200] for _, b in bodies for k in range(len(b) - 199))
