@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from demoflux.llm.common import WORD, store
 
 SYMBOLS = "#*$%&|<>"  # fixed value
-MAX_DOCS = 10  # distinct texts of a host that may share a line
+MAX_SHARE = 0.05  # part of a host's distinct texts that may share a line
+MAX_DOCS = 10  # so many may at least, which is what counts for hosts of under 200 texts
 KEPT_SHARE = 0.5  # part of a text's words that must be left
 COUNTED = (
     "doc_id bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -70,11 +71,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality_rules(
     docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, kept_share: float = KEPT_SHARE,
+    max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """Counts, verdicts and the line rule for every document (columns doc_id, text and the host).
 
     Lines are compared in lower case, with digit runs as one 0 and white space as one blank. A line that more
-    than `max_docs` distinct texts of its host hold is removed wherever it stands there; a document that
+    than `max_share` of its host's distinct texts hold, and more than `max_docs` of them, is removed wherever it
+    stands there, so that a host's size does not decide what an ordinary line is; a document that
     keeps less than `kept_share` of its words is depleted and rejected. Verbatim copies of a text count
     once, since they say nothing about its lines. A missing text counts as empty, a missing host
     as a host of its own, lines and rows are told apart by 64-bit hashes. Repeated rows are judged each;
@@ -85,9 +88,13 @@ def quality_rules(
     """
     counted = store(docs.select(F.col("doc_id").cast("bigint"), "text", F.col(host).cast("string").alias("host")).mapInArrow(
         _count, COUNTED), "counted")
+    # hosts by a hash too, which a missing one has as well
+    hosts = counted.select(F.xxhash64("host").alias("host_key"), "host", "text_hash").distinct().groupBy("host_key").agg(
+        F.count("*").alias("n_texts"))
     distinct = counted.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    frequent = distinct.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n_docs")).filter(
-        F.col("n_docs") > max_docs)
+    shared = distinct.select(F.xxhash64("host").alias("host_key"), F.explode("lines").alias("line")).groupBy("host_key", "line").agg(
+        F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs)
+    frequent = shared.join(hosts, "host_key").filter(F.col("n_docs") > F.lit(max_share) * F.col("n_texts")).select("line")
     # rows that are repeated whole would be added up, so each is divided by their number
     row = F.xxhash64("doc_id", "host", "text_hash").alias("row")
     own = counted.select(row, F.explode(F.arrays_zip("lines", "words")).alias("entry")).select(

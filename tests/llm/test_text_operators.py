@@ -190,6 +190,20 @@ def test_lines_that_many_texts_share_are_removed(spark):
     assert got[51]["n_removed_words"] == 0
 
 
+def test_verdicts_do_not_depend_on_the_size_of_a_host(spark):
+    def corpus(n):
+        # of a host's texts one in 40 has an ordinary line, one in 10 a notice, half a menu
+        return [(i, "\n".join([prose(60, i)] + ["ordinary line"] * (i % 40 == 0) + ["notice to all"] * (i % 10 == 1) + ["menu here"] * (i % 2)),
+                 None if host == 2 else f"h{host}") for host in range(3) for i in range(n)]
+
+    found = []
+    for n in (240, 2400):
+        frame = spark.createDataFrame(corpus(n), "doc_id bigint, text string, source string")
+        found.append({(r["doc_id"] % 40, r["n_removed_lines"], r["kept"]) for r in collect(quality.quality_rules(frame))})
+    assert found[0] == found[1]
+    assert {(0, 0, True), (1, 2, True), (3, 1, True)} <= found[0]
+
+
 def test_rows_that_differ_by_host_alone_are_judged_apart(spark):
     shared = " ".join(WORDS[:60])
     rows = [(i, f"{shared}\n{prose(30, i)}", "a") for i in range(20)] + [(3, f"{shared}\n{prose(30, 3)}", h) for h in ("b", "a", None)]
