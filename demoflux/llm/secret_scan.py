@@ -49,7 +49,7 @@ class CharacterClass:
     tail: str = ""
 
 
-#: Of random strings as short as the window, 99 of 100 reach the bits (85 in the last class, whose strings are longer).
+#: Of random strings as short as the window, 99 of 100 reach the bits (95 in the last class).
 #: Numbers have at most 3.32 bits. In letters of one case, digits in two places tell a key from words with a year.
 CLASSES = (
     CharacterClass("[0-9a-fA-F]", 20, 2.9, ("[0-9]", "[a-fA-F]")),
