@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demoflux.operators.joins import join_nullsafe
+from demoflux.operators.numbering import dense_ranks
 
 HISTOGRAM_BINS = 4096
 COLLECT_DISTINCT = 10_000
@@ -110,12 +111,5 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def dense_code(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Codes 1, 2, ... for the sorted distinct values of a factor column.
-
-    The distinct values of a factor are few; they alone are numbered and joined back.
-    """
-    from pyspark.sql import Window
-
-    levels = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    coded = levels.withColumn(name, F.dense_rank().over(Window.orderBy(column)))
-    return join_nullsafe(df, coded, [column], "left")
+    """Codes 1, 2, ... for the sorted distinct values of a factor column, of any number; NULL has none."""
+    return join_nullsafe(df, dense_ranks(df, column, name), [column], "left")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demoflux.operators.numbering import numbered
+
 UNCOUNT_CHUNK = 4096
 
 
@@ -24,9 +26,8 @@ def gather(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str,
 
 
 def keep_positions(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> DataFrame:
-    """Rows by position in an explicit order; for short tables such as a variable dictionary."""
-    numbered = df.withColumn("_position", F.row_number().over(Window.orderBy(*order)))
-    return numbered.filter(F.col("_position").isin(list(positions))).drop("_position")
+    """Rows by position in an explicit order."""
+    return numbered(df, order, "_position").filter(F.col("_position").isin(list(positions))).drop("_position")
 
 
 def count_chunks(df: DataFrame, count: str) -> DataFrame:

@@ -9,6 +9,9 @@ from demoflux.operators import aggregate as a
 from demoflux.operators import binning
 from demoflux.operators import change as c
 from demoflux.operators import flows, joins, reshape
+from demoflux.operators.binning import dense_code
+from demoflux.operators.numbering import numbered
+from demoflux.operators.reshape import keep_positions
 
 
 def test_missing_keys_match(spark):
@@ -175,3 +178,27 @@ def test_one_hot_area_is_whole(spark):
     grid = c.complete_grid(cells, ["area"], {"g": ["m"], "t": [0, 1]}, {"est": 0.0})
     assert grid.agg(F.sum("est")).first()[0] == 30000.0
     assert rows_of(grid.filter("area = 0").select("t", "est")) == [(0, 5000.0), (1, 5000.0)]
+
+
+def test_numbers_over_a_whole_table(spark):
+    values = [(i * 7919 % 1000, i % 3, f"r{i}") for i in range(5000)] + [(5, 0, "same")] * 700 + [(None, 1, None)] * 3
+    df = spark.createDataFrame(values, "v int, k int, s string").repartition(7)
+    got = [tuple(r) for r in numbered(df, [F.col("v").desc_nulls_last(), "k"], "n").orderBy("n").collect()]
+    assert [r[3] for r in got] == list(range(1, len(values) + 1))
+    assert sorted(map(repr, (r[:3] for r in got))) == sorted(map(repr, values))
+    keys = [(r[0] is None, -(r[0] or 0), r[1]) for r in got]
+    assert keys == sorted(keys)
+    assert numbered(df.filter("v = -1"), ["v"], "n").count() == 0
+    # a single row per range
+    assert sorted(tuple(r) for r in numbered(df.limit(1), ["v"], "n").select("n").collect()) == [(1,)]
+
+
+def test_dense_codes_and_positions_without_a_whole_window(spark):
+    df = spark.createDataFrame([(f"l{i * 37 % 501:03}",) for i in range(2004)] + [(None,)], "level string")
+    coded = dense_code(df, "level", "code")
+    assert {(r["level"], r["code"]) for r in coded.collect()} == {(f"l{i:03}", i + 1) for i in range(501)} | {(None, None)}
+    kept = keep_positions(df.distinct().filter("level is not null"), ["level"], [1, 501, 777])
+    assert sorted(r["level"] for r in kept.collect()) == ["l000", "l500"]
+    for plan in (coded, kept):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in text and "SinglePartition" not in text
