@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from demoflux.llm import langid, mixing, near_dup, packing, quality, repeats, secret_scan, topk, toxicity, warc
+from demoflux.llm import (
+    importance, langid, mixing, near_dup, packing, quality, repeats, secret_scan, simhash, topk, toxicity, vector_codes, warc)
 from demoflux.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {
@@ -16,6 +17,12 @@ QUERIES: dict[str, Query] = {
     "op8_warc": lambda spark, folder: warc.warc_query(table(spark, folder, "pages")),
     "op9_language": lambda spark, folder: langid.language_query(table(spark, folder, "documents")),
     "op10_secrets": lambda spark, folder: secret_scan.secret_query(table(spark, folder, "documents")),
+    "op11_importance": lambda spark, folder: importance.resample_query(table(spark, folder, "documents"), table(spark, folder, "benchmark")),
+    "op12_vector_codes": lambda spark, folder: vector_codes.codes_query(table(spark, folder, "embeddings")),
+    "op13_simhash": lambda spark, folder: simhash.simhash_query(table(spark, folder, "documents")),
 }
 
-CHECKS: dict[str, str] = {"op5_topk": topk.TOPK_SQL, "op8_warc": warc.WARC_SQL}
+CHECKS: dict[str, str] = {
+    "op5_topk": topk.TOPK_SQL, "op8_warc": warc.WARC_SQL, "op11_importance": importance.RESAMPLE_SQL,
+    "op12_vector_codes": vector_codes.CODES_SQL,
+}
