@@ -75,8 +75,10 @@ def _search(block: dict, k: int, scale: float):
                     for j in range(0, len(queries), TILE_QUERIES):
                         part = slice(j, j + TILE_QUERIES)
                         products = tile_scores(queries[part], tile)
-                        products[query_ids[part][:, None] == tile_ids[None, :]] = LEAST // (4 * TILE_ROWS)
+                        own_row = query_ids[part][:, None] == tile_ids[None, :]
+                        products[own_row] = products.min(initial=0, where=~own_row) - 1  # behind every other row of the tile
                         some = partial_best(products, tile_ids, k)
+                        some[0][some[1] == query_ids[part][:, None]] = LEAST  # and of all tiles
                         merged[0][part], merged[1][part] = best(
                             np.hstack([scores[part], some[0]]), np.hstack([found[part], some[1]]), width)
                     top[d] = merged
