@@ -115,19 +115,23 @@ def read_archives(spark: SparkSession, path: str, archive_id: str) -> DataFrame:
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """Every record with the length and digest of its full payload: a response's own, a revisit's by the record it refers to."""
-    lean = found.select(
-        "record_type", "record_id", "page_id", "refers_to", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"))
-    lean = store(lean, "records")
-    responses = lean.filter("record_type = 'response'").groupBy("record_id").agg(
-        F.max("page_id").alias("source_id"), F.max("payload_bytes").alias("source_bytes"), F.max("payload_digest").alias("source_digest"))
-    joined = lean.join(responses.withColumnRenamed("record_id", "original"), F.col("refers_to") == F.col("original"), "left")
-    again = F.col("record_type") == "revisit"
-    return joined.select(
-        "page_id", F.when(again, F.col("source_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(again, F.col("source_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", F.when(again, F.col("source_id")).alias("refers_to"))
+    """Every record with the length and digest of its full payload: a response's own, a revisit's by the record it refers to.
+
+    A revisit's original is the response of that identifier and digest, as an identifier may be repeated with other
+    payloads. Only revisits are joined; all of a payload meet one row.
+    """
+    lean = store(found.select(
+        "record_type", "record_id", "page_id", "refers_to", "digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest")), "records")
+    responses = lean.filter("record_type = 'response'")
+    originals = responses.groupBy(F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("digest")).agg(
+        F.min("page_id").alias("source_id"), F.first("payload_bytes").alias("payload_bytes"))
+    revisits = lean.filter("record_type = 'revisit'").select("page_id", "refers_to", "digest").join(
+        originals, ["refers_to", "digest"], "left")
+    own = responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("bigint").alias("refers_to"))
+    return own.unionAll(revisits.select(
+        "page_id", "payload_bytes", F.when(F.col("payload_bytes").isNotNull(), F.col("digest")).alias("payload_digest"),
+        F.lit("revisit").alias("record_type"), F.col("source_id").alias("refers_to")))
 
 
 def warc_query(pages: DataFrame) -> DataFrame:
