@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demoflux.llm.common import tasks
+from demoflux.llm.common import discard, store, tasks
 
 TRAIN_DOCS = 20_000  # documents that the model is fitted on, about
 MAX_WORDS = 60_000  # known words of the model
@@ -21,7 +21,7 @@ MAX_GRAMS = 120_000  # n-grams of the model
 LONGEST = 5
 CACHED_WORDS = 300_000
 
-letters = re.compile(r"[^\W\d_]+")
+letters = regex.compile(r"\p{L}+")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -114,28 +114,33 @@ def fit_language_model(
 ) -> LanguageModel:
     """Fit on about `train_docs` labelled documents, picked by a hash of the key.
 
-    That number, and the numbers of known words and n-grams (the most frequent ones), bound the model that
-    the driver holds and sends to the tasks. Rows without text or language are left out.
+    That number, and the numbers of known words and n-grams (the most frequent ones of each language), bound the model that
+    the driver holds and sends to the tasks. All three are dealt evenly to the languages: a small language
+    gives all its documents, and a large one takes no other's places. Rows without text or language are left out.
     """
     spark = docs.sparkSession
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.count()
-    share = min(1.0, train_docs / max(1, n))
-    picked = rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit("lang")), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sizes = {r[0]: r["count"] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}
+    places = max(1, len(sizes))
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, train_docs / places / n))]) if sizes else None
+    limit = share[F.col(lang).cast("string")] * (1 << 40) if sizes else F.lit(0)
+    picked = rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit("lang")), F.lit(1 << 40)) < limit)
     counted = picked.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(
         _count_words, "lang string, unit string, n bigint")
-    words = counted.groupBy("lang", "unit").agg(F.sum("n").alias("n")).persist()
+    words = counted.groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    words = store(words, "words")
     sums = words.groupBy("lang").agg(F.sum("n").alias("n")).collect()
     langs = sorted(r["lang"] for r in sums)
-    top = lambda df, limit: df.groupBy("unit").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "unit").limit(limit).select("unit")
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "unit")
+    top = lambda df, limit: df.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= -(-limit // places)).select("unit").distinct()
     fetch = lambda df, limit: [tuple(r) for r in df.join(top(df, limit), "unit", "left_semi").select("lang", "unit", "n").collect()]
     known = fetch(words.filter("n > 1"), max_words)
     found = words.repartition(tasks(spark)).mapInArrow(_count_grams, "lang string, unit string, n bigint").groupBy("lang", "unit").agg(
-        F.sum("n").alias("n")).persist()
+        F.sum("n").alias("n"))
+    found = store(found, "grams")
     by_size = {(r["lang"], r["size"]): r["n"] for r in found.groupBy("lang", F.length("unit").alias("size")).agg(F.sum("n").alias("n")).collect()}
     parts = fetch(found.filter("n > 2"), max_grams)
-    words.unpersist()
-    found.unpersist()
+    discard(words, found)
     of_words = _log_table(known, langs, {(r["lang"], 0): r["n"] for r in sums})
     of_grams = _log_table(parts, langs, by_size | {"by_size": True})
     table = np.array([*of_words.values(), *of_grams.values()], float).reshape(len(of_words) + len(of_grams), len(langs))
