@@ -14,27 +14,36 @@ from demoflux.llm import mixing, near_dup, packing, secret_scan, toxicity
 from demoflux.llm.common import store, table
 
 
+def apart(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns an operator reads, and the whole row beside them, so that its own columns can't replace the row's."""
+    return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__document"))
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    return rows.select("__document.*")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.query_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+    model = toxicity.query_model(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return whole(toxicity.score_toxicity(apart(docs, "text"), model).filter("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_one(docs)
+    return whole(near_dup.keep_one(apart(docs, "doc_id", "text")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets stay; their text has a mark instead, and n_chars is counted anew."""
-    found = secret_scan.scan_secrets(docs)
-    text = secret_scan.mask(F.col("text"), "secret_spans")
+    found = secret_scan.scan_secrets(apart(docs, "text")).withColumn("text", secret_scan.mask(F.col("text"), "secret_spans"))
     changed = F.size("secret_spans") > 0
-    return found.withColumn("masked", text).withColumn(
-        "n_chars", F.when(changed, F.length("masked").cast("long")).otherwise(F.col("n_chars"))).withColumn(
-        "text", F.col("masked")).select(*docs.columns)
+    row = F.col("__document").withField("text", F.col("text")).withField("n_chars", F.when(
+        changed, F.length("text").cast("long")).otherwise(F.col("__document.n_chars")))
+    return whole(found.withColumn("__document", row))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.query_mix(docs, once=True).filter("copies > 0").select(*docs.columns)
+    """Documents without a token weigh nothing and are not drawn."""
+    return whole(mixing.query_mix(apart(docs, "doc_id", "source", "lang", "text"), once=True).filter("copies > 0"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -315,3 +315,48 @@ def test_other_empty_tables(spark):
     assert warc.warc_query(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
     texts, labels = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, toxic int")
     assert toxicity.toxicity_query(texts, labels).count() == 0
+
+
+def test_top_k_keeps_low_scores(spark):
+    rows = [(100, [1000.0]), (1, [-2000.0]), (2, [-3e12]), (3, [-4e12]), (4, [-5e12])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for width in (1, 4):
+        found = topk.top_k(df.repartition(width), F.col("vec_id") == 100, 2).orderBy("rank").collect()
+        assert [(r["rank"], r["vec_id"]) for r in found] == [(1, 1), (2, 2)]
+
+
+def test_revisits_of_repeated_pages_keep_their_payload(spark):
+    a, b = "a" * 203, "b" * 503
+    rows = [(1, "u", a), (1, "v", b), (2, "w", a), (3, "x", "short"), (4, None, None), (5, "y", b), (None, "z", a)]
+    got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in collect_rows(
+        warc.warc_query(spark.createDataFrame(rows, "page_id bigint, url string, html string")))}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {
+        (1, 203, "response", None, sha(a)), (1, 503, "response", None, sha(b)), (2, 203, "revisit", 1, sha(a)),
+        (3, 5, "response", None, sha("short")), (4, 0, "response", None, sha("")), (5, 503, "revisit", 1, sha(b)),
+        (None, 203, "revisit", 1, sha(a))}
+
+
+def collect_rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_number_signs_are_no_language(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 40)]
+    odd = [(1000, "½ ² ³", None), (1001, "Ⅷ", None), (1002, "12 _ 34", None), (1003, "the dog", None)]
+    model = langid.fit_language_model(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    got = langid.identify(spark.createDataFrame(odd, "doc_id bigint, text string, lang string"), model)
+    assert [r["lang_pred"] for r in got.orderBy("doc_id").collect()] == ["und", "und", "und", "en"]
+
+
+def test_a_small_language_keeps_its_places(spark):
+    own = random.Random(9)
+    word = lambda letters: "".join(own.choice(letters) for _ in range(5))
+    large, small = [word("abcdefgh") for _ in range(3000)], [word("stuvwxyz") for _ in range(40)]
+    rows = [(i, " ".join(own.choice(large) for _ in range(30)), "big") for i in range(4000)]
+    rows += [(9000 + i, " ".join(own.choice(small) for _ in range(30)), "rare") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit_language_model(docs, train_docs=60, max_words=200, max_grams=400)
+    assert model.langs == ["big", "rare"]
+    got = langid.identify(docs, model).filter("doc_id >= 9000").collect()
+    assert {r["lang_pred"] for r in got} == {"rare"}

@@ -1,6 +1,7 @@
 """The pipeline on the small tables, and the SQL checks."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from demoflux.llm import mixing, secret_scan
@@ -52,9 +53,33 @@ def test_mixing_stage_meets_share_and_margins_without_repeats(spark):
     assert set(kept.doc_id) == set(weights[weights.copies > 0].doc_id)
 
 
+def test_stages_on_odd_rows_and_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    names = ["topic", "n_tokens", "masked", "secret_spans", "base_spans", "score", "predicted", "copies", "mix_weight", "class", "row"]
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (900001, "", "en", None, 0), (900002, "w " * 60_000, None, "s", 120_000),
+         (900003, "same text here for all of us", "en", "s", 28), (900003, "same text here for all of us", "en", "s", 28),
+         (900004, "password = abcdEFGH12345678", "en", "s", 27)], docs.schema)
+    rows = docs.unionAll(odd).withColumns({n: F.concat(F.lit(f"{n}-"), F.coalesce("doc_id", F.lit(-1)).cast("string")) for n in names})
+    columns, kept = rows.columns, {r["doc_id"]: r for r in rows.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = corpus_pipeline.store(stage(spark, rows, folder), name)
+        assert rows.columns == columns
+        found = rows.collect()
+        assert all(r[n] == kept[r["doc_id"]][n] for r in found for n in names)
+        if name == "near_dedup":
+            assert sum(r["doc_id"] == 900003 for r in found) == 1 and {None, 900001, 900002} <= {r["doc_id"] for r in found}
+        if name == "secrets":
+            masked = [r for r in found if r["doc_id"] == 900004][0]
+            assert "abcd" not in masked["text"] and masked["n_chars"] == len(masked["text"])
+    empty = spark.createDataFrame([], spark.read.parquet(f"{folder}/documents.parquet").schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
+
+
 def test_sql_checks(spark, folder):
     connection = duckdb.connect()
-    for name in ("embeddings", "pages"):
+    for name in ("embeddings", "pages", "documents", "benchmark"):
         connection.execute(f"create view {name} as select * from read_parquet('{folder}/{name}.parquet')")
     for name, sql in CHECKS.items():
         got = QUERIES[name](spark, folder)
