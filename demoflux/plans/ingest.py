@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from demoflux.functions.markup import first_list_links
+from demoflux.functions.markup import first_list_links, first_table_rows
 from demoflux.operators.aggregate import weighted_mean
 from demoflux.plans.person import person, with_person
 from demoflux.plans.registry import query, r6
-from demoflux.session import scratch_path
+from demoflux.session import cut_lineage, scratch_path
+from demoflux.sources.archives import csv_lines, read_archive_layer, write_archives
 from demoflux.sources.census import column_label, label_columns
 from demoflux.sources.microdata import (
     Field, format_fixed_width, read_csv, read_dictionary, read_fixed_width, write_csv, write_dictionary,
@@ -89,3 +91,53 @@ def link_counts(spark, folder):
     links = first_list_links(load(spark, folder, "pages"), "html", ["page_id"])
     return links.groupBy(F.lower("text").alias("word")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
+@query("q42_archive_layer", with_person("""
+SELECT YEAR AS year, CPUMA0010 AS area, 'area, of "' || YEAR || '"' AS label, count(*) AS n_rows, sum(PERWT) AS n FROM person GROUP BY ALL
+"""))
+def archive_layer(spark, folder):
+    """One zip archive a year with a layer of areas and one of states, written to the shared folder; the areas' layer read back."""
+    path = scratch_path(spark, "archives")
+    people = person(spark, folder, "YEAR", "CPUMA0010", "STATEFIP", "PERWT")
+
+    def layer(member, key, name):
+        label = F.concat(F.lit(f'{name}, of "'), F.col("YEAR"), F.lit('"'))
+        rows = people.groupBy("YEAR", F.col(key).alias(name)).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("PERWT").alias("n"))
+        return csv_lines(rows.select(
+            F.col("YEAR").cast("string").alias("archive"), F.lit(member).alias("member"), F.col("YEAR").alias("year"), name,
+            label.alias("label"), "n_rows", "n"), "archive", "member")
+
+    write_archives(layer("tables/area.csv", "CPUMA0010", "area").unionAll(layer("tables/state.csv", "STATEFIP", "state")), path)
+    kind = people.schema["CPUMA0010"].dataType.simpleString()
+    schema = T.StructType.fromDDL(f"year int, area {kind}, label string, n_rows bigint, n double")
+    return read_archive_layer(spark, path, "tables/area.csv", schema)
+
+
+@query("q43_page_tables", """
+WITH s AS (SELECT s_nationkey AS nation, s_suppkey // 50 AS block, s_suppkey, s_name, CAST(floor(s_acctbal) AS BIGINT) AS balance,
+    row_number() OVER (PARTITION BY s_nationkey, s_suppkey // 50 ORDER BY s_suppkey) AS nth,
+    count(*) OVER (PARTITION BY s_nationkey, s_suppkey // 50) AS n FROM supplier)
+SELECT nation, block, CAST(nth AS INTEGER) AS "row", n_name AS country, CAST(s_suppkey AS VARCHAR) AS key, s_name || ' & Co' AS supplier,
+  CAST(balance AS VARCHAR) AS balance FROM s JOIN nation ON n_nationkey = nation
+UNION ALL
+SELECT DISTINCT nation, block, CAST(n + 1 AS INTEGER), n_name, 'all ' || n, 'all ' || n, 'all ' || n FROM s JOIN nation ON n_nationkey = nation
+""")
+def page_tables(spark, folder):
+    """Stored pages of suppliers, each with a table that has spans, tables in cells and no end tags; their rows read back."""
+    nation = load(spark, folder, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("country"))
+    line = F.format_string(
+        "<td><table><tr><td>%d</table><td>%s &amp; Co<td align='right'> <b>%d</b> ", F.col("s_suppkey"), F.col("s_name"), F.floor("s_acctbal"))
+    # a page holds the suppliers of fifty keys at most
+    blocks = load(spark, folder, "supplier").groupBy(
+        F.col("s_nationkey").alias("nation"), F.floor(F.col("s_suppkey") / 50).alias("block")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))), lambda r: r["line"]).alias("lines"))
+    body = F.concat(
+        F.lit("<html><script>'<table><tr><td>no'</script><h1>Suppliers</h1><TABLE class=x><tr><th>Country<th>Key<th colspan='2'>Supplier and balance</tr>"),
+        F.lit("<tr><td rowspan=0>"), F.col("country"), F.lit("</td>"), F.array_join("lines", "<tr>"),
+        F.lit("<tr><td colspan=3>all "), F.size("lines").cast("string"), F.lit("</TABLE><table><tr><td>second</table>"))
+    pages = cut_lineage(blocks.join(nation, "nation").select("nation", "block", body.alias("html")))
+    rows = first_table_rows(pages, "html", ["nation", "block"])
+    cell = lambda i: F.col("cells")[i]
+    return rows.select(
+        "nation", "block", "row", cell(0).alias("country"), cell(1).alias("key"), cell(2).alias("supplier"), cell(3).alias("balance"))

@@ -1,17 +1,11 @@
-"""Long census tables: selection, normalising, fan-in, archives and labels."""
+"""Long census tables: selection, normalising, fan-in and labels."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-LINES_PER_BATCH = 20_000
 
 
 def select_estimates(
@@ -54,52 +48,6 @@ def fan_in(tables: Sequence[tuple[DataFrame, Mapping[str, object]]]) -> DataFram
     return result
 
 
-def _records(lines: Iterable[str]) -> Iterator[str]:
-    """Whole records of a CSV text: a line goes on while a quote is open. Empty lines are no records."""
-    parts: list[str] = []
-    quoted = False
-    for line in lines:
-        parts.append(line)
-        quoted ^= line.count('"') % 2 == 1
-        if not quoted:
-            record = "".join(parts).rstrip("\r\n")
-            parts = []
-            if record:
-                yield record
-    if parts:
-        yield "".join(parts).rstrip("\r\n")
-
-
-def read_archive_layer(spark: SparkSession, path: str, layer: str, schema: T.StructType) -> DataFrame:
-    """One CSV member of each zip archive under the path.
-
-    Members are decompressed as a stream, a batch of records at a time, and parsed by Spark. A quoted
-    field may hold line breaks, and a value that does not fit the schema fails the read.
-    Each archive is its own task; the header record is dropped.
-    """
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(layer) as member:
-                    rows = _records(io.TextIOWrapper(member, encoding="utf-8", newline=""))
-                    next(rows, None)
-                    pending = []
-                    for row in rows:
-                        pending.append(row)
-                        if len(pending) == LINES_PER_BATCH:
-                            yield pd.DataFrame({"value": pending})
-                            pending = []
-                    if pending:
-                        yield pd.DataFrame({"value": pending})
-
-    raw = files.mapInPandas(lines, "value string")
-    layout = schema.simpleString()[len("struct<"):-1].replace(":", " ")
-    parsed = raw.select(F.from_csv("value", layout, {"mode": "FAILFAST", "multiLine": "true"}).alias("r"))
-    return parsed.select("r.*")
-
-
 def label_columns(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
     """Attach codebook text to columns."""
     for name, text in labels.items():

@@ -7,9 +7,9 @@ from pyspark.sql import types as T
 
 from conftest import rows_of
 import pytest
-from demoflux.functions.markup import first_list_links, first_table_rows
+from demoflux.functions.markup import first_list_links, first_table_rows, table_grid
 from demoflux.session import cut_lineage, shared_folder
-from demoflux.sources import census, microdata, store
+from demoflux.sources import archives, census, microdata, store
 
 DICTIONARY = """<?xml version="1.0" encoding="UTF-8"?>
 <codeBook><dataDscr>
@@ -46,13 +46,13 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_archive_layer(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(census, "LINES_PER_BATCH", 2)
+    monkeypatch.setattr(archives, "CHUNK", 16)
     for name, start in (("one", 0), ("two", 100)):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
             z.writestr("x/county.csv", "FIPS,NAME,N\r\n" + "".join(f'0{i},"A, {i}",{start + i}\r\n' for i in range(1, 6)))
             z.writestr("x/other.csv", "nothing\n")
     schema = T.StructType().add("FIPS", "string").add("NAME", "string").add("N", T.IntegerType())
-    got = census.read_archive_layer(spark, str(tmp_path / "*.zip"), "x/county.csv", schema)
+    got = archives.read_archive_layer(spark, str(tmp_path / "*.zip"), "x/county.csv", schema)
     assert got.count() == 10
     assert ("03", "A, 3", 103) in rows_of(got)
 
@@ -62,9 +62,9 @@ def test_archive_records_with_line_breaks_and_bad_numbers(spark, tmp_path):
     for name, body in (("good", 'NAME,N\n"x\ny",1\n\nz,2\n'), ("bad", "NAME,N\nx,one\n")):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
             z.writestr("t.csv", body)
-    assert rows_of(census.read_archive_layer(spark, str(tmp_path / "good.zip"), "t.csv", schema)) == [("x\ny", 1), ("z", 2)]
+    assert rows_of(archives.read_archive_layer(spark, str(tmp_path / "good.zip"), "t.csv", schema)) == [("x\ny", 1), ("z", 2)]
     with pytest.raises(Exception, match="MALFORMED"):
-        census.read_archive_layer(spark, str(tmp_path / "bad.zip"), "t.csv", schema).collect()
+        archives.read_archive_layer(spark, str(tmp_path / "bad.zip"), "t.csv", schema).collect()
 
 
 def test_labels(spark):
@@ -126,3 +126,61 @@ def test_wide_values_are_refused(spark):
     for fields in ([Field("SERIAL", 1, 10, 0, False, "")], [Field("NAME", 1, 0, 0, True, "")]):
         with pytest.raises(Exception, match="wider than field"):
             format_fixed_width(rows, fields).collect()
+
+
+def test_archives_of_several_layers(spark, tmp_path):
+    rows = spark.range(3000).select(
+        F.format_string("a%d", F.col("id") % 3).alias("archive"), F.format_string("t/l%d.csv", F.col("id") % 2).alias("member"), "id",
+        F.concat(F.lit('q"x\n\\, '), F.col("id").cast("string")).alias("t"))
+    path = str(tmp_path / "z")
+    archives.write_archives(archives.csv_lines(rows, "archive", "member"), path)
+    files = list((tmp_path / "z").glob("archive=*/part-*"))
+    assert len(files) == 3
+    for file in files:
+        with zipfile.ZipFile(file) as z:
+            assert z.namelist() == ["t/l0.csv", "t/l1.csv"] and z.testzip() is None
+    schema = T.StructType().add("id", "long").add("t", "string")
+    want = sorted((i, f'q"x\n\\, {i}') for i in range(1, 3000, 2))
+    assert sorted(map(tuple, archives.read_archive_layer(spark, path, "t/l1.csv", schema).collect())) == want
+    assert archives.read_archive_layer(spark, path, "t/none.csv", schema).count() == 0
+
+
+def test_members_that_splits_and_false_marks_cut(spark, tmp_path):
+    body = "id,t\n" + "".join(f"{i},{'PK' + chr(3) + chr(4)}{'x' * (i % 50)}\n" for i in range(3000))
+    with zipfile.ZipFile(tmp_path / "a b.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("x.csv", "id,t\n1,a\n")
+        z.writestr("l.csv", body)
+        z.writestr("y.csv", "id,t\n1,a\n")
+    with zipfile.ZipFile(tmp_path / "c.zip", "w", zipfile.ZIP_DEFLATED) as z, z.open("l.csv", "w", force_zip64=True) as m:
+        m.write(b'id,"t\n"\n9005,"a\nb"\n9006,last')
+    schema = T.StructType().add("id", "long").add("t", "string")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "20000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = dict(map(tuple, archives.read_archive_layer(spark, str(tmp_path / "*.zip"), "l.csv", schema).collect()))
+            assert len(got) == 3002 and got[9005] == "a\nb" and got[9006] == "last" and got[7] == "PK\x03\x04" + "x" * 7
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    data = bytearray((tmp_path / "a b.zip").read_bytes())
+    data[data.index(b"x" * 40)] ^= 1
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "d.zip").write_bytes(data)
+    with pytest.raises(Exception, match="damaged"):
+        archives.read_archive_layer(spark, str(tmp_path / "bad"), "l.csv", schema)
+
+
+def test_grids_of_tables():
+    grid = lambda html: table_grid(html)
+    assert grid("<p>no table") == [] and grid("<table></table>") == []
+    assert grid("<table><tr><td>a<td>b<tr><td>c</table>") == [["a", "b"], ["c"]]
+    assert grid("<table><td>a</td><td>b&nbsp;&amp; c<br>d</td>") == [["a", "b & c d"]]
+    assert grid("<TABLE><TR><TD ROWSPAN=2>a<TD COLSPAN='2'>b<TR><TD>c<TD>d<TR><TD>e</TABLE>") == [["a", "b", "b"], ["a", "c", "d"], ["e"]]
+    assert grid("<table><tr><td>x<td rowspan=0>y<tr><td>z<tr><td>w<td>v</table>") == [["x", "y"], ["z", "y"], ["w", "y", "v"]]
+    assert grid("<table><tr><td rowspan=3>a</table>") == [["a"]]
+    nested = "<table><tr><td>a<table><tr><td rowspan=4>in<td>ner</table>z<td>b</tr></table><table><tr><td>second</table>"
+    assert grid(nested) == [["a in ner z", "b"]]
+    assert grid("<script>'<table><tr><td>no'</script><!-- <table> --><table><tbody><tr><th>h<script>x</script></tbody></table>") == [["h"]]
+    assert grid("<table><tr><td colspan=x>a<td colspan=0>b<td rowspan=-1>c</table>") == [["a", "b", "c"]]
+    # a row that a cell of an earlier row pushes apart
+    assert grid("<table><tr><td>1<td rowspan=2>2<tr><td colspan=1>3<td>4</table>") == [["1", "2"], ["3", "2", "4"]]
