@@ -11,48 +11,47 @@ from pyspark.sql import functions as F
 from demoflux.operators.joins import join_nullsafe
 from demoflux.operators.numbering import dense_ranks
 
-HISTOGRAM_BINS = 4096
-COLLECT_DISTINCT = 10_000
+SPLITTERS = 256  # of one level, over all ranks
+SKETCH = 10_000  # accuracy of the sketch that splitters come from
 
 
 def _values_at_ranks(df: DataFrame, column: str, ranks: Sequence[int]) -> dict[int, float]:
     """The values at the given zero-based ranks of the sorted column, exactly.
 
-    Each pass counts rows in a fixed number of equal bins between two known values and
-    moves into the bin that holds the rank. It stops at a single value, or once the
-    bin has few distinct values, whose counts are then fetched. Neither a task nor the driver
-    ever holds more than a bounded number of rows, however the values are spread.
+    All ranks are narrowed down together. Each level takes splitters from a sketch of the values that are still open, and counts the
+    rows at every splitter and between neighbours. A rank at a splitter is found; another one moves into the gap that holds it. A
+    value with many rows is a splitter soon, and each level leaves fewer values open, so it ends however they
+    are spread. Only splitters and counts reach the driver.
     """
     x = F.col(column)
     low, high = df.agg(F.min(x), F.max(x)).first()
     found: dict[int, float] = {}
-    open_ranges = [(low, high, 0, sorted(set(ranks)))]
-    while open_ranges:
-        low, high, below, wanted = open_ranges.pop()
-        if low == high:
-            found.update({r: low for r in wanted})
-            continue
-        inside = df.filter((x >= F.lit(low)) & (x <= F.lit(high)))
-        counts = inside.groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        rows = counts.limit(COLLECT_DISTINCT + 1).collect()
-        if len(rows) <= COLLECT_DISTINCT:
-            seen = below
-            for value, n in sorted((r["v"], r["n"]) for r in rows):
-                found.update({r: value for r in wanted if seen <= r < seen + n})
-                seen += n
-            continue
-        width = high / HISTOGRAM_BINS - low / HISTOGRAM_BINS
-        bin_of = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(HISTOGRAM_BINS - 1))
-        bins = (
-            inside.groupBy(bin_of.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
-            .orderBy("b").collect()
-        )
-        for b in bins:
-            here = [r for r in wanted if below <= r < below + b["n"]]
+    opened = [(low, high, 0, sorted(set(ranks)))]
+    while opened:
+        for low, high, _, wanted in opened:
+            if low == high:
+                found.update({r: low for r in wanted})
+        opened = [o for o in opened if o[0] != o[1]]
+        if not opened:
+            break
+        number = F.lit(None).cast("int")
+        for i, (low, high, _, _) in enumerate(opened):
+            number = F.when((x >= F.lit(low)) & (x <= F.lit(high)), F.lit(i)).otherwise(number)
+        inside = df.select(x, number.alias("_range")).filter(F.col("_range").isNotNull())
+        each = max(1, SPLITTERS // len(opened))
+        sketch = inside.groupBy("_range").agg(F.percentile_approx(x, [(i + 1) / (each + 1) for i in range(each)], SKETCH).alias("at"))
+        splitters = F.array(*[F.lit(v) for v in sorted({v for r in sketch.collect() for v in r["at"]})])
+        place = 2 * F.size(F.filter(splitters, lambda v: v < x)) + F.array_contains(splitters, x).cast("int")
+        counts = inside.groupBy("_range", place.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        closer, seen, last = [], 0, None
+        for r in sorted(counts.collect(), key=lambda r: (r["_range"], r["place"])):
+            if r["_range"] != last:
+                last, seen = r["_range"], opened[r["_range"]][2]
+            here = [k for k in opened[last][3] if seen <= k < seen + r["n"]]
             if here:
-                open_ranges.append((b["low"], b["high"], below, here))
-            below += b["n"]
+                closer.append((r["low"], r["high"], seen, here))
+            seen += r["n"]
+        opened = closer
     return found
 
 

@@ -56,10 +56,10 @@ def band_of_ages(labels: DataFrame, ages: str, bands: DataFrame, band_ages: str)
     """Join each label to the bands that contain all of its ages.
 
     The label is joined on its first age with the ages of each band, so the join has an
-    equality key; containment of the rest is then checked.
+    equality key; containment of the rest is then checked. Ages that no band holds give a label without band.
     """
     by_age = bands.withColumn("_age", F.explode(band_ages))
-    keyed = labels.withColumn("_first", F.element_at(ages, 1))
+    keyed = labels.withColumn("_first", F.array_min(ages))
     inside = F.size(F.array_except(F.col(ages), F.col(band_ages))) == 0
     joined = keyed.join(by_age, (F.col("_first") == F.col("_age")) & inside, "left")
     return joined.drop("_first", "_age")

@@ -7,7 +7,8 @@ table whose size depends on the covariates' levels and not on the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -207,6 +208,94 @@ def fit_logistic(
     return LogisticFit(design, beta, sandwich if weighted else inverse, inverse, deviance, n)
 
 
+def _steps(rows: DataFrame, parts: dict[str, np.ndarray], betas: dict[str, np.ndarray]) -> DataFrame:
+    """Per partition and model: upper triangles of information and score variance, and, as rows i with j = -1, scores; the deviance is at i = -1."""
+    state = [(name, parts[name], betas[name]) for name in betas]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {name: [np.zeros((len(beta), len(beta))), np.zeros((len(beta), len(beta))), np.zeros(len(beta)), 0.0] for name, _, beta in state}
+        for batch in batches:
+            if batch.empty:
+                continue
+            wide = np.vstack(batch["x"].to_numpy())
+            w, wy, ww, wwy = (batch[c].to_numpy() for c in ("_w", "_wy", "_ww", "_wwy"))
+            for name, columns, beta in state:
+                x = wide[:, columns]
+                eta = x @ beta
+                p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
+                into = sums[name]
+                into[0] += (x * (w * p * (1 - p))[:, None]).T @ x
+                into[1] += (x * ((1 - 2 * p) * wwy + p * p * ww)[:, None]).T @ x
+                into[2] += x.T @ (wy - w * p)
+                into[3] -= 2 * float(np.sum(wy * eta - w * (np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta))))))
+        for name, (a, b, score, deviance) in sums.items():
+            upper = np.triu_indices(len(a))
+            k = len(score)
+            yield pd.DataFrame({
+                "model": name, "i": np.concatenate([upper[0], np.arange(k), [-1]]), "j": np.concatenate([upper[1], np.full(k + 1, -1)]),
+                "a": np.concatenate([a[upper], score, [deviance]]), "b": np.concatenate([b[upper], np.zeros(k + 1)])})
+
+    return rows.mapInPandas(partial, "model string, i int, j int, a double, b double")
+
+
+def fit_many(
+    patterns: DataFrame, models: Mapping[str, Sequence[tuple[str, ...]]], levels: dict[str, tuple], weighted: bool = True,
+    tolerance: float = 1e-10, most_steps: int = 50,
+) -> dict[str, LogisticFit]:
+    """Logistic regressions of many formulas on the same patterns, fitted together.
+
+    One table holds the design rows of all formulas' columns. Each Newton step reads it once for all models that still
+    move: every model takes its own columns, and gives sums of a size that its number of columns fixes. A model is done when a step
+    changes its deviance by less than `tolerance` of it; a step that raises the deviance is halved. What the data say nothing
+    about has coefficient 0 and no variance (NaN).
+    """
+    every = DesignMatrix(tuple(terms(*[[t for t in model] for model in models.values()])), levels)
+    place = {frozenset(pairs): i for i, (_, pairs) in enumerate(every._parts())}
+    designs = {name: DesignMatrix(tuple(model), levels) for name, model in models.items()}
+    parts = {name: np.array([place[frozenset(pairs)] for _, pairs in d._parts()]) for name, d in designs.items()}
+    totals = patterns.agg(F.sum("_n").alias("n"), F.sum("_w").alias("w"), F.sum("_wy").alias("wy")).first()
+    if not totals["n"]:
+        raise ValueError("there are no rows to fit a model on")
+    n, mean_weight = int(totals["n"]), float(totals["w"]) / int(totals["n"])
+    scaled = [(F.col(c) / F.lit(s)).alias(c) for c, s in
+              (("_w", mean_weight), ("_wy", mean_weight), ("_ww", mean_weight**2), ("_wwy", mean_weight**2))]
+    rows = cut_lineage(patterns.select(every.row().alias("x"), *scaled))
+    share = min(max(float(totals["wy"]) / float(totals["w"]), 1e-6), 1 - 1e-6)
+    betas = {name: np.concatenate([[np.log(share / (1 - share))], np.zeros(len(p) - 1)]) for name, p in parts.items()}
+    moves = {name: np.zeros(len(p)) for name, p in parts.items()}
+    before = {name: np.inf for name in parts}
+    fits: dict[str, LogisticFit] = {}
+    for step in range(most_steps):
+        found: dict[str, list] = {name: [np.zeros((len(b), len(b))), np.zeros((len(b), len(b))), np.zeros(len(b)), 0.0] for name, b in betas.items()}
+        for r in _steps(rows, parts, betas).groupBy("model", "i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
+            into = found[r["model"]]
+            if r["i"] < 0:
+                into[3] = r["a"]
+            elif r["j"] < 0:
+                into[2][r["i"]] = r["a"]
+            else:
+                into[0][r["i"], r["j"]] = into[0][r["j"], r["i"]] = r["a"]
+                into[1][r["i"], r["j"]] = into[1][r["j"], r["i"]] = r["b"]
+        for name, (a, b, score, deviance) in found.items():
+            if deviance > before[name] * (1 + tolerance) + tolerance and step + 1 < most_steps:
+                moves[name] = moves[name] / 2
+                betas[name] = betas[name] - moves[name]
+                continue
+            if abs(before[name] - deviance) < tolerance * (abs(deviance) + 0.1) or step + 1 == most_steps:
+                inverse, sandwich = _covariances(a, b * (n / (n - 1.0)))
+                fits[name] = LogisticFit(designs[name], betas.pop(name), sandwich if weighted else inverse, inverse, deviance, n)
+                continue
+            before[name] = deviance
+            known = np.flatnonzero(np.diag(a) > 0)
+            scale = 1.0 / np.sqrt(np.diag(a)[known])
+            move = np.zeros(len(score))
+            move[known] = scale * np.linalg.lstsq(a[np.ix_(known, known)] * np.outer(scale, scale), scale * score[known], rcond=1e-12)[0]
+            moves[name], betas[name] = move, betas[name] + move
+        if not betas:
+            break
+    return {name: fits[name] for name in models}
+
+
 def design_bic(fit: LogisticFit, maximal: LogisticFit) -> dict[str, float]:
     """Design-based BIC of a model nested in the maximal one (Lumley and Scott 2015).
 
@@ -235,24 +324,50 @@ def coefficient_table(spark, fit: LogisticFit) -> DataFrame:
     return spark.createDataFrame(rows, "position int, term string, estimate double, std_error double")
 
 
+def normal_draws(seed: int, draws: int, size: int) -> np.ndarray:
+    """draws x size independent standard normal numbers, each fixed by its place: by the polar form, from two MD5 digests.
+
+    A digest's first 13 hex digits are a uniform number, so SQL can make the same ones.
+    """
+    def uniform(kind: str, i: int, j: int) -> float:
+        return (int(hashlib.md5(f"{kind}:{seed}:{i}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+    radius = np.array([[uniform("r", i, j) for j in range(size)] for i in range(draws)])
+    angle = np.array([[uniform("a", i, j) for j in range(size)] for i in range(draws)])
+    return np.sqrt(-2.0 * np.log(radius)) * np.cos(2.0 * np.pi * angle)
+
+
+def _root(covariance: np.ndarray) -> np.ndarray:
+    """Lower triangular root of a covariance; where some combination of coefficients has no variance, a root by eigenvalues."""
+    try:
+        return np.linalg.cholesky(covariance)
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(covariance)
+        return vectors * np.sqrt(np.maximum(values, 0.0))
+
+
 def predict_band(grid: DataFrame, fit: LogisticFit, draws: int = 1000, seed: int = 1) -> DataFrame:
     """Fitted probability and simulated 95% band for every row of a covariate grid.
 
     The draws of the coefficients (draws x k numbers) travel to the tasks; each batch of
-    grid rows is one matrix product.
+    grid rows is one matrix product. A row that needs a coefficient of which the data say nothing has no band (NULL).
     """
-    rng = np.random.default_rng(seed)
     beta = fit.coefficients
-    simulated = rng.multivariate_normal(beta, np.nan_to_num(fit.covariance), size=draws, method="eigh").T
+    known = np.flatnonzero(~np.isnan(np.diag(fit.covariance)))
+    lost = np.setdiff1d(np.arange(len(beta)), known)
+    root = _root(fit.covariance[np.ix_(known, known)])
+    simulated = beta[known][:, None] + root @ normal_draws(seed, draws, len(beta))[:, known].T
 
     @F.pandas_udf("fit double, lwr double, upr double")
     def band(x: pd.Series) -> pd.DataFrame:
         if x.empty:
             return pd.DataFrame({"fit": [], "lwr": [], "upr": []}, dtype=float)
         rows = np.vstack(x.to_numpy())
-        low, high = np.quantile(rows @ simulated, [0.025, 0.975], axis=1)
+        low, high = np.quantile(rows[:, known] @ simulated, [0.025, 0.975], axis=1)
         logistic = lambda v: 1.0 / (1.0 + np.exp(-v))
-        return pd.DataFrame({"fit": logistic(rows @ beta), "lwr": logistic(low), "upr": logistic(high)})
+        told = pd.DataFrame({"fit": logistic(rows[:, known] @ beta[known]), "lwr": logistic(low), "upr": logistic(high)})
+        told.loc[(rows[:, lost] != 0).any(axis=1)] = np.nan
+        return told
 
     return grid.withColumn("_band", band(fit.design.row())).select(*grid.columns, "_band.fit", "_band.lwr", "_band.upr")
 

@@ -1,7 +1,7 @@
 """Survey-weighted proportions with confidence limits.
 
 Everything is a ratio of sums, so hot groups are reduced on the map side and each
-estimate needs one aggregation of the rows.
+estimate needs one aggregation of the rows, whose sums are written once and then read.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from demoflux.functions.semantics import inverse_logit, safe_div
 from demoflux.functions.student import t_975
 from demoflux.operators.joins import join_nullsafe
+from demoflux.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -54,17 +55,18 @@ def survey_proportion(
         raise ValueError("use clustered_proportion for a clustered design")
     w, y = F.col(design.weight), y.cast("double")
     valid = F.when(y.isNotNull(), w)
-    cells = design.df.groupBy(*by).agg(
+    # stored, as the total below would otherwise read all rows a second time
+    cells = cut_lineage(design.df.groupBy(*by).agg(
         F.sum(valid).alias("_w"), F.sum(w * y).alias("_wy"), F.sum(valid * valid).alias("_ww"),
         F.sum(w * w * y).alias("_wwy"), F.count(y).alias("n"), F.count(F.lit(1)).alias("_rows"),
-    )
+    ))
     total = cells.agg(F.sum("_rows")).scalar()
     if overall:
         sums = [c for c in cells.columns if c not in by]
         both = cells.withColumn("_over", F.explode(F.array(F.lit(False), F.lit(True))))
         both = both.withColumns({k: F.when(F.col("_over"), F.lit(v)).otherwise(F.col(k)) for k, v in overall.items()})
         cells = both.groupBy(*by, "_over").agg(*[F.sum(c).alias(c) for c in sums])
-    est =F.col("_wy") / F.col("_w")
+    est = F.col("_wy") / F.col("_w")
     spread = (1 - 2 * F.col("est")) * F.col("_wwy") + F.col("est") * F.col("est") * F.col("_ww")
     result = (
         cells.withColumn("_total", total.cast("double"))
@@ -88,15 +90,16 @@ def clustered_proportion(design: SurveyDesign, y: Column, by: Sequence[str]) ->
         raise ValueError("the design needs psu and strata")
     w, y = F.col(design.weight), y.cast("double")
     valid = F.when(y.isNotNull(), w)
-    units = design.df.groupBy(*by, design.strata, design.psu).agg(
+    every = cut_lineage(design.df.groupBy(*by, design.strata, design.psu).agg(
         F.sum(w * y).alias("_s"), F.sum(valid).alias("_w"), F.count(y).alias("_n")
-    ).filter(F.col("_n") > 0)
+    ))
+    units = every.filter(F.col("_n") > 0)
     strata = units.groupBy(*by, design.strata).agg(
         F.sum("_s").alias("_s"), F.sum("_w").alias("_w"), F.sum("_n").alias("_n"),
         F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.sum(F.col("_s") * F.col("_w")).alias("_sw"),
         F.sum(F.col("_w") * F.col("_w")).alias("_ww"), F.count(F.lit(1)).alias("_units"),
     )
-    sizes = design.df.select(design.strata, design.psu).distinct().groupBy(design.strata).agg(
+    sizes = every.select(design.strata, design.psu).distinct().groupBy(design.strata).agg(
         F.count(F.lit(1)).alias("_m"))
     strata = join_nullsafe(strata, sizes, [design.strata], "left")
     group = Window.partitionBy(*by)

@@ -410,23 +410,42 @@ def race_shares(spark, folder):
     return share_in_group(sums, "n", [], "p").withColumn("p", r6("p"))
 
 
-# Age ranges of the two tables' labels.
+# Age ranges of the two tables' labels, from birth to the open last one.
 SURVEY_AGES = [(0, 4), (5, 9), (10, 14), (15, 17), (18, 19), (20, 20), (21, 21), (22, 24), (25, 29), (30, 34), (35, 39),
-               (40, 44), (45, 49), (50, 54)]
-CENSUS_AGES = [(1, 2), (3, 4), (5, 5), (6, 6), (7, 9), (10, 11), (12, 13), (14, 14), (15, 15), (16, 16), (17, 17),
-               (18, 18), (19, 19), (20, 20), (21, 21), (22, 24), (25, 29), (30, 34), (35, 39), (40, 44), (45, 49), (50, 54)]
+               (40, 44), (45, 49), (50, 54), (55, 59), (60, 61), (62, 64), (65, 66), (67, 69), (70, 74), (75, 79), (80, 84), (85, None)]
+CENSUS_AGES = [(0, 0), (1, 2), (3, 4), (5, 5), (6, 6), (7, 9), (10, 11), (12, 13), (14, 14), (15, 15), (16, 16), (17, 17),
+               (18, 18), (19, 19), (20, 20), (21, 21), (22, 24), (25, 29), (30, 34), (35, 39), (40, 44), (45, 49), (50, 54),
+               (55, 59), (60, 61), (62, 64), (65, 69), (70, 74), (75, 79), (80, 84), (85, None)]
+
+
+def _label_text(low, high):
+    if high is None:
+        return f"{low} years and over"
+    if low == 0:
+        return "Under 1 year" if high == 0 else f"Under {high + 1} years"
+    if low == high:
+        return f"{low} years"
+    return f"{low} and {high} years" if high == low + 1 else f"{low} to {high} years"
 
 
 def _age_label(ranges):
     chain = None
     for low, high in ranges:
-        text = "Under 5 years" if (low, high) == (0, 4) else f"{low} years" if low == high else (
-            f"{low} and {high} years" if high == low + 1 else f"{low} to {high} years")
-        hit = F.col("AGE").between(low, high)
+        hit = F.col("AGE") >= low if high is None else F.col("AGE").between(low, high)
+        text = _label_text(low, high)
         chain = F.when(hit, text) if chain is None else chain.when(hit, text)
     return chain
 
 
+def _ranges_sql(ranges):
+    """SQL: the labels with the ages that each is read as: the number of a single 'under' means 0 to 4, 65 to 69 is one band."""
+    rows = []
+    for low, high in ranges:
+        read = (0, 4) if low == 0 else (65, 69) if low in (65, 67) else (low, low if high is None else high)
+        rows.append(f"({low}, {999 if high is None else high}, '{_label_text(low, high)}', {read[0]}, {read[1]})")
+    return "VALUES " + ", ".join(rows)
+
+
 def age_estimates(spark, folder) -> DataFrame:
     """Long age table: the earlier year under the census labels, the later under the survey labels."""
     rows = person(spark, folder, "STATEFIP", "STRATA", "YEAR", "AGE", "PERWT", years=YEARS)
@@ -453,7 +472,8 @@ def harmonised_labels(table: DataFrame) -> DataFrame:
 @query("q32_mean_age_from_labels", with_person("""
 SELECT geoid, year, round(sum(mid * PERWT) / sum(PERWT), 6) AS mean_age
 FROM (SELECT printf('%02d', STATEFIP) || '-' || STRATA AS geoid, YEAR AS year, PERWT,
-        CASE WHEN AGE < 15 OR AGE >= 25 THEN (AGE // 5) * 5 + 2.5 WHEN AGE <= 17 THEN 16.5 WHEN AGE <= 19 THEN 19.0
+        CASE WHEN AGE >= 85 THEN 85.5 WHEN AGE IN (60, 61) THEN 61.0 WHEN AGE BETWEEN 62 AND 64 THEN 63.5
+          WHEN AGE < 15 OR AGE >= 25 THEN (AGE // 5) * 5 + 2.5 WHEN AGE <= 17 THEN 16.5 WHEN AGE <= 19 THEN 19.0
           WHEN AGE <= 21 THEN AGE + 0.5 ELSE 23.5 END AS mid
       FROM person WHERE YEAR IN (1996, 2000)) GROUP BY ALL
 """))
@@ -478,7 +498,8 @@ diffs AS (
   SELECT geoid, sum(mid * PERWT) FILTER (year = 2000) / sum(PERWT) FILTER (year = 2000)
     - sum(mid * PERWT) FILTER (year = 1996) / sum(PERWT) FILTER (year = 1996) AS diff
   FROM (SELECT printf('%02d', STATEFIP) || '-' || STRATA AS geoid, YEAR AS year, PERWT,
-          CASE WHEN AGE < 15 OR AGE >= 25 THEN (AGE // 5) * 5 + 2.5 WHEN AGE <= 17 THEN 16.5 WHEN AGE <= 19 THEN 19.0
+          CASE WHEN AGE >= 85 THEN 85.5 WHEN AGE IN (60, 61) THEN 61.0 WHEN AGE BETWEEN 62 AND 64 THEN 63.5
+          WHEN AGE < 15 OR AGE >= 25 THEN (AGE // 5) * 5 + 2.5 WHEN AGE <= 17 THEN 16.5 WHEN AGE <= 19 THEN 19.0
             WHEN AGE <= 21 THEN AGE + 0.5 ELSE 23.5 END AS mid
         FROM person WHERE YEAR IN (1996, 2000)) GROUP BY ALL)
 """))
@@ -491,20 +512,16 @@ def mean_age_change_from_labels(spark, folder):
     return classed.select("geoid", r6("diff").alias("mean_age_diff"), "class")
 
 
-@query("q32b_age_dictionary", """
-WITH labels AS (SELECT DISTINCT year, AGE FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, p_size AS AGE
+@query("q32b_age_dictionary", f"""
+WITH seen AS (SELECT DISTINCT year, AGE FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, p_size AS AGE
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) WHERE year IN (1996, 2000)),
-survey(low, high, band) AS (VALUES (0, 4, 1), (5, 9, 2), (10, 14, 3), (15, 17, 4), (18, 19, 5), (20, 20, 6), (21, 21, 7),
-  (22, 24, 8), (25, 29, 9), (30, 34, 10), (35, 39, 11), (40, 44, 12), (45, 49, 13), (50, 54, 14)),
-census(low, high) AS (VALUES (1, 2), (3, 4), (5, 5), (6, 6), (7, 9), (10, 11), (12, 13), (14, 14), (15, 15), (16, 16),
-  (17, 17), (18, 18), (19, 19), (20, 20), (21, 21), (22, 24), (25, 29), (30, 34), (35, 39), (40, 44), (45, 49), (50, 54)),
-ranges AS (
-  SELECT DISTINCT year, low, high FROM labels JOIN survey ON year = 2000 AND AGE BETWEEN low AND high
-  UNION ALL SELECT DISTINCT year, low, high FROM labels JOIN census ON year = 1996 AND AGE BETWEEN low AND high)
-SELECT r.year, CASE WHEN r.low = 0 THEN 'Under 5 years' WHEN r.low = r.high THEN r.low || ' years'
-    WHEN r.high = r.low + 1 THEN r.low || ' and ' || r.high || ' years' ELSE r.low || ' to ' || r.high || ' years' END AS label,
-  r.high - r.low + 1 AS n_ages, s.band, (s.low + s.high + 1) / 2.0 AS age_mean
-FROM ranges r JOIN survey s ON r.low >= s.low AND r.high <= s.high
+survey(low, high, label, a, z) AS ({_ranges_sql(SURVEY_AGES)}), census(low, high, label, a, z) AS ({_ranges_sql(CENSUS_AGES)}),
+labels AS (
+  SELECT DISTINCT year, label, a, z FROM seen JOIN survey ON year = 2000 AND AGE BETWEEN low AND high
+  UNION ALL SELECT DISTINCT year, label, a, z FROM seen JOIN census ON year = 1996 AND AGE BETWEEN low AND high),
+bands AS (SELECT a, z, row_number() OVER (ORDER BY a) AS band FROM (SELECT DISTINCT a, z FROM labels WHERE year = 2000))
+SELECT year, label, CAST(r.z - r.a + 1 AS INTEGER) AS n_ages, CAST(band AS BIGINT) AS band, (s.a + s.z + 1) / 2.0 AS age_mean
+FROM labels r LEFT JOIN bands s ON r.a >= s.a AND r.z <= s.z
 """)
 def age_dictionary(spark, folder):
     table = age_estimates(spark, folder)
@@ -514,19 +531,23 @@ def age_dictionary(spark, folder):
 
 @query("q32c_numbers_in_text", """
 SELECT doc_id, CAST(len(d) AS INTEGER) AS n_numbers, list_max([len(x) for x in d]) AS longest,
-  CAST(coalesce(list_sum([TRY_CAST(x AS DECIMAL(38, 0)) for x in d]), 0) AS VARCHAR) AS number_sum
+  CASE WHEN list_max([len(x) for x in d]) <= 36 THEN CAST(list_sum([TRY_CAST(x AS DECIMAL(38, 0)) for x in d]) AS VARCHAR) END AS number_sum
 FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS d FROM documents) WHERE len(d) > 0
 """)
 def numbers_in_text(spark, folder):
-    """Digit runs of every whole text: how many, how long, and the sum of the numbers of up to 38 digits."""
+    """Digit runs of every whole text: how many, how long, and the sum of the numbers.
+
+    The sum is exact, or NULL where a run has more than 36 digits, as no number type holds the sum of such.
+    """
     runs = F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1))
     found = load(spark, folder, "documents").select("doc_id", runs.alias("runs")).filter(F.size("runs") > 0)
+    longest = F.array_max(F.transform("runs", lambda d: F.length(d).cast("bigint")))
     whole = F.lit(0).cast("decimal(38,0)")
-    numbers = F.transform("runs", lambda d: F.coalesce(d.try_cast("decimal(38,0)"), whole))
+    total = F.aggregate(
+        F.transform("runs", lambda d: d.try_cast("decimal(38,0)")), whole, lambda acc, v: (acc + v).cast("decimal(38,0)"))
     return found.select(
-        "doc_id", F.size("runs").alias("n_numbers"),
-        F.array_max(F.transform("runs", lambda d: F.length(d).cast("bigint"))).alias("longest"),
-        F.aggregate(numbers, whole, lambda acc, v: (acc + v).cast("decimal(38,0)")).cast("string").alias("number_sum"))
+        "doc_id", F.size("runs").alias("n_numbers"), longest.alias("longest"),
+        F.when(longest <= 36, total).cast("string").alias("number_sum"))
 
 
 @query("q38_labelled_interval_bands", with_person("""

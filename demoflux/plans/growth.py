@@ -148,8 +148,8 @@ WHERE est = top GROUP BY ALL
 """))
 def peak_year(spark, folder):
     """How many areas of each state peak in the latest full year; tied years all count."""
-    rows = person(spark, folder, "CPUMA0010", "YEAR", "AREASTATE", "BPL", "PERWT").filter(
-        recode.born_in_mexico() & (F.col("YEAR") >= 1996))
+    rows = person(spark, folder, "CPUMA0010", "YEAR", "AREASTATE", "BPL", "PERWT", years=slice(1996, None)).filter(
+        recode.born_in_mexico())
     cells = rows.groupBy("CPUMA0010", "YEAR", F.col("AREASTATE").alias("state")).agg(F.sum("PERWT").alias("est"))
     # The years of one area travel as one short array, so the area is its own group.
     years = cells.groupBy("CPUMA0010").agg(F.collect_list(F.struct("YEAR", "state", "est")).alias("years"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demoflux.functions import recode
 from demoflux.functions.semantics import age_band, paste
 from demoflux.functions.student import Z_975, t_table
 from demoflux.operators.models import (
-    coefficient_table, covariate_patterns, crossed, design_bic, factor_levels, fit_logistic, fitted_probability, predict_band, terms,
+    coefficient_table, covariate_patterns, crossed, design_bic, factor_levels, fit_logistic, fit_many, fitted_probability, predict_band,
+    terms,
 )
 from demoflux.operators.survey import SurveyDesign, clustered_proportion, survey_proportion
 from demoflux.plans.person import person, with_person
@@ -247,24 +251,153 @@ def saturated_model_coefficients(spark, folder):
         "term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
 
 
-def unweighted_model(spark, folder):
-    """Moving by sex, age group, schooling, marriage x children and year x ethnicity, without weights."""
+@query("q27g_coefficients_of_all_models")
+def coefficients_of_all_models(spark, folder):
+    """All ten formulas from one pattern table, with their design-based errors."""
+    patterns = _migration_patterns(spark, folder)
+    fits = fit_many(patterns, MIGRATION_MODELS, factor_levels(patterns, FACTORS))
+    tables = [coefficient_table(spark, fit).select(F.lit(name).alias("model"), "*") for name, fit in fits.items()]
+    return reduce(DataFrame.unionAll, tables)
+
+
+# The kept persons of the migration models, as cells of year and sex.
+YEAR_SEX_SQL = """
+kept AS (
+  SELECT YEAR AS y, CASE WHEN SEX = 1 THEN 'Male' ELSE 'Female' END AS s, origin_c AS o, PERWT AS w,
+    CASE WHEN MIGRATE1D >= 24 THEN 1.0::DOUBLE ELSE 0.0 END AS m
+  FROM person WHERE origin_c IN ('Native Hispanic', 'Native White', 'Mexico') AND MIGRATE1D NOT IN (0, 20, 40)
+    AND cluster_now IS NOT NULL)
+"""
+
+
+def _alternating_steps(rounds: int) -> str:
+    """SQL: the additive model of year and sex, by Newton steps for the years and for the sex in turn."""
+    parts = ["at_0 AS (SELECT y, s, sum(w) AS w, sum(w * m) AS wm, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM kept GROUP BY ALL)"]
+    p = "(1 / (1 + exp(-(a + b))))"
+    for i in range(rounds):
+        effect, other, by, where = (("a", "b", "y", ""), ("b", "a", "s", " AND s = 'Male'"))[i % 2]
+        parts.append(f"""at_{i + 1} AS MATERIALIZED (
+  SELECT y, s, w, wm, {other}, {effect} + CASE WHEN true{where} THEN
+    sum(wm - w * {p}) OVER (PARTITION BY {by}) / sum(w * {p} * (1 - {p})) OVER (PARTITION BY {by}) ELSE 0 END AS {effect} FROM at_{i})""")
+    return ",\n".join([*parts, f"additive AS (SELECT y, s, a, b FROM at_{rounds})"])
+
+
+@query("q27h_models_of_year_and_sex", with_person("""
+SELECT 'lm1' AS model, CASE WHEN y = first THEN '(Intercept)' ELSE 'YEAR' || y END AS term,
+  round(l - CASE WHEN y = first THEN 0 ELSE first_value(l) OVER (ORDER BY y) END, 4) AS estimate
+FROM (SELECT y, (SELECT min(y) FROM kept) AS first, ln(sum(w * m) / sum(w * (1 - m))) AS l FROM kept GROUP BY y)
+UNION ALL
+SELECT 'lm2', CASE WHEN y = first THEN '(Intercept)' ELSE 'YEAR' || y END, round(a - CASE WHEN y = first THEN 0 ELSE first_value(a) OVER (ORDER BY y) END, 4)
+FROM (SELECT y, (SELECT min(y) FROM kept) AS first, a FROM additive WHERE s = 'Female')
+UNION ALL
+SELECT 'lm2', 'SEXMale', round(max(b), 4) FROM additive WHERE s = 'Male'
+""", YEAR_SEX_SQL, _alternating_steps(60)))
+def models_of_year_and_sex(spark, folder):
+    """The two smallest of the formulas, fitted together with all others; these two can be followed in SQL."""
+    patterns = _migration_patterns(spark, folder)
+    fits = fit_many(patterns, MIGRATION_MODELS, factor_levels(patterns, FACTORS))
+    tables = [coefficient_table(spark, fits[name]).select(F.lit(name).alias("model"), "term", F.round("estimate", 4).alias("estimate"))
+              for name in ("lm1", "lm2")]
+    return reduce(DataFrame.unionAll, tables)
+
+
+@query("q27i_bic_of_saturated_pair", with_person("""
+SELECT model, parameters, round(wald + parameters * ln(n) + log_det + deviance, 3) AS bic FROM (
+  SELECT 'SEX * BPLCR' AS model, 6 AS parameters, 0.0::DOUBLE AS wald, 0.0::DOUBLE AS log_det
+  UNION ALL
+  SELECT 'SEX + BPLCR', 4, (h.b * h.b * w.v - 2 * h.b * w.b * base.v + w.b * w.b * h.v) / (h.v * w.v - base.v * base.v),
+    ln((h.v * w.v - base.v * base.v) / (h.u * w.u - base.u * base.u))
+  FROM interactions h, interactions w, (SELECT sum(v) AS v, sum(u) AS u FROM logits WHERE o = 'Mexico') base
+  WHERE h.o = 'Native Hispanic' AND w.o = 'Native White'),
+(SELECT max(n) AS n, -2 * sum(w / mean_w * (p * ln(p) + (1 - p) * ln(1 - p))) AS deviance FROM logits)
+""", YEAR_SEX_SQL, """
+rates AS (SELECT s, o, sum(w * m) / sum(w) AS p FROM kept GROUP BY ALL),
+logits AS (
+  SELECT s, o, p, ln(p / (1 - p)) AS l, sum(w) AS w, (SELECT avg(w) FROM kept) AS mean_w, (SELECT count(*) FROM kept) AS n,
+    (SELECT count(*) / (count(*) - 1.0) FROM kept) * sum(w * w * (m - p) * (m - p)) / pow(sum(w * p * (1 - p)), 2) AS v,
+    (SELECT avg(w) FROM kept) / sum(w * p * (1 - p)) AS u
+  FROM kept JOIN rates USING (s, o) GROUP BY s, o, p),
+interactions AS (
+  SELECT o, sum(CASE WHEN s = 'Male' THEN l ELSE -l END) - (SELECT sum(CASE WHEN s = 'Male' THEN l ELSE -l END) FROM logits WHERE o = 'Mexico') AS b,
+    sum(v) + (SELECT sum(v) FROM logits WHERE o = 'Mexico') AS v, sum(u) + (SELECT sum(u) FROM logits WHERE o = 'Mexico') AS u
+  FROM logits WHERE o <> 'Mexico' GROUP BY o)
+"""))
+def bic_of_saturated_pair(spark, folder):
+    """Design-based BIC of sex and origin without and with their interaction; the larger model is saturated, so all of it has a closed form."""
+    patterns = _migration_patterns(spark, folder)
+    factors = ["SEX", "BPLCR"]
+    models = {"SEX * BPLCR": terms(crossed(*factors)), "SEX + BPLCR": terms(*factors)}
+    fits = fit_many(patterns, models, factor_levels(patterns, factors))
+    scores = [(name, design_bic(fit, fits["SEX * BPLCR"])) for name, fit in fits.items()]
+    return spark.createDataFrame(
+        [(name, int(s["p"]), round(s["bic"], 3)) for name, s in scores], "model string, parameters int, bic double")
+
+
+@query("q27j_band_of_years", with_person("""
+SELECT y AS "YEAR", round(1 / (1 + exp(-max(l))), 6) AS fit,
+  round(1 / (1 + exp(-quantile_cont(l + sqrt(v) * z, 0.025))), 6) AS lwr, round(1 / (1 + exp(-quantile_cont(l + sqrt(v) * z, 0.975))), 6) AS upr
+FROM logits JOIN draws ON k = j GROUP BY y
+""", YEAR_SEX_SQL, """
+rates AS (SELECT y, sum(w * m) / sum(w) AS p, dense_rank() OVER (ORDER BY y) - 1 AS k FROM kept GROUP BY y),
+logits AS (
+  SELECT y, k, ln(p / (1 - p)) AS l,
+    (SELECT count(*) / (count(*) - 1.0) FROM kept) * sum(w * w * (m - p) * (m - p)) / pow(sum(w * p * (1 - p)), 2) AS v
+  FROM kept JOIN rates USING (y) GROUP BY y, k, p),
+draws AS (
+  SELECT j, sqrt(-2 * ln((('0x' || md5('r:7:' || i || ':' || j)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496))
+    * cos(2 * pi() * ((('0x' || md5('a:7:' || i || ':' || j)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496)) AS z
+  FROM range(1000) a(i), range(20) b(j))
+"""))
+def band_of_years(spark, folder):
+    """Predicted probability of moving in each year with its simulated band.
+
+    The model has one coefficient a year, so its coefficients' root turns every year's draws into that year's own.
+    """
+    patterns = _migration_patterns(spark, folder)
+    fit = fit_many(patterns, {"lm1": MIGRATION_MODELS["lm1"]}, factor_levels(patterns, ["YEAR"]))["lm1"]
+    band = predict_band(patterns.select("YEAR").distinct(), fit, draws=1000, seed=7)
+    return band.select("YEAR", *[r6(c).alias(c) for c in ("fit", "lwr", "upr")])
+
+
+UNWEIGHTED_FACTORS = ["SEX", "AGEG", "EDU", "MARRIED", "CHILD", "YEAR", "ETHCIT1"]
+
+
+def _unweighted_model(spark, folder, response, *columns, kept):
+    """A 0/1 response by sex, age group, schooling, marriage x children and year x ethnicity, without weights."""
     rows = person(
-        spark, folder, "SEX", "AGE", "EDUC", "MARST", "NCHILD", "YEAR", "BPL", "HISPAN", "RACE", "CITIZEN", "MIGCOUNTY1")
+        spark, folder, "SEX", "AGE", "EDUC", "MARST", "NCHILD", "YEAR", "BPL", "HISPAN", "RACE", "CITIZEN", *columns)
     flag = lambda c: F.when(c, "yes").otherwise("no")
-    prepared = rows.filter(F.col("AGE").between(18, 65)).select(
+    prepared = rows.filter(kept).select(
         "SEX", recode.working_age_group().alias("AGEG"), recode.education().alias("EDU"),
         flag(recode.married()).alias("MARRIED"), flag(recode.has_child()).alias("CHILD"), "YEAR",
-        recode.ethnicity_citizenship().alias("ETHCIT1"), recode.moved_county().cast("int").alias("moved"))
-    factors = ["SEX", "AGEG", "EDU", "MARRIED", "CHILD", "YEAR", "ETHCIT1"]
-    patterns = covariate_patterns(prepared, factors, "moved", None)
+        recode.ethnicity_citizenship().alias("ETHCIT1"), response.cast("int").alias("y"))
+    patterns = covariate_patterns(prepared, UNWEIGHTED_FACTORS, "y", None)
     model = terms("SEX", "AGEG", "EDU", crossed("MARRIED", "CHILD"), crossed("YEAR", "ETHCIT1"))
-    levels = factor_levels(patterns, factors)
+    levels = factor_levels(patterns, UNWEIGHTED_FACTORS)
     # the first level is the baseline, so these factors keep the order of their label lists
     levels |= {f: tuple(v for v in order if v in levels[f]) for f, order in (
         ("ETHCIT1", recode.ETHNICITY_CITIZENSHIP), ("EDU", recode.EDUCATION_LEVELS))}
-    fit = fit_logistic(patterns, model, levels, weighted=False)
-    return patterns, fit
+    return patterns, fit_many(patterns, {"all": model}, levels, weighted=False)["all"]
+
+
+def unweighted_model(spark, folder):
+    """Moving to another county, of everyone of working age."""
+    return _unweighted_model(spark, folder, recode.moved_county(), "MIGCOUNTY1", kept=F.col("AGE").between(18, 65))
+
+
+def leaving_model(spark, folder):
+    """Leaving the state, of people of working age who could have left it."""
+    born = F.col("BPL").isin(200, 210, 300) | (F.col("BPL") <= 99)
+    return _unweighted_model(
+        spark, folder, recode.left_state(4), "MIGPLAC1", "STATEFIP",
+        kept=born & F.col("AGE").between(18, 65) & recode.at_risk_of_leaving(4))
+
+
+def _fitted_by_ethnicity(patterns, fit):
+    predicted = patterns.withColumn("p", fitted_probability(fit))
+    return predicted.groupBy(F.col("ETHCIT1").alias("ethnicity"), F.col("YEAR").alias("year")).agg(
+        F.sum("_n").alias("n"), F.sum("_wy").alias("observed"),
+        F.round(F.sum(F.col("_w") * F.col("p")), 2).alias("fitted"))
 
 
 @query("q40_unweighted_logistic")
@@ -283,11 +416,28 @@ WHERE eth IS NOT NULL GROUP BY ALL
 """))
 def fitted_by_ethnicity(spark, folder):
     """Movers per ethnicity and year, counted and as the model with that interaction predicts them."""
-    patterns, fit = unweighted_model(spark, folder)
-    predicted = patterns.withColumn("p", fitted_probability(fit))
-    return predicted.groupBy(F.col("ETHCIT1").alias("ethnicity"), F.col("YEAR").alias("year")).agg(
-        F.sum("_n").alias("n"), F.sum("_wy").alias("observed"),
-        F.round(F.sum(F.col("_w") * F.col("p")), 2).alias("fitted"))
+    return _fitted_by_ethnicity(*unweighted_model(spark, folder))
+
+
+@query("q40d_leaving_state_model")
+def leaving_state_model(spark, folder):
+    """All terms of the leaving model."""
+    return coefficient_table(spark, leaving_model(spark, folder)[1])
+
+
+@query("q40e_fitted_leavers_by_ethnicity", with_person("""
+SELECT eth AS ethnicity, YEAR AS year, count(*) AS n, CAST(count(*) FILTER (MIGPLAC1 = 4 AND STATEFIP <> 4) AS DOUBLE) AS observed,
+  CAST(count(*) FILTER (MIGPLAC1 = 4 AND STATEFIP <> 4) AS DOUBLE) AS fitted
+FROM (SELECT *, CASE WHEN BPL < 100 AND HISPAN = 1 THEN 'Native Latino' WHEN BPL < 100 AND RACE = 1 THEN 'Native White'
+          WHEN BPL >= 150 AND CITIZEN < 3 AND HISPAN = 1 THEN 'FB Latino Citizen'
+          WHEN BPL >= 150 AND CITIZEN >= 3 AND HISPAN = 1 THEN 'FB Latino Non-Citizen' END AS eth
+      FROM person WHERE (BPL IN (200, 210, 300) OR BPL <= 99) AND AGE BETWEEN 18 AND 65
+        AND ((MIGPLAC1 = 4 AND STATEFIP <> 4) OR (MIGPLAC1 IN (0, 4) AND STATEFIP = 4)))
+WHERE eth IS NOT NULL GROUP BY ALL
+"""))
+def fitted_leavers_by_ethnicity(spark, folder):
+    """Leavers per ethnicity and year, counted and as the model with that interaction predicts them."""
+    return _fitted_by_ethnicity(*leaving_model(spark, folder))
 
 
 @query("q40c_leaving_state_logistic", with_person("""

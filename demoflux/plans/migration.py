@@ -33,7 +33,7 @@ def area_crosswalk(spark, folder) -> DataFrame:
         F.explode(areas).alias("MIGPUMA"))
 
 
-def area_moves(spark, folder) -> DataFrame:
+def area_moves(spark, folder, years=None) -> DataFrame:
     """Weight per area now, area one year ago, year, origin and whether moved.
 
     Persons are summed on the crosswalk's key before it is joined, and the result is summed
@@ -41,7 +41,8 @@ def area_moves(spark, folder) -> DataFrame:
     join works on area pairs instead of persons.
     """
     rows = eligible(person(
-        spark, folder, "YEAR", "STATEFIP", "PUMA", "MIGRATE1D", "MIGPLAC1", "MIGPUMA1", "BPL", "HISPAN", "RACE", "PERWT"))
+        spark, folder, "YEAR", "STATEFIP", "PUMA", "MIGRATE1D", "MIGPLAC1", "MIGPUMA1", "BPL", "HISPAN", "RACE", "PERWT",
+        years=years))
     grouped = rows.withColumns({"BPLCR": recode.origin_collapsed(), "hasMigrated": recode.moved_area()}).filter(
         F.col("BPLCR").isin(recode.ANALYSIS_GROUPS))
     keys = ["YEAR", "BPLCR", "hasMigrated", "STATEFIP", "MIGPLAC1", "MIGPUMA1"]
@@ -141,8 +142,8 @@ GROUP BY ALL ORDER BY n DESC, migpuma, migpuma1, origin LIMIT 30
 """, ELIGIBLE_SQL, MOVES_SQL))
 def top_area_flows(spark, folder):
     """The 30 largest flows between different areas in one year."""
-    named = area_moves(spark, folder).withColumnsRenamed({"MIGPUMA": "migpuma", "MIGPUMA1": "migpuma1", "BPLCR": "origin"})
-    moved = named.filter((F.col("migpuma") != F.col("migpuma1")) & (F.col("YEAR") == 2000))
+    named = area_moves(spark, folder, [2000]).withColumnsRenamed({"MIGPUMA": "migpuma", "MIGPUMA1": "migpuma1", "BPLCR": "origin"})
+    moved = named.filter(F.col("migpuma") != F.col("migpuma1"))
     flows = flow_matrix(moved, "migpuma", "migpuma1", ["origin"], name="n")
     return flows.select("migpuma", "migpuma1", "origin", "n").orderBy(
         F.desc_nulls_last("n"), "migpuma", "migpuma1", "origin").limit(30)

@@ -105,9 +105,11 @@ ROLES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
 }
 
 
-def _in_years(years: Sequence[int]) -> Column:
+def _in_years(years: Sequence[int] | slice) -> Column:
     """Date ranges of whole years, in a form that reaches the parquet scan."""
     start = lambda year: F.lit(f"{year}-01-01").cast("timestamp_ntz")
+    if isinstance(years, slice):
+        return F.col("o_orderdate") >= start(years.start)
     inside = None
     for year in years:
         within = (F.col("o_orderdate") >= start(year)) & (F.col("o_orderdate") < start(year + 1))
@@ -132,12 +134,14 @@ def store_person(spark: SparkSession, folder: str, path: str, refresh: bool = Fa
     return stored_view
 
 
-def person(spark: SparkSession, folder: str, *columns: str, years: Sequence[int] | None = None) -> DataFrame:
-    """The asked-for survey columns of every person row, or of the rows of some years."""
+def person(spark: SparkSession, folder: str, *columns: str, years: Sequence[int] | slice | None = None) -> DataFrame:
+    """The asked-for survey columns of every person row, or of the rows of some years; slice(1996, None) is all years from 1996 on."""
     stored_view = spark.conf.get(STORED_VIEW, None)
     if stored_view and spark.conf.get(STORED_FOLDER, None) == folder.rstrip("/"):
         rows = spark.read.parquet(stored_view)
-        return (rows if years is None else rows.filter(F.col("YEAR").isin(list(years)))).select(*columns)
+        if years is not None:
+            rows = rows.filter(F.col("YEAR") >= years.start if isinstance(years, slice) else F.col("YEAR").isin(list(years)))
+        return rows.select(*columns)
     split_hot_keys(spark)
     needs = {table for c in columns for table in ROLES[c][0]}
 

@@ -444,9 +444,9 @@ def _age_gaps(spark, folder, measure="EDUC"):
 
     An article has one size, so all people of an area are of one age; schooling stands in for it.
     """
-    rows = person(spark, folder, "YEAR", "CPUMA0010", "AREASTATE", "YRIMMIG", "HISPAN", "RACE", measure).withColumns(
+    rows = person(spark, folder, "YEAR", "CPUMA0010", "AREASTATE", "YRIMMIG", "HISPAN", "RACE", measure, years=slice(1996, None)).withColumns(
         {"fb": recode.foreign_born(), "race": recode.race()})
-    kept = rows.filter((F.col("YEAR") > 1995) & ~(F.col("fb") & (F.col("race") != "Hispanic")))
+    kept = rows.filter(~(F.col("fb") & (F.col("race") != "Hispanic")))
     by = [F.col("YEAR").alias("year"), F.col("CPUMA0010").alias("area"), F.col("AREASTATE").alias("state")]
     gaps = kept.groupBy(*by).agg(
         F.avg(F.when(F.col("fb"), F.col(measure))).alias("migrant"),

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from demoflux.operators import survey
 from demoflux.plans.catalogue import CHECKS, QUERIES
+from demoflux.session import cut_lineage
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -85,11 +87,22 @@ def test_grid_has_the_origins_that_occur(spark, folder, tmp_path):
     assert growth.count() == growth.select("area").distinct().count() * len(origins)
 
 
-def test_trend_reads_the_lines_once(spark, folder):
-    df = QUERIES["q8d_migration_trend"](spark, folder)
+@pytest.mark.parametrize("name", ["q8_fertility_rate", "q8a_migration_rate_with_limits", "q8d_migration_trend", "q8b_clustered_migration_rate"])
+def test_survey_queries_read_the_lines_once(spark, folder, name, monkeypatch):
+    written = []
+    monkeypatch.setattr(survey, "cut_lineage", lambda df: written.append(df) or cut_lineage(df))
+    df = QUERIES[name](spark, folder)
     df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "SinglePartition" not in final.split("Subquery")[0] and "Union" not in final
+    scans = lambda d: d._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).split("Initial Plan")[0].count("lineitem.parquet")
+    # what is stored has the only scan of the lines; the rest of the query, subqueries included, has none
+    assert [scans(d) for d in written] == [1] and scans(df) == 0
+
+
+def test_later_years_reach_the_scan_of_orders(spark, folder):
+    for name in ("q18_peak_year", "q41_age_gap_between_groups", "q11b_top_area_flows"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(o_orderdate," in plan, name
 
 
 def test_scans_read_only_needed_columns(spark, folder):

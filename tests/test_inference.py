@@ -173,6 +173,45 @@ def test_prediction_band(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+def test_many_models_fit_together_as_each_alone(spark):
+    df, x, g, stratum, age, w, y = model_data(spark)
+    patterns = m.covariate_patterns(df, ["g", "s", "AGE"], "y", "PERWT")
+    levels = m.factor_levels(patterns, ["g", "s"])
+    models = {"none": [], "g": m.terms("g"), "age": m.terms("AGE", "s"), "full": m.terms("g", "s", "AGE"), "cross": m.terms(m.crossed("g", "AGE"))}
+    fits = m.fit_many(patterns, models, levels)
+    assert list(fits) == list(models)
+    for name, model in models.items():
+        if name == "none":
+            p = np.average(y, weights=w)
+            assert fits[name].coefficients == pytest.approx([np.log(p / (1 - p))])
+            continue
+        alone = m.fit_logistic(patterns, model, levels)
+        assert fits[name].design.names() == alone.design.names()
+        assert fits[name].coefficients == pytest.approx(alone.coefficients, abs=1e-5)
+        assert fits[name].standard_errors() == pytest.approx(alone.standard_errors(), rel=1e-4)
+        assert fits[name].deviance == pytest.approx(alone.deviance, rel=1e-9)
+    assert fits["full"].coefficients == pytest.approx(newton(x, y, w / w.mean()), abs=1e-6)
+
+
+def test_levels_without_rows_have_no_band(spark):
+    rows = [(g, h, int(i % 3 == 0), 1.0) for i in range(60) for g, h in (("a", "x"), ("a", "y"), ("b", "x"))]
+    patterns = m.covariate_patterns(spark.createDataFrame(rows, "g string, h string, y int, w double"), ["g", "h"], "y", "w")
+    levels = m.factor_levels(patterns, ["g", "h"])
+    fit = m.fit_many(patterns, {"m": m.terms(m.crossed("g", "h"))}, levels)["m"]
+    assert np.isnan(fit.standard_errors()[-1])
+    grid = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y")], "g string, h string")
+    got = {(r.g, r.h): r for r in m.predict_band(grid, fit, 200, 3).collect()}
+    assert got["b", "x"].lwr < got["b", "x"].fit < got["b", "x"].upr
+    assert got["b", "y"].fit is None and got["b", "y"].lwr is None and got["b", "y"].upr is None
+
+
+def test_normal_draws_are_normal_and_fixed():
+    z = m.normal_draws(7, 3000, 3)
+    assert np.array_equal(z[:5], m.normal_draws(7, 5, 3)) and not np.array_equal(z[:5], m.normal_draws(8, 5, 3))
+    assert abs(z.mean(axis=0)).max() < 0.07 and abs(np.cov(z.T) - np.eye(3)).max() < 0.1
+    assert abs(np.quantile(z, 0.975) - 1.96) < 0.06
+
+
 def test_model_terms():
     assert m.terms("YEAR", m.crossed("a", "b"), m.crossed("b", "c"), "a") == [
         ("YEAR",), ("a",), ("b",), ("c",), ("a", "b"), ("b", "c")]

@@ -140,17 +140,24 @@ def test_uncount_keeps_every_row(spark, monkeypatch, chunk):
     assert rows_of(got) == [("a", 1, 1, 1, 1), ("b", 10, 1, 10, 10), ("d", 9, 1, 9, 9)]
 
 
-@pytest.mark.parametrize("few,bins", [(10_000, 4096), (20, 8), (1, 2)])
-def test_quantiles_are_exact(spark, monkeypatch, few, bins):
-    monkeypatch.setattr(binning, "COLLECT_DISTINCT", few)
-    monkeypatch.setattr(binning, "HISTOGRAM_BINS", bins)
+@pytest.mark.parametrize("splitters,accuracy", [(256, 10_000), (5, 10_000), (3, 2)])
+def test_quantiles_are_exact(spark, monkeypatch, splitters, accuracy):
+    monkeypatch.setattr(binning, "SPLITTERS", splitters)
+    monkeypatch.setattr(binning, "SKETCH", accuracy)
     rng = np.random.default_rng(3)
-    values = np.concatenate([rng.normal(size=200), np.full(150, 0.25), rng.normal(size=50) * 1e6])
+    values = np.concatenate([rng.normal(size=200), np.full(150, 0.25), rng.normal(size=50) * 1e6, [1e300, -1e300, -0.0, 0.0]])
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
     probabilities = [0.0, 1 / 6, 0.5, 0.9, 1.0]
     assert binning.exact_quantiles(df, "x", probabilities) == pytest.approx(list(np.quantile(values, probabilities)), rel=1e-12)
 
 
+def test_quantiles_of_ties_and_many_values(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") * 1.0).alias("x"))
+    values = np.array([7.0 if i % 3 == 0 else i for i in range(200_000)])
+    assert binning.exact_quantiles(df, "x", [0.0, 0.1, 0.34, 0.8, 1.0]) == pytest.approx(list(np.quantile(values, [0.0, 0.1, 0.34, 0.8, 1.0])))
+    assert binning.exact_quantiles(df.filter("x = 7"), "x", [0.0, 0.5, 1.0]) == [7.0] * 3
+
+
 def test_cut_number(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 13)] + [(None,)], "x double")
     got = binning.cut_number(df, "x", 6, "q").groupBy("q").count()

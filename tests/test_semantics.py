@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from demoflux.functions import semantics as s
 from demoflux.functions.student import t_975
+from demoflux.plans import census
 
 
 def column(spark, values, kind, expression):
@@ -91,3 +92,18 @@ def test_t_points(spark):
     wanted = [12.706205, 2.570582, 2.228139, 2.042272, 1.971896, 1.971837, 1.960201]
     assert got[0] is None
     assert [round(v, 6) for v in got[1:]] == wanted
+
+
+def test_age_labels_from_birth_to_the_open_end(spark):
+    ages = spark.createDataFrame([(a,) for a in (0, 1, 4, 17, 24, 55, 61, 64, 65, 66, 67, 69, 84, 85, 90)], "AGE int")
+    survey = ages.select("AGE", F.lit(census.YEARS[1]).alias("year"), census._age_label(census.SURVEY_AGES).alias("label"))
+    earlier = ages.select("AGE", F.lit(census.YEARS[0]).alias("year"), census._age_label(census.CENSUS_AGES).alias("label"))
+    got = {(r["year"], r["label"]): (min(r["ages"]), max(r["ages"]), min(r["band_ages"]), r["age_mean"])
+           for r in census.harmonised_labels(survey.unionAll(earlier)).collect()}
+    later, before = census.YEARS[1], census.YEARS[0]
+    assert got[later, "65 and 66 years"] == got[later, "67 to 69 years"] == got[before, "65 to 69 years"] == (65, 69, 65, 67.5)
+    assert got[later, "Under 5 years"] == got[before, "Under 1 year"] == (0, 4, 0, 2.5)
+    assert got[before, "1 and 2 years"] == (1, 2, 0, 2.5) and got[before, "17 years"] == (17, 17, 15, 16.5)
+    assert got[later, "60 and 61 years"] == (60, 61, 60, 61.0) and got[before, "55 to 59 years"] == (55, 59, 55, 57.5)
+    assert got[later, "85 years and over"] == got[before, "85 years and over"] == (85, 85, 85, 85.5)
+    assert all(v is not None for row in got.values() for v in row)
