@@ -128,22 +128,30 @@ def _same_as_before(*columns: np.ndarray) -> np.ndarray:
 def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbours in a sorted range of runs.
 
-    Keeps the runs that share their anchor with a neighbour, and those at the ends of the range, whose neighbour may be in the
-    next one. `copies` is the number of equal runs, given at the first of them and 0 at the others.
+    Runs of an anchor that lies inside the range are decided here: `whole` ones have the bytes of another run; `partial` ones are to be
+    looked at passage by passage, where the anchor has runs of different bytes: one run of each content, `alone` if no other
+    run has it. The runs of the first and the last anchor of the range, which may go on in the next one, are given with `edge`, and
+    `copies` as the number of equal runs, at the first of them and 0 at the others.
     """
     anchor, content, row, start, size = _whole(batches, 5)
     n = len(anchor)
     if not n:
         return
-    same_anchor = _same_as_before(anchor)
-    near = same_anchor | np.append(same_anchor[1:], False)
-    ends = (anchor == anchor[0]) | (anchor == anchor[-1])
+    edge = (anchor == anchor[0]) | (anchor == anchor[-1])
     same = _same_as_before(anchor, content)
     first = np.flatnonzero(~same)
+    equal = np.diff(np.append(first, n))
     copies = np.zeros(n, np.int64)
-    copies[first] = np.diff(np.append(first, n))
-    keep = near | ends
-    yield _arrow(["anchor", "content", "row", "start", "size", "copies"], [c[keep] for c in (anchor, content, row, start, size, copies)])
+    copies[first] = equal
+    # the contents of each anchor
+    begins = np.flatnonzero(~_same_as_before(anchor[first]))
+    variants = np.repeat(np.diff(np.append(begins, len(first))), np.diff(np.append(begins, len(first))))
+    whole = np.repeat(equal > 1, equal)
+    partial = np.zeros(n, bool)
+    partial[first] = variants > 1
+    keep = edge | whole | partial
+    yield _arrow(["anchor", "content", "row", "start", "size", "copies", "edge", "whole", "partial", "alone"], [
+        c[keep] for c in (anchor, content, row, start, size, copies, edge, whole & ~edge, partial & ~edge, copies == 1)])
 
 
 SUFFIXES = "lead bigint, print bigint, row bigint, start bigint, open boolean"
@@ -230,22 +238,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     starts anywhere else too. The suffix array is sparse: suffixes are first sorted at the anchors of passages
     only, one for some fifty bytes, by anchor and by the run of passages around it. Runs with equal bytes are
     repeats. Passages of runs that share an anchor, but not all bytes, are sorted one by one, by
-    their first eight bytes and a 64-bit fingerprint of the rest. Neighbours are compared in each range, and
-    the ends of the ranges by a small join.
+    their first eight bytes and a 64-bit fingerprint of the rest. Neighbours are compared in each range; only what
+    lies at the ends of the ranges is grouped and joined.
     """
     spark = docs.sparkSession
     found = docs.select("row", "text").mapInArrow(_find_blocks(length, anchor), RUNS)
     runs = store(sorted_in_ranges(found, "anchor", "content", "row", "start").mapInArrow(
-        _compare_runs, RUNS + ", copies bigint"), "runs")
+        _compare_runs, RUNS + ", copies bigint, edge boolean, whole boolean, partial boolean, alone boolean"), "runs")
     release(spark)
-    contents = store(runs.filter("copies > 0").groupBy("anchor", "content").agg(F.sum("copies").alias("total")), "contents")
+    # anchors at the ends of ranges: their equal runs are counted over all ranges
+    edges = runs.filter("edge")
+    contents = store(edges.filter("copies > 0").groupBy("anchor", "content").agg(F.sum("copies").alias("total")), "contents")
     shared = contents.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1").select("anchor")
     # one run of each content, and all runs whose content is met once, are looked at passage by passage
-    singles = runs.filter("copies > 0").join(contents, ["anchor", "content"])
-    whole = runs.filter("copies <> 1").select("row", "start", "size").unionAll(
+    singles = edges.filter("copies > 0").join(contents, ["anchor", "content"])
+    whole = runs.filter("whole").select("row", "start", "size").unionAll(
+        edges.filter("copies <> 1").select("row", "start", "size")).unionAll(
         singles.filter("copies = 1 and total > 1").select("row", "start", "size"))
-    partial = singles.join(shared, "anchor", "left_semi").select("row", F.struct(
-        "start", "size", (F.col("total") == 1).alias("open")).alias("run"))
+    partial = runs.filter("partial").select("row", F.struct("start", "size", F.col("alone").alias("open")).alias("run")).unionAll(
+        singles.join(shared, "anchor", "left_semi").select("row", F.struct(
+            "start", "size", (F.col("total") == 1).alias("open")).alias("run")))
     wanted = partial.groupBy("row").agg(F.collect_list("run").alias("wanted"))
     suffixes = docs.select("row", "text").join(wanted, "row").select("row", "text", "wanted").mapInArrow(_suffixes(length), SUFFIXES)
     passages = store(sorted_in_ranges(suffixes, "lead", "print", "row", "start").mapInArrow(
