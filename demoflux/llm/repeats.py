@@ -150,8 +150,9 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     partial = np.zeros(n, bool)
     partial[first] = variants > 1
     keep = edge | whole | partial
+    # what names the bytes is needed at the edges only
     yield _arrow(["anchor", "content", "row", "start", "size", "copies", "edge", "whole", "partial", "alone"], [
-        c[keep] for c in (anchor, content, row, start, size, copies, edge, whole & ~edge, partial & ~edge, copies == 1)])
+        c[keep] for c in (np.where(edge, anchor, 0), np.where(edge, content, 0), row, start, size, copies, edge, whole & ~edge, partial & ~edge, copies == 1)])
 
 
 SUFFIXES = "lead bigint, print bigint, row bigint, start bigint, open boolean"
@@ -196,7 +197,7 @@ def _compare_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     at_end[[0, -1]] = True
     keep = (equal & wanted.astype(bool)) | at_end
     yield _arrow(["lead", "print", "row", "start", "open", "equal", "at_end"], [c[keep] for c in (
-        lead, code, row, start, wanted.astype(bool), equal, at_end)])
+        np.where(at_end, lead, 0), np.where(at_end, code, 0), row, start, wanted.astype(bool), equal, at_end)])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +245,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     spark = docs.sparkSession
     found = docs.select("row", "text").mapInArrow(_find_blocks(length, anchor), RUNS)
     runs = store(sorted_in_ranges(found, "anchor", "content", "row", "start").mapInArrow(
-        _compare_runs, RUNS + ", copies bigint, edge boolean, whole boolean, partial boolean, alone boolean"), "runs")
+        _compare_runs, RUNS + ", copies bigint, edge boolean, whole boolean, partial boolean, alone boolean"), "runs", "zstd")
     release(spark)
     # anchors at the ends of ranges: their equal runs are counted over all ranges
     edges = runs.filter("edge")
@@ -261,7 +262,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     wanted = partial.groupBy("row").agg(F.collect_list("run").alias("wanted"))
     suffixes = docs.select("row", "text").join(wanted, "row").select("row", "text", "wanted").mapInArrow(_suffixes(length), SUFFIXES)
     passages = store(sorted_in_ranges(suffixes, "lead", "print", "row", "start").mapInArrow(
-        _compare_suffixes, SUFFIXES + ", equal boolean, at_end boolean"), "passages")
+        _compare_suffixes, SUFFIXES + ", equal boolean, at_end boolean"), "passages", "zstd")
     release(spark)
     # an end of a range is repeated if a neighbouring range ends with an equal passage
     across = passages.filter("at_end").groupBy("lead", "print").agg(F.count("*").alias("n")).filter("n > 1")
