@@ -155,17 +155,31 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         c[keep] for c in (np.where(edge, anchor, 0), np.where(edge, content, 0), row, start, size, copies, edge, whole & ~edge, partial & ~edge, copies == 1)])
 
 
-SUFFIXES = "lead bigint, print bigint, row bigint, start bigint, open boolean"
+# `spot` is twice the place of a passage, and one more if it is open
+SUFFIXES = "lead bigint, print bigint, row bigint, spot bigint"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: texts packed for the way to the runs of their row."""
+    from zstandard import ZstdCompressor
+
+    pack = ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([pack(_bytes(t)) for t in batch.column(1)], pa.binary())], names=["row", "text"])
 
 
 def _suffixes(length: int):
     """Task: every passage of the given runs, with its first eight bytes and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
         names = [c.split()[0] for c in SUFFIXES.split(", ")]
         for batch in batches:
             for row, text, wanted in zip(batch.column(0).to_numpy(), batch.column(1), batch.column(2)):
-                data = _bytes(text)
+                data = np.frombuffer(unpack(text.as_py()), np.uint8)
                 runs = wanted.as_py()
                 for begin in range(0, len(data) - length + 1, SEGMENT):
                     inside = [r for r in runs if begin <= r["start"] < begin + SEGMENT]
@@ -180,14 +194,14 @@ def _suffixes(length: int):
                     lead = np.ascontiguousarray(eight).view(">u8").ravel().astype(np.uint64).view(np.int64)
                     yield _arrow(names, [
                         lead, prints.between(places, places + length).view(np.int64), np.full(len(places), row, np.int64),
-                        places + begin, np.repeat([r["open"] for r in inside], sizes)])
+                        2 * (places + begin) + np.repeat([int(r["open"]) for r in inside], sizes)])
 
     return run
 
 
 def _compare_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbours in a sorted range of passages: `equal` ones, and those at the ends of the range."""
-    lead, code, row, start, wanted = _whole(batches, 5)
+    lead, code, row, spot = _whole(batches, 4)
     n = len(lead)
     if not n:
         return
@@ -195,9 +209,10 @@ def _compare_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     equal = same | np.append(same[1:], False)
     at_end = np.zeros(n, bool)
     at_end[[0, -1]] = True
-    keep = (equal & wanted.astype(bool)) | at_end
+    wanted = spot % 2 == 1
+    keep = (equal & wanted) | at_end
     yield _arrow(["lead", "print", "row", "start", "open", "equal", "at_end"], [c[keep] for c in (
-        np.where(at_end, lead, 0), np.where(at_end, code, 0), row, start, wanted.astype(bool), equal, at_end)])
+        np.where(at_end, lead, 0), np.where(at_end, code, 0), row, spot // 2, wanted, equal, at_end)])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +275,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
         singles.join(shared, "anchor", "left_semi").select("row", F.struct(
             "start", "size", (F.col("total") == 1).alias("open")).alias("run")))
     wanted = partial.groupBy("row").agg(F.collect_list("run").alias("wanted"))
-    suffixes = docs.select("row", "text").join(wanted, "row").select("row", "text", "wanted").mapInArrow(_suffixes(length), SUFFIXES)
-    passages = store(sorted_in_ranges(suffixes, "lead", "print", "row", "start").mapInArrow(
-        _compare_suffixes, SUFFIXES + ", equal boolean, at_end boolean"), "passages", "zstd")
+    suffixes = docs.select("row", "text").mapInArrow(_packed, "row bigint, text binary").join(wanted, "row").select("row", "text", "wanted").mapInArrow(_suffixes(length), SUFFIXES)
+    passages = store(sorted_in_ranges(suffixes, "lead", "print", "row", "spot").mapInArrow(
+        _compare_suffixes, "lead bigint, print bigint, row bigint, start bigint, open boolean, equal boolean, at_end boolean"), "passages", "zstd")
     release(spark)
     # an end of a range is repeated if a neighbouring range ends with an equal passage
     across = passages.filter("at_end").groupBy("lead", "print").agg(F.count("*").alias("n")).filter("n > 1")
