@@ -317,11 +317,14 @@ def design_bic(fit: LogisticFit, maximal: LogisticFit) -> dict[str, float]:
     return {"p": float(len(names)), "bic": float(bic)}
 
 
+COEFFICIENTS = "position int, term string, estimate double, std_error double"
+
+
 def coefficient_table(spark, fit: LogisticFit) -> DataFrame:
     """Coefficients and standard errors as a table."""
     rows = [(i, name, float(b), float(s)) for i, (name, b, s) in enumerate(
         zip(fit.design.names(), fit.coefficients, fit.standard_errors()))]
-    return spark.createDataFrame(rows, "position int, term string, estimate double, std_error double")
+    return spark.createDataFrame(rows, COEFFICIENTS)
 
 
 def normal_draws(seed: int, draws: int, size: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from demoflux.functions import recode
 from demoflux.functions.semantics import age_band, paste
 from demoflux.functions.student import Z_975, t_table
 from demoflux.operators.models import (
-    coefficient_table, covariate_patterns, crossed, design_bic, factor_levels, fit_logistic, fit_many, fitted_probability, predict_band,
+    COEFFICIENTS, coefficient_table, covariate_patterns, crossed, design_bic, factor_levels, fit_logistic, fit_many, fitted_probability, predict_band,
     terms,
 )
 from demoflux.operators.survey import SurveyDesign, clustered_proportion, survey_proportion
@@ -363,7 +363,7 @@ UNWEIGHTED_FACTORS = ["SEX", "AGEG", "EDU", "MARRIED", "CHILD", "YEAR", "ETHCIT1
 
 
 def _unweighted_model(spark, folder, response, *columns, kept):
-    """A 0/1 response by sex, age group, schooling, marriage x children and year x ethnicity, without weights."""
+    """A 0/1 response by sex, age group, schooling, marriage x children and year x ethnicity, without weights. Without rows there is no model."""
     rows = person(
         spark, folder, "SEX", "AGE", "EDUC", "MARST", "NCHILD", "YEAR", "BPL", "HISPAN", "RACE", "CITIZEN", *columns)
     flag = lambda c: F.when(c, "yes").otherwise("no")
@@ -372,6 +372,8 @@ def _unweighted_model(spark, folder, response, *columns, kept):
         flag(recode.married()).alias("MARRIED"), flag(recode.has_child()).alias("CHILD"), "YEAR",
         recode.ethnicity_citizenship().alias("ETHCIT1"), response.cast("int").alias("y"))
     patterns = covariate_patterns(prepared, UNWEIGHTED_FACTORS, "y", None)
+    if patterns.isEmpty():
+        return patterns, None
     model = terms("SEX", "AGEG", "EDU", crossed("MARRIED", "CHILD"), crossed("YEAR", "ETHCIT1"))
     levels = factor_levels(patterns, UNWEIGHTED_FACTORS)
     # the first level is the baseline, so these factors keep the order of their label lists
@@ -394,7 +396,7 @@ def leaving_model(spark, folder):
 
 
 def _fitted_by_ethnicity(patterns, fit):
-    predicted = patterns.withColumn("p", fitted_probability(fit))
+    predicted = patterns.withColumn("p", fitted_probability(fit) if fit else F.lit(0.0))
     return predicted.groupBy(F.col("ETHCIT1").alias("ethnicity"), F.col("YEAR").alias("year")).agg(
         F.sum("_n").alias("n"), F.sum("_wy").alias("observed"),
         F.round(F.sum(F.col("_w") * F.col("p")), 2).alias("fitted"))
@@ -422,7 +424,8 @@ def fitted_by_ethnicity(spark, folder):
 @query("q40d_leaving_state_model")
 def leaving_state_model(spark, folder):
     """All terms of the leaving model."""
-    return coefficient_table(spark, leaving_model(spark, folder)[1])
+    fit = leaving_model(spark, folder)[1]
+    return coefficient_table(spark, fit) if fit else spark.createDataFrame([], COEFFICIENTS)
 
 
 @query("q40e_fitted_leavers_by_ethnicity", with_person("""
