@@ -14,7 +14,7 @@ from demoflux.llm.common import discard, release, store, tasks
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
-DOUBT = 0.1  # by how much a signature of 128 coordinates may fall short; almost three standard deviations at 0.8
+DOUBT = 0.2  # by how much a signature of 128 coordinates may fall short; over five standard deviations at 0.8
 CACHED_WORDS = 300_000
 CELLS_AT_ONCE = 50_000
 BLOCK = 1024  # members of a bucket that meet at once
@@ -372,8 +372,8 @@ def near_duplicates(
     weighted by how often they occur) is at least `similarity`; classes are what links connect. Texts of
     equal words are one node from the start. Candidates share one of `bands` bands of the signature, and
     every link is checked on the texts' whole shingles. With 32 bands of 4, a pair at 0.8 shares no band
-    in 5 of 100 million cases; its signatures agree in less than 0.7, below which pairs are not checked, in 2 of 1000,
-    a pair at 0.85 in 1 of a million.
+    in 5 of 100 million cases; its signatures agree in less than 0.6, below which pairs are not checked, in 8 of 100
+    million, a pair at 0.85 in 2 of a trillion.
 
     A bucket never gives all its pairs. First its members meet its smallest node, the leader, which joins a group of copies
     of any size to one class. Then members that stay outside the leader's class meet the bucket's members, in blocks of
