@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from demoflux.llm.common import store
+from demoflux.llm.common import discard, store
 
-TRAIN_DOCS = 20_000  # labelled documents that lexicons and classifier are fitted on, about
+TRAIN_DOCS = 20_000  # labelled documents that lexicons and classifier are fitted on, about; half of them of each label
 MAX_FEATURES = 1024
 FOLDS = 4  # lexicon voters of each kind
 LEAST_HITS, LEAST_SHARE = 5, 0.015  # toxic documents that a lexicon entry must occur in, as number and as share
-PRECISION = 0.97  # part of an entry's documents that must be toxic
+PRECISION = 0.97  # part of an entry's documents that must be toxic, by the weights of the labels
 CACHED_TOKENS = 300_000
 START = -3.0  # the classifier's constant before fitting: without examples nothing is toxic
 
@@ -103,6 +103,7 @@ def _count_features(labels: dict[int, int]):
                         split[t] = features(t)
                     found.update(split[t])
                 counts[label].update(found)
+                counts[label][""] += 1  # no feature is empty: the number of rows, which may repeat
         names = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), *[pa.array([c[n] for n in names], pa.int64()) for c in counts]],
@@ -118,17 +119,19 @@ def contrast(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Column
     return apart / F.sqrt(pooled * (1 - pooled) * (1 / (n_toxic + 1) + 1 / (n_clean + 1)))
 
 
-def build_voters(counts: list[tuple[str, int, int]], n_clean: int, n_toxic: int, max_features: int) -> Voters:
-    """Lexicons from counts of documents (feature, clean, toxic), dealt into voters by a hash.
+def is_entry(clean: Column, toxic: Column, n_toxic: int, weights: tuple[float, float]) -> Column:
+    """Whether a feature may stand in a lexicon: it is in enough toxic documents and in hardly any clean ones."""
+    heavy = toxic * F.lit(weights[1])
+    return (toxic >= F.lit(max(LEAST_HITS, LEAST_SHARE * n_toxic))) & (heavy >= F.lit(PRECISION) * (heavy + clean * F.lit(weights[0])))
 
-    The counts come by falling contrast; the classifier sees the first `max_features`.
-    """
+
+def build_voters(entries: list[str], seen: list[str]) -> Voters:
+    """Lexicons of the entries, dealt into voters by a hash, and the features that the classifier sees."""
     lexicon = {w: 1 << PATTERNS for w in INSULTS}
-    for name, clean, toxic in counts:
-        if toxic >= max(LEAST_HITS, LEAST_SHARE * n_toxic) and toxic >= PRECISION * (toxic + clean):
-            fold = xxh3_64_intdigest(name) % FOLDS + (FOLDS if name.endswith("-") else 0)
-            lexicon[name] = lexicon.get(name, 0) | 1 << (PATTERNS + 1 + fold)
-    return Voters(lexicon, {name: i for i, (name, _, _) in enumerate(counts[:max_features])})
+    for name in entries:
+        fold = xxh3_64_intdigest(name) % FOLDS + (FOLDS if name.endswith("-") else 0)
+        lexicon[name] = lexicon.get(name, 0) | 1 << (PATTERNS + 1 + fold)
+    return Voters(lexicon, {name: i for i, name in enumerate(seen)})
 
 
 @dataclass
@@ -207,21 +210,25 @@ def calibrated(model: LabelModel, masks: np.ndarray, labels: np.ndarray, counts:
     return LabelModel(model.prior, model.rates, model.correlation, model.weight, float(at[0]), float(at[1]))
 
 
-def fit_classifier(rows: list[list[int]], target: np.ndarray, size: int, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
+def fit_classifier(
+    rows: list[list[int]], target: np.ndarray, importance: np.ndarray, size: int, penalty: float = 1e-4, rounds: int = 300,
+) -> np.ndarray:
     """Weights of a logistic regression on present features, the constant last, with an L1 penalty on all but the constant.
 
-    Accelerated proximal gradient steps on soft targets.
+    Accelerated proximal gradient steps on soft targets; `importance` is the number of documents that a row stands for.
     """
     n = len(rows)
+    importance = importance / importance.mean() if n else importance
     lengths = np.array([len(r) for r in rows], np.int64)
     columns = np.fromiter((c for r in rows for c in r), np.int64, lengths.sum())
     owner = np.repeat(np.arange(n), lengths)
-    step = 4.0 / (1.0 + lengths.mean() + lengths.std()) if n else 1.0
+    usual = np.average(lengths, weights=importance) if n else 0.0
+    step = 4.0 / (1.0 + usual + np.sqrt(np.average((lengths - usual) ** 2, weights=importance))) if n else 1.0
     weights = ahead = np.append(np.zeros(size), START)
     momentum = 1.0
     for _ in range(rounds if n else 0):
         logits = np.bincount(owner, ahead[columns], n) + ahead[-1]
-        error = 1 / (1 + np.exp(-np.clip(logits, -500, 500))) - target
+        error = importance * (1 / (1 + np.exp(-np.clip(logits, -500, 500))) - target)
         gradient = np.append(np.bincount(columns, error[owner], size), error.sum()) / n
         following = ahead - step * gradient
         following[:-1] = np.sign(following[:-1]) * np.maximum(np.abs(following[:-1]) - step * penalty, 0)
@@ -258,36 +265,60 @@ class ToxicityModel:
     weights: np.ndarray
 
 
+def label_shares(n_clean: int, n_toxic: int, train_docs: int) -> tuple[float, float]:
+    """The parts of the clean and of the toxic documents to learn from: half of the places each, and what the other leaves."""
+    places = train_docs / 2
+    of_clean = min(n_clean, max(places, train_docs - n_toxic))
+    of_toxic = min(n_toxic, max(places, train_docs - n_clean))
+    return of_clean / max(1, n_clean), of_toxic / max(1, n_toxic)
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, max_features: int = MAX_FEATURES,
 ) -> ToxicityModel:
     """Fit voters, label model and classifier on `docs` (doc_id, text) and `labels` (doc_id, toxic).
 
     Lexicons and classifier are fitted on about `train_docs` labelled rows, picked by a hash of doc_id: that
-    parameter bounds what the driver holds. The label model sees the votes on every row of `docs`, as
+    parameter bounds what the driver holds. Half of the places go to each label, and what one label leaves goes to the other,
+    so rare toxic rows are learned on a corpus of any size. A picked row weighs what it stands for: the label's documents
+    over those picked of it. Every feature that qualifies is a lexicon entry; there are few, as each is in 1.5 % of the picked
+    toxic rows. The classifier sees the `max_features` of highest contrast. The label model sees the votes on every row of `docs`, as
     counts of distinct vote vectors, of which there are at most 2 to the number of voters. A doc_id that has
     several labels counts as toxic if one of them says so; rows without doc_id or label teach nothing.
     """
-    marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    share = min(1.0, train_docs / max(1, marked.count()))
-    picked = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit("toxic")), F.lit(1 << 40)) < int(share * (1 << 40))
-    known = {int(r[0]): int(r[1] > 0) for r in marked.filter(picked).groupBy("doc_id").agg(F.max("toxic")).collect()}
+    spark = docs.sparkSession
+    marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(
+        F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    shares = label_shares(sizes.get(False, 0), sizes.get(True, 0), train_docs)
+    limit = F.when(F.col("toxic"), F.lit(int(shares[1] * (1 << 40)))).otherwise(F.lit(int(shares[0] * (1 << 40))))
+    picked = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 40)) < limit
+    known = {r["doc_id"]: int(r["toxic"]) for r in marked.filter(picked).collect()}
+    picked_toxic = sum(known.values())
+    weights = sizes.get(False, 0) / max(1, len(known) - picked_toxic), sizes.get(True, 0) / max(1, picked_toxic)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    counted = texts.filter(picked).mapInArrow(_count_features(known), "feature string, clean bigint, toxic bigint")
-    n_toxic = sum(known.values())
-    n_clean = len(known) - n_toxic
-    counts = counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn(
-        "contrast", contrast(F.col("clean"), F.col("toxic"), n_clean, n_toxic))
-    told = counts.orderBy(F.desc("contrast"), "feature").limit(8 * max_features).select("feature", "clean", "toxic").collect()
-    voters = build_voters([tuple(r) for r in told], n_clean, n_toxic, max_features)
+    # as many ids as `train_docs` bounds
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in known], "doc_id bigint"))
+    counted = texts.join(ids, "doc_id", "left_semi").mapInArrow(_count_features(known), "feature string, clean bigint, toxic bigint")
+    counts = store(counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "features")
+    rows = counts.filter("feature = ''").first()
+    n_clean, n_toxic = (rows["clean"], rows["toxic"]) if rows else (0, 0)
+    told = counts.filter("feature <> ''")
+    apart = contrast(F.col("clean"), F.col("toxic"), n_clean, n_toxic)
+    seen = [r["feature"] for r in told.orderBy(apart.desc(), "feature").limit(max_features).select("feature").collect()]
+    entries = [r["feature"] for r in told.filter(is_entry(F.col("clean"), F.col("toxic"), n_toxic, weights)).select("feature").collect()]
+    discard(counts)
+    voters = build_voters(entries, seen)
     votes = store(texts.mapInArrow(_vote(voters, known), "mask int, label int, features array<int>"), "votes")
     vectors = np.array([tuple(r) for r in votes.groupBy("mask", "label").count().collect()], np.int64).reshape(-1, 3)
-    vectors = vectors[:, 0], vectors[:, 1], vectors[:, 2].astype(float)
+    vectors = vectors[:, 0], vectors[:, 1], vectors[:, 2] * np.array([*weights, 1.0])[vectors[:, 1]]
     label_model = calibrated(fit_label_model(*vectors, voters.count), *vectors)
-    sample = votes.filter("label >= 0").select("mask", "features").collect()
+    sample = votes.filter("label >= 0").select("mask", "label", "features").collect()
     target = label_model.posterior(as_votes(np.array([r["mask"] for r in sample], np.int64), voters.count))
-    weights = fit_classifier([r["features"] for r in sample], target, len(voters.feature))
-    return ToxicityModel(voters, label_model, weights)
+    importance = np.array([weights[r["label"]] for r in sample], float)
+    fitted = fit_classifier([r["features"] for r in sample], target, importance, len(voters.feature))
+    discard(votes)
+    return ToxicityModel(voters, label_model, fitted)
 
 
 def toxicity_score(model: ToxicityModel, text: str = "text") -> Column:

@@ -360,3 +360,100 @@ def test_a_small_language_keeps_its_places(spark):
     assert model.langs == ["big", "rare"]
     got = langid.identify(docs, model).filter("doc_id >= 9000").collect()
     assert {r["lang_pred"] for r in got} == {"rare"}
+
+
+def plain_rake(frame, targets, share, rounds=2000):
+    """Raking of a table's rows by numpy: each row's weight per token, and the margins' fitted shares."""
+    frame = frame[frame.n_tokens > 0]
+    for m, target in targets.items():
+        frame = frame[[target.get(v, 0) > 0 for v in frame[m]]]
+    weight = frame.n_tokens.to_numpy(float).copy()
+    goals = {}
+    for m, target in targets.items():
+        present = {v: target[v] for v in set(frame[m])}
+        goals[m] = {v: w / sum(present.values()) for v, w in present.items()}
+    for _ in range(rounds):
+        for m, goal in goals.items():
+            for v, g in goal.items():
+                at = (frame[m] == v).to_numpy()
+                weight[at] *= g / weight[at].sum()
+    shares = {m: {v: weight[(frame[m] == v).to_numpy()].sum() for v in goal} for m, goal in goals.items()}
+    return dict(zip(frame.doc_id, weight / frame.n_tokens)), shares
+
+
+def mixed_rows(nested):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        source = f"s{rng.choice([0, 0, 0, 1, 2, 3, 4, 5])}"
+        lang = ["en", "de", "fr"][int(source[1]) // 2] if nested else rng.choice(["en", "en", "de", "fr"])
+        rows.append((i, rng.randint(0, 60), source, lang))
+    return rows + [(1000, 0, "s0", "en"), (1001, None, "s1", "en"), (7, rows[7][1], *rows[7][2:])]
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_raking_equals_plain_raking(spark, nested):
+    schema = "doc_id bigint, n_tokens bigint, source string, lang string"
+    docs = spark.createDataFrame(mixed_rows(nested), schema)
+    targets = {"source": {"s0": 1, "s1": 3, "s2": 2, "s3": 2, "s4": 1, "s5": 0}, "lang": {"en": 2, "de": 4, "fr": 4, "xx": 1}}
+    frame = docs.toPandas().fillna({"n_tokens": 0})
+    weights, shares = plain_rake(frame, targets, 0.5)
+    got = mixing.mix(docs, targets, 0.5).toPandas()
+    total = frame.n_tokens.sum()
+    for r in got.itertuples():
+        expected = weights.get(r.doc_id, 0.0) * total if r.n_tokens > 0 else 0.0
+        assert abs(r.mix_weight - expected) < 1e-4 * max(1, expected)
+        assert int(r.mix_weight * 0.5) <= r.copies <= int(r.mix_weight * 0.5) + 1
+    report = {(r["margin"], r["value"]): r for r in mixing.mix_report(docs, targets, 0.5).collect()}
+    assert set(report) == {(m, v) for m, target in targets.items() for v in target}
+    for (m, v), r in report.items():
+        wanted = targets[m][v] / sum(targets[m].values())
+        assert abs(r["target"] - wanted) < 1e-12 and abs(r["fitted"] - shares[m].get(v, 0.0)) < 1e-5
+        assert r["missed"] == (abs(r["fitted"] - wanted) > mixing.TOLERANCE)
+    # nobody has a word of xx, so every language misses its target; sources of one language each can't be met beside them
+    assert report[("lang", "xx")]["missed"] and report[("lang", "xx")]["fitted"] == 0
+    assert report[("source", "s0")]["missed"] == nested
+
+
+def test_missing_values_and_bad_targets_of_a_mix(spark):
+    rows = [(i, 10, None if i % 4 == 0 else "" if i % 4 == 1 else "a", f"old-{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, source string, copies string")
+    got = mixing.mix(docs, {"source": {None: 1, "": 2, "a": 1}}, 1.0).toPandas()
+    assert set(got.columns) == {"doc_id", "n_tokens", "source", "copies", "mix_weight"}
+    assert np.allclose(got.mix_weight, [1.0 if v is None or v != v else 2.0 if v == "" else 0.5 for v in got.source])
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"source": {"a": 0}}, 1.0)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"source": {"a": 2, "b": -1}}, 1.0)
+    nobody = mixing.mix(docs, {"source": {"zz": 1}}, 1.0)
+    assert nobody.filter("copies > 0").count() == 0 and nobody.count() == 200
+    for once in (False, True):
+        empty = docs.limit(0)
+        assert mixing.mix(empty, {"source": 0.5}, 0.8, once=once).count() == 0
+        assert mixing.mix_report(empty, {"source": 0.5}, 0.8, once=once).count() == 0
+    gone = mixing.mix(docs, {"source": {"zz": 1}}, 0.8, once=True)
+    assert gone.count() == 200 and gone.filter("copies > 0").count() == 0
+
+
+def test_labels_share_the_places():
+    assert toxicity.label_shares(900, 100, 2000) == (1.0, 1.0)
+    assert toxicity.label_shares(900_000, 1000, 20_000) == (19_000 / 900_000, 1.0)
+    assert toxicity.label_shares(50_000, 50_000, 20_000) == (0.2, 0.2)
+    assert toxicity.label_shares(0, 5, 10) == (0.0, 1.0) and toxicity.label_shares(0, 0, 10) == (0.0, 0.0)
+
+
+def test_rare_toxic_rows_are_learned_from_a_small_sample(spark):
+    # 30 toxic rows of 3,000, of which a uniform sample of 300 would hold three
+    rng = random.Random(3)
+    common = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(common, k=30)) + (" zorgblat" if i % 100 == 0 else "")) for i in range(3000)]
+    rows += [(7, None), (None, "zorgblat"), (0, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("feature", F.lit("mine"))
+    marks = [(i, int(i % 100 == 0)) for i in range(3000)] + [(0, 0), (None, 1), (5, None)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int").withColumn("text", F.lit("clash"))
+    model = toxicity.fit_toxicity(docs, labels, train_docs=300)
+    assert "zorgblat" in model.voters.lexicon
+    scored = collect(toxicity.score_toxicity(docs, model))
+    assert all(r["feature"] == "mine" for r in scored)
+    found = [(r["doc_id"], r["predicted"]) for r in scored if r["doc_id"] is not None]
+    assert all(p == int(i % 100 == 0) for i, p in found)
