@@ -454,3 +454,26 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def near_dup_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "class_id")
+
+
+NEAR_DUP_SQL = r"""
+with recursive t as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]+') as words from documents),
+n as (select min(doc_id) as node, words from t where len(words) > 0 group by words),
+c as (
+  select node, shingle, count(*) as n
+  from (select node, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) as shingle from n)
+  group by node, shingle),
+z as (select node, sum(n) as size from c group by node),
+m as (
+  select a.node as one, b.node as two, sum(least(a.n, b.n)) as common
+  from c a join c b on a.shingle = b.shingle and a.node < b.node group by a.node, b.node),
+l as (
+  select one, two from m join z x on x.node = one join z y on y.node = two
+  where 5 * common >= 4 * (x.size + y.size - common)),
+e as (select one, two from l union all select two, one from l),
+r as (select node, node as other from n union select r.node, e.two from r join e on e.one = r.other),
+k as (select node, min(other) as class_id from r group by node)
+select t.doc_id, coalesce(k.class_id, t.doc_id) as class_id
+from t left join n on t.words = n.words left join k using (node)
+"""

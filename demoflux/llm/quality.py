@@ -116,3 +116,41 @@ def quality_rules(
 
 def quality_query(docs: DataFrame) -> DataFrame:
     return quality_rules(docs)
+
+
+QUALITY_SQL = r"""
+with d as (select row_number() over () as id, doc_id, source as host, coalesce(text, '') as body from documents),
+w as (select id, regexp_extract_all(body, '[^\x20\x09-\x0D]+') as words from d),
+v as (
+  select id, i, concat_ws(' ', words[i], words[i + 1], words[i + 2]) as window3
+  from (select id, words, unnest(range(1, len(words) - 1)) as i from w)),
+a as (select id, i from v qualify count(*) over (partition by id, window3) > 1),
+r as (select id, count(distinct place) as n_repeat_words from (select id, unnest([i, i + 1, i + 2]) as place from a) group by id),
+l as (
+  select id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n,
+    regexp_replace(regexp_replace(regexp_replace(lower(line), '\p{Nd}+', '0', 'g'),
+      '[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') as normal
+  from (select id, unnest(string_split(body, chr(10))) as line from d)
+  where regexp_matches(line, '[^\x20\x09-\x0D]')),
+u as (select id, count(*) - count(distinct line) as n_dup_lines from l group by id),
+e as (select id, normal, sum(n) as n from l group by id, normal),
+t as (select host, count(distinct body) as n_texts from d group by host),
+f as (
+  select d.host, e.normal from e join d using (id) group by d.host, e.normal
+  having count(distinct d.body) > 10 and count(distinct d.body) > 0.05 * (
+    select n_texts from t where t.host is not distinct from d.host)),
+g as (
+  select e.id, sum(e.n) as words, count(*) as lines from e join d using (id)
+  join f on f.host is not distinct from d.host and f.normal = e.normal group by e.id),
+c as (
+  select d.doc_id, len(w.words)::bigint as n_words, length(array_to_string(w.words, ''))::bigint as word_chars,
+    length(regexp_replace(d.body, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(u.n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(r.n_repeat_words, 0)::bigint as n_repeat_words, coalesce(g.words, 0)::bigint as n_removed_words,
+    coalesce(g.lines, 0)::bigint as n_removed_lines
+  from d join w using (id) left join u using (id) left join r using (id) left join g using (id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 2 * (n_words - n_removed_words) >= n_words as kept,
+  n_removed_words, n_removed_lines
+from c
+"""

@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
 }
 
 CHECKS: dict[str, str] = {
-    "op5_topk": topk.TOPK_SQL, "op8_warc": warc.WARC_SQL, "op11_importance": importance.RESAMPLE_SQL,
+    "op2_quality": quality.QUALITY_SQL, "op3_repeats": repeats.REPEATS_SQL, "op5_topk": topk.TOPK_SQL,
+    "op6_near_dup": near_dup.NEAR_DUP_SQL, "op8_warc": warc.WARC_SQL, "op11_importance": importance.RESAMPLE_SQL,
     "op12_vector_codes": vector_codes.CODES_SQL,
 }

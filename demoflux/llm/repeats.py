@@ -306,3 +306,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
 def repeats_query(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+REPEATS_SQL = """
+with d as (select row_number() over () as id, doc_id, hex(encode(coalesce(text, ''))) as digits from documents),
+n as (select *, (length(digits) // 2)::bigint as n_bytes from d),
+w as (select id, n_bytes, place, substr(digits, 2 * place + 1, 2 * (1024 + 199)) as part
+  from (select *, unnest(range(0, n_bytes - 199, 1024)) as place from n where n_bytes >= 200)),
+s as (select id, place + k as start, md5_number(substr(part, 2 * k + 1, 400)) as code
+  from (select *, unnest(range(0, least(1024, n_bytes - 199 - place))) as k from w)),
+r as (select id, start from s qualify count(*) over (partition by code) > 1),
+b as (select id, start, coalesce(start - lag(start) over (partition by id order by start) > 200, true) as opens from r),
+i as (select id, start, count(*) filter (opens) over (partition by id order by start) as span from b),
+p as (select id, span, min(start) as begin_at, max(start) + 200 as end_at from i group by id, span),
+q as (select *, coalesce(lag(end_at) over (partition by id order by begin_at), 0) as free_from from p),
+k as (
+  select n.id, count(*) as n_spans, sum(end_at - begin_at) as n_removed,
+    string_agg(substr(digits, 2 * free_from + 1, 2 * (begin_at - free_from)), '' order by begin_at)
+      || substr(any_value(digits), 2 * max(end_at) + 1) as kept
+  from q join n using (id) group by n.id)
+select doc_id, n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept, digits))) as kept_sha256
+from n left join k using (id)
+"""
