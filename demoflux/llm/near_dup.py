@@ -143,7 +143,8 @@ def _sketch(shingle: int, bands: int, rows: int):
         filled = [i for i, t in enumerate(texts) if t is not None]
         signatures = dart_signatures([texts[i] for i in filled], bands * rows)
         buckets, short = [None] * len(texts), [None] * len(texts)
-        for i, b, c in zip(filled, band_hashes(signatures, bands, rows), (signatures >> np.uint64(48)).astype(np.uint16)):
+        cut = signatures >> np.uint64(48)
+        for i, b, c in zip(filled, band_hashes(cut, bands, rows), cut.astype(np.uint16)):
             buckets[i], short[i] = b, c.tobytes()
         return pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(codes, pa.int64()),
@@ -267,46 +268,57 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _likely(least: float):
-    """Task: the members of other classes with which a block's outsiders agree enough, and each outsider's best of them."""
+def first_meetings(rows: pa.Table, bands: int) -> tuple[np.ndarray, ...]:
+    """A block's members (node, class, signature), the places of its outsiders and of its members inside, and which of
+    them are pairs of two classes that share no earlier band, so that each pair is looked at in one bucket only."""
+    nodes, classes, outside, inside = (rows.column(i).to_numpy() for i in range(1, 5))
+    signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(len(nodes), -1)
+    hashes = band_hashes(signatures.astype(np.uint64), bands, signatures.shape[1] // bands)
+    ours, theirs = np.flatnonzero(outside), np.flatnonzero(inside)
+    earlier = np.flatnonzero(hashes[0] == rows.column("bucket")[0].as_py())[0]
+    fresh = classes[ours][:, None] != classes[theirs][None, :]
+    for band in range(earlier):
+        fresh &= hashes[ours, band][:, None] != hashes[theirs, band][None, :]
+    return nodes, classes, signatures, ours, theirs, fresh
+
+
+def _likely(least: float, bands: int):
+    """Task: each outsider's best partner of another class among those it meets in a block, if they agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_block(batches):
-            nodes, classes, outside, inside = (rows.column(i).to_numpy() for i in range(1, 5))
-            signatures = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint16).reshape(len(nodes), -1)
-            ours, theirs = np.flatnonzero(outside), np.flatnonzero(inside)
-            met = np.zeros(len(theirs), bool)
-            for i in range(0, len(ours), 64):
-                some = ours[i:i + 64]
-                agree = (signatures[some][:, None, :] == signatures[theirs][None, :, :]).mean(axis=2)
-                agree[(classes[some][:, None] == classes[theirs][None, :]) | (agree < least)] = 0
-                met |= (agree > 0).any(axis=0)
-                found = agree.max(axis=1, initial=0) > 0
-                best = theirs[agree[found].argmax(axis=1)] if found.any() else theirs[:0]
+            nodes, _, signatures, ours, theirs, fresh = first_meetings(rows, bands)
+            bucket = rows.column("bucket")[0].as_py()
+            asking = np.flatnonzero(fresh.any(axis=1))
+            for i in range(0, len(asking), 64):
+                some = asking[i:i + 64]
+                x, y = np.nonzero(fresh[some])
+                agree = np.zeros((len(some), len(theirs)))
+                agree[x, y] = (signatures[ours[some[x]]] == signatures[theirs[y]]).mean(axis=1)
+                estimate, best = agree.max(axis=1), theirs[agree.argmax(axis=1)]
+                found = estimate >= least
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (nodes[some[found]], nodes[best], agree[found].max(axis=1, initial=0))],
-                    names=["node", "other", "estimate"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[theirs[met]]), pa.nulls(int(met.sum()), pa.int64()), pa.nulls(int(met.sum()), pa.float64())],
-                names=["node", "other", "estimate"])
+                    [pa.array(np.full(found.sum(), bucket)), pa.array(nodes[ours[some[found]]]), pa.array(nodes[best[found]]),
+                     pa.array(estimate[found])], names=["bucket", "node", "other", "estimate"])
 
     return run
 
 
-def _linked(similarity: float):
+def _linked(similarity: float, bands: int):
     """Task: of each outsider in a block the links to other classes, one for each class, by whole shingles.
 
-    Shared shingles are counted for a few outsiders at a time, from the sorted shingles of the block's members.
+    Shared shingles are counted for a few outsiders at a time, from the sorted shingles of the members they meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_block(batches):
-            nodes, classes, outside, inside = (rows.column(i).to_numpy() for i in range(1, 5))
-            cells = [np.asarray(c.values) for c in rows.column(5)]
-            sizes = np.array([len(c) for c in cells])
-            ours, theirs = np.flatnonzero(outside), np.flatnonzero(inside)
-            if not len(ours) or not len(theirs):
+            nodes, classes, _, ours, theirs, fresh = first_meetings(rows, bands)
+            asking, asked = fresh.any(axis=1), fresh.any(axis=0)
+            if not asking.any():
                 continue
+            ours, theirs, fresh = ours[asking], theirs[asked], fresh[asking][:, asked]
+            cells = [np.asarray(c.values) for c in rows.column("cells")]
+            sizes = np.array([len(c) for c in cells])
             have = np.concatenate([cells[i] for i in theirs])
             holder = np.repeat(np.arange(len(theirs)), sizes[theirs])
             order = np.argsort(have, kind="stable")
@@ -321,7 +333,7 @@ def _linked(similarity: float):
                 shared = np.bincount(np.repeat(asker, n) * len(theirs) + holder[at], minlength=len(some) * len(theirs))
                 shared = shared.reshape(len(some), len(theirs))
                 whole = sizes[some][:, None] + sizes[theirs][None, :] - shared
-                x, y = np.nonzero((shared >= similarity * whole) & (classes[some][:, None] != classes[theirs][None, :]))
+                x, y = np.nonzero((shared >= similarity * whole) & fresh[i:i + 16])
                 _, first = np.unique(np.stack([x, classes[theirs[y]]]), axis=1, return_index=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes[some[x[first]]]), pa.array(nodes[theirs[y[first]]])], names=["a", "b"])
@@ -330,20 +342,19 @@ def _linked(similarity: float):
 
 
 def in_blocks(members: DataFrame, classes: DataFrame, payload: DataFrame) -> DataFrame:
-    """(block, node, class, outside, inside, payload), sorted by block: where members outside the class of their
-    bucket's leader, the outsiders, meet all members of the bucket.
+    """(block, node, class, outside, inside, bucket) and the columns of `payload`, sorted by block: where members outside the class that most
+    members of their bucket have, the outsiders, meet all members of the bucket.
 
-    Large buckets are cut into blocks of bounded size, one for every slice of outsiders and every slice of members. Buckets
-    of one class, or of two members, have nothing left to compare.
+    Of two members of different classes, one at least is an outsider. Large buckets are cut into blocks of bounded size,
+    one for every slice of outsiders and every slice of members. Buckets of one class have nothing left to compare.
     """
     spark = members.sparkSession
-    placed = members.select("bucket", "node", "leader").join(classes, "node")
-    led = members.select("bucket", "leader").distinct().join(
-        classes.select(F.col("node").alias("leader"), F.col("class").alias("own")), "leader").select("bucket", "own")
-    placed = placed.join(led, "bucket").withColumn("outside", F.col("class") != F.col("own"))
-    sizes = placed.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("n_out")).filter("n_out > 0")
-    placed = placed.join(sizes, "bucket").join(payload, "node")
+    placed = members.select("bucket", "node").join(classes, "node")
+    shares = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    sizes = shares.groupBy("bucket").agg(
+        F.max_by("class", F.struct("n", "class")).alias("own"), F.sum("n").alias("n"),
+        (F.sum("n") - F.max("n")).alias("n_out")).filter("n_out > 0")
+    placed = placed.join(sizes, "bucket").withColumn("outside", F.col("class") != F.col("own")).join(payload, "node")
     rows, columns = F.ceil(F.col("n_out") / BLOCK), F.ceil(F.col("n") / BLOCK)
     spread = F.xxhash64("node")
     # a member stands in one column of blocks, an outsider in one row of blocks as well
@@ -357,7 +368,7 @@ def in_blocks(members: DataFrame, classes: DataFrame, payload: DataFrame) -> Dat
     cells = F.concat(as_member, F.filter(as_outsider, lambda x: x["c"] != own_column))
     dealt = placed.withColumn("cell", F.explode(cells)).select(
         F.xxhash64("bucket", "cell.r", "cell.c").alias("block"), "node", "class", F.col("cell.out").alias("outside"),
-        F.col("cell.in").alias("inside"), "payload")
+        F.col("cell.in").alias("inside"), "bucket", *[c for c in payload.columns if c != "node"])
     return dealt.repartition(tasks(spark), "block").sortWithinPartitions("block")
 
 
@@ -376,10 +387,10 @@ def near_duplicates(
     million, a pair at 0.85 in 2 of a trillion.
 
     A bucket never gives all its pairs. First its members meet its smallest node, the leader, which joins a group of copies
-    of any size to one class. Then members that stay outside the leader's class meet the bucket's members, in blocks of
-    bounded size and by their signatures. Of the likely pairs, each outsider's best is checked first, then the best with
-    each class, and at last all that still connect different classes. So each pair that
-    shares a band is in one class or has been looked at, while a large group needs few checks.
+    of any size to one class. Then members outside the bucket's most frequent class meet the bucket's members, in blocks
+    of bounded size and by their signatures, each pair in the first bucket it shares. Of the likely pairs, each outsider's
+    best is checked first, then the best with each class, and at last all that still connect different classes. So each
+    pair that shares a band is in one class or has been looked at, while a large group needs few checks.
 
     A missing or empty text is a class of its own: class is NULL and class_id the row's doc_id. Repeated rows
     share a class. An empty table gives an empty result.
@@ -406,11 +417,11 @@ def near_duplicates(
     alone = members.select("node").distinct().withColumn("class", F.col("node"))
     classes = united(alone, links)
     members = members.filter("members > 2")
-    signatures = nodes.select("node", F.col("signature").alias("payload"))
+    signatures = nodes.select("node", "signature")
     for _ in range(BEST_ROUNDS):
         near = store(in_blocks(members, classes, signatures).mapInArrow(
-            _likely(similarity - DOUBT), "node bigint, other bigint, estimate double"), "near")
-        best = near.filter("other is not null").groupBy("node").agg(F.max_by("other", F.struct("estimate", "other")).alias("other"))
+            _likely(similarity - DOUBT, bands), "bucket bigint, node bigint, other bigint, estimate double"), "near")
+        best = near.groupBy("node").agg(F.max_by("other", F.struct("estimate", "other")).alias("other"))
         fresh = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         fresh = store(fresh.join(likely, ["a", "b"], "left_anti"), "fresh")
         release(spark)
@@ -420,11 +431,11 @@ def near_duplicates(
         classes = united(classes, similar(fresh, texts, shingle, similarity))
         release(spark)
     # what is still apart is compared by whole shingles, without making pairs
-    open_nodes = near.select("node").distinct()
-    cells = store(texts.join(open_nodes, "node", "left_semi").select("node", "text").mapInArrow(
+    still = members.join(near.select("bucket").distinct(), "bucket", "left_semi")
+    cells = store(texts.join(still, "node", "left_semi").select("node", "text").mapInArrow(
         _cells(shingle), "node bigint, payload array<bigint>"), "cells")
-    last = store(in_blocks(members.join(open_nodes, "node", "left_semi"), classes, cells).mapInArrow(
-        _linked(similarity), "a bigint, b bigint"), "last")
+    whole = signatures.join(cells.withColumnRenamed("payload", "cells"), "node")
+    last = store(in_blocks(still, classes, whole).mapInArrow(_linked(similarity, bands), "a bigint, b bigint"), "last")
     discard(cells)
     if not last.isEmpty():
         classes = united(classes, last)

@@ -234,6 +234,53 @@ def test_near_duplicates_match_brute_force(docs):
     assert kept == collections.Counter({i: 1 for i, c in classes.items() if i == c} | {None: 1})
 
 
+def near_copies(n):
+    """Copies of one text with 0 to 5 of 100 words changed; some are linked, others are alike without a link."""
+    own = random.Random(9)
+    rows = []
+    for i in range(n):
+        words = prose(100, 9).split()
+        for place in own.sample(range(100), own.randint(0, 5)):
+            words[place] = f"changed{i}at{place}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_a_pair_of_near_copies_is_looked_at_in_one_bucket(spark, monkeypatch):
+    rows = near_copies(160)
+    cells = [{tuple(w[k:k + 5]) for k in range(96)} for w in (t.split() for _, t in rows)]
+    classes = list(range(len(rows)))
+    for i, one in enumerate(cells):
+        for j, two in enumerate(cells[:i]):
+            if len(one & two) >= 0.8 * len(one | two):
+                low, high = sorted((classes[i], classes[j]))
+                classes = [low if c == high else c for c in classes]
+    assert 10 < len(set(classes)) < 100
+    looks, store = [], near_dup.store
+
+    def watched(df, name, *rest):
+        kept = store(df, name, *rest)
+        if name == "near":
+            looks.append([(r["node"], r["other"]) for r in kept.collect()])
+        return kept
+
+    monkeypatch.setattr(near_dup, "store", watched)
+    got = collect(near_dup.near_dup_query(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(classes))
+    assert looks[0]
+    for found in looks:
+        assert max(collections.Counter(found).values()) == 1
+
+
+def test_members_of_a_buckets_main_class_are_no_outsiders(spark):
+    members = spark.createDataFrame([(1, n, 0) for n in range(50)], "bucket bigint, node bigint, leader bigint")
+    classes = spark.createDataFrame([(n, min(n, 1)) for n in range(50)], "node bigint, class bigint")
+    payload = spark.createDataFrame([(n, bytearray(8)) for n in range(50)], "node bigint, payload binary")
+    found = collect(near_dup.in_blocks(members, classes, payload))
+    assert sum(r["inside"] for r in found) == 50
+    assert [r["node"] for r in found if r["outside"]] == [0]
+
+
 def test_signatures_estimate_weighted_similarity():
     one = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     signatures = near_dup.dart_signatures([(one[:800], np.full(800, 1.5)), (one[200:], np.full(800, 1.5)), (one[:3], np.ones(3))], 512)
